@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, mixing, partenum, token_counts, token_store, toxicity
+from . import chat_format, decontaminate, language_id, lm_score, mixing, partenum, token_counts, token_store, toxicity
 from .common import table
 
 MIX = mixing.MixConfig(domain_weights={"d0": 4, "d1": 3, "d2": 2, "d3": 1}, lang_weights={"en": 1, "de": 2, "fr": 2, "es": 3})
@@ -22,6 +22,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm_score.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -100,7 +106,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_token_counts, op5_language_id, op6_token_store, op7_toxicity, op9_ngram_jaccard, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_lm_score, op4_token_counts, op5_language_id, op6_token_store, op7_toxicity, op9_ngram_jaccard, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
