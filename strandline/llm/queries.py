@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, lm_score, mixing, partenum, token_counts, token_store, toxicity
+from . import chat_format, decontaminate, hnsw, language_id, lm_score, mixing, partenum, token_counts, token_store, toxicity
 from .common import table
 
 MIX = mixing.MixConfig(domain_weights={"d0": 4, "d1": 3, "d2": 2, "d3": 1}, lang_weights={"en": 1, "de": 2, "fr": 2, "es": 3})
@@ -54,6 +54,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, chain)
 
 
+def op8_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.similar(table(spark, sf_dir, "documents"))
 
@@ -106,7 +110,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_lm_score, op4_token_counts, op5_language_id, op6_token_store, op7_toxicity, op9_ngram_jaccard, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_lm_score, op4_token_counts, op5_language_id, op6_token_store, op7_toxicity, op8_embedding_near, op9_ngram_jaccard, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
