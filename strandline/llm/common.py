@@ -48,3 +48,18 @@ def bucket_of(doc_id: Column, modulus: int) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def keyed_text(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Two columns for an Arrow function: ``key``, a struct of the kept columns, and ``text``.
+
+    A text that is kept is not sent twice: ``text`` is null then, see ``texts_of``.
+    """
+    text = F.lit(None).cast("string") if "text" in keep else F.col("text")
+    return docs.select(F.struct(*keep).alias("key"), text.alias("text"))
+
+
+def texts_of(batch):
+    """The texts of a batch of ``keyed_text``, as an Arrow array."""
+    key = batch.column(0)
+    return key.field("text") if key.type.get_field_index("text") >= 0 else batch.column(1)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keyed_text, texts_of
+
 #: Bytes of a word after A-Z are lower-cased: digits, a-z and everything beyond ASCII.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -104,7 +106,7 @@ class WindowSet:
 def _scan(batches: Iterator[pa.RecordBatch], shared, index: int) -> Iterator[pa.RecordBatch]:
     windows: WindowSet = shared.value
     for batch in batches:
-        found = windows.scan(batch.column(1).to_pylist())
+        found = windows.scan(texts_of(batch).cast(pa.binary()).to_pylist())
         spans = []
         for _, mask, _, _ in found:
             d = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
@@ -147,12 +149,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, config: DecontaminateCo
     spark = docs.sparkSession
     keep = keep or ["doc_id"]
     span = "array<struct<start:bigint,stop:bigint>>"
-    key = F.struct(*keep).alias("key")
-    kind = docs.select(key).schema["key"].dataType.simpleString()
+    source = keyed_text(docs, keep)
+    kind = source.schema["key"].dataType.simpleString()
     passes = []
     for i, windows in enumerate(benchmark_blocks(benchmark, config)):
         shared = spark.sparkContext.broadcast(windows)
-        source = docs.select(key, F.col("text").cast("binary").alias("text"))
         passes.append(source.mapInArrow(lambda it, s=shared, i=i: _scan(it, s, i), f"key {kind}, n_words bigint, spans {span}, items array<string>"))
     if len(passes) == 1:
         found = passes[0].select("key", "n_words", "spans", F.array_sort("items").alias("items"), F.lit(1).alias("rows"))

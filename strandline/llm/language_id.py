@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bucket_of, keyed_text, texts_of
+
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes of lower-case ASCII letters and of characters beyond ASCII stay; others become blanks.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -89,7 +91,7 @@ def _predict(batches: Iterator[pa.RecordBatch], dictionaries, config: LanguageCo
     sizes = Sizes(dictionaries.value, config) if dictionaries.value else None
     for batch in batches:
         out = []
-        for text in batch.column(1).to_pylist():
+        for text in texts_of(batch).to_pylist():
             if sizes is None or not text or not _LETTER.search(text):
                 out.append((UNKNOWN, 0.0, True))
                 continue
@@ -107,14 +109,12 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], keep: list[
     length are compressed whole.
     """
     keep = keep or ["doc_id"]
-    key = F.struct(*keep).alias("key")
-    kind = docs.select(key).schema["key"].dataType.simpleString()
+    rows = keyed_text(docs, keep)
+    kind = rows.schema["key"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    found = docs.select(key, "text").mapInArrow(lambda it: _predict(it, shared, config), f"key {kind}, lang_pred string, score double, rejected boolean")
+    found = rows.mapInArrow(lambda it: _predict(it, shared, config), f"key {kind}, lang_pred string, score double, rejected boolean")
     return found.select(*[F.col("key")[c].alias(c) for c in keep], "lang_pred", "score", "rejected")
 
 
 def held_out(doc_id: Column) -> Column:
-    from .common import bucket_of
-
     return bucket_of(doc_id, 5) == 0
