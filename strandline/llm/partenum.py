@@ -2,15 +2,16 @@
 
 Sets of shingles are put into size bands, each band as wide as the similarity allows, so similar
 sets are in one band or in neighbours. For the pair of bands (i, i+1), similar sets differ in at
-most k shingles. The shingle domain is split into n1 groups of three partitions; two sets that
-differ in at most k shingles have groups in which they differ in one at most, so two of that group's
-three partitions hold the same shingles. A signature is the content of two partitions of a group,
-and every such subset is enumerated: similar sets share a signature, always.
-
-Candidates are checked exactly. Sets that share a signature are linked to the smallest and largest
-of them first; what then still lies in different components is compared pair by pair, so no
-link that could join two components is left out, and a large group of near copies costs about one
-comparison per member and signature.
+most k shingles. The shingle domain is split into n1 groups of n2 partitions; two sets that differ
+in at most k shingles have groups in which they differ in one shingle at most, so all but one of that
+group's partitions hold the same shingles. A signature is the content of n2 - 1 partitions of a
+group, and every such subset is enumerated: similar sets share a signature, always.
+
+Sets that share a signature are checked exactly against the smallest and the largest of them, and
+linked. Where a signature's sets still lie in different components, their sets are joined once more
+by their rarest shingles: two similar sets have one of those in common, at places that leave room for
+enough others. So a large group of near copies is not compared pair by pair, and no link that
+could join two components is left out.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -36,8 +37,6 @@ class JoinConfig:
     den: int = 100
     #: Bound of a worker's memory of word hashes; it is emptied when full.
     cached_words: int = 400_000
-    #: Rounds of comparing with one member of each component before the pairs that are left.
-    rounds: int = 2
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -95,54 +94,67 @@ class Bands:
             self.high.append(self._top(self.low[-1]))
         return int(np.searchsorted(self.high, size))
 
-    def groups(self, i: int) -> int:
-        """Groups of three partitions for sets of the bands i and i+1, one of them in i.
+    def shape(self, i: int) -> tuple[int, int, int]:
+        """(n1, n2, spare) for sets of the bands i and i+1, one of them in i.
 
         Similar sets of sizes a and b differ in (den - num) / (den + num) * (a + b) shingles at
-        most. At most k // 2 groups have two differences, so two groups at least have one or none.
+        most. At most k // 2 groups have two differences; ``spare`` + 1 others have one or none.
+        Small sets get fewer and larger subsets, so that a signature always holds many shingles.
         """
         top = self.low[0] - 1 if i < 0 else self.high[i]
         self.band(top + 1)
         c = self.config
         k = (c.den - c.num) * (top + self.high[i + 1]) // (c.den + c.num)
-        return k // 2 + 2
+        if k <= 6:
+            return k // 2 + 1, 5, 0
+        spare = 2 + k // 64
+        return k // 2 + 1 + spare, 3 if k <= 16 else 2, spare
+
+
+#: A subset with fewer shingles is thin.
+THIN = 3
 
 
 def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of many sets at once, and for each the index of its set.
 
-    Subsets without shingles are left out, unless two groups of a set have one: of the two groups
-    in which similar sets agree, then, one gives a signature with content, or both sets have both.
+    Thin subsets are left out, unless a set has more groups with one than there are spare groups:
+    of spare + 1 groups in which similar sets agree, one has no thin subset otherwise, and equal
+    subsets are thin in both sets or in none.
     """
     sigs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     use = [i for i, s in enumerate(sets) if len(s) >= bands.least]
     if not use:
         return sigs[0], owners[0]
-    sizes = np.array([len(sets[i]) for i in use])
-    flat = np.concatenate([sets[i] for i in use])
-    content = _mix(flat ^ np.uint64(0x5851F42D4C957F2D))
-    low, high = (content & np.uint64(0xFFFFFFFF)).astype(np.float64), (content >> np.uint64(32)).astype(np.float64)
-    own = np.array([bands.band(int(n)) for n in sizes])
-    for i in (own - 1, own):  # a set stands in the pair below and in its own
-        n1 = np.array([bands.groups(int(k)) for k in i])
-        starts = np.concatenate([[0], np.cumsum(3 * n1)])
-        part = np.repeat(starts[:-1], sizes) + (flat % np.repeat(3 * n1, sizes).astype(np.uint64)).astype(np.int64)
+    own = [bands.band(len(sets[i])) for i in use]
+    work: dict[int, list[tuple[int, int, int, int]]] = {}
+    for i, o in zip(use, own):
+        for k in (o - 1, o) if o else (o,):  # a set stands in the pair of bands below and in its own
+            n1, n2, spare = bands.shape(k)
+            work.setdefault(n2, []).append((i, k, n1, spare))
+    for n2, items in work.items():
+        index, pair, n1, spare = (np.array(c) for c in zip(*items))
+        sizes = np.array([len(sets[i]) for i in index])
+        flat = np.concatenate([sets[i] for i in index])
+        content = _mix(flat ^ np.uint64(0x5851F42D4C957F2D))
+        starts = np.concatenate([[0], np.cumsum(n2 * n1)])
+        part = np.repeat(starts[:-1], sizes) + (flat % np.repeat(n2 * n1, sizes).astype(np.uint64)).astype(np.int64)
         total = int(starts[-1])
-        count = np.bincount(part, minlength=total).reshape(-1, 3)
+        count = np.bincount(part, minlength=total).reshape(-1, n2)
         # Sums of 32-bit halves are exact in a double; together they are the sum modulo 2**64.
-        value = np.bincount(part, weights=low, minlength=total).astype(np.uint64) + (np.bincount(part, weights=high, minlength=total).astype(np.uint64) << np.uint64(32))
-        value = value.reshape(-1, 3)
-        owner = np.repeat(np.arange(len(use)), n1)
+        low = np.bincount(part, weights=(content & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=total).astype(np.uint64)
+        high = np.bincount(part, weights=(content >> np.uint64(32)).astype(np.float64), minlength=total).astype(np.uint64)
+        value = _mix((low + (high << np.uint64(32))).reshape(-1, n2) + np.arange(1, n2 + 1, dtype=np.uint64))
+        owner = np.repeat(np.arange(len(index)), n1)
         group = np.arange(len(owner)) - np.repeat(np.cumsum(n1) - n1, n1)
-        tag = _mix(((i + 2).astype(np.uint64)[owner] << np.uint64(32)) + group.astype(np.uint64))
-        subsets = ((0, 1), (0, 2), (1, 2))
-        filled = np.stack([count[:, a] + count[:, b] > 0 for a, b in subsets])
-        empty_groups = np.bincount(owner, weights=(~filled).any(axis=0), minlength=len(use))
-        for s, (a, b) in enumerate(subsets):
-            sig = _mix(_mix(value[:, a] + tag) * _M2 + value[:, b] + np.uint64(s))
-            give = filled[s] | (empty_groups[owner] >= 2)
-            sigs.append(sig[give])
-            owners.append(np.array(use)[owner[give]])
+        tag = _mix(((pair + 2).astype(np.uint64)[owner] << np.uint64(32)) + group.astype(np.uint64))
+        rest = count.sum(1)[:, None] - count  # shingles without one partition
+        thin = rest < THIN
+        give = ~thin | (np.bincount(owner, weights=thin.any(1), minlength=len(index)) > spare)[owner][:, None] | (spare == 0)[owner][:, None]
+        whole = value.sum(1, dtype=np.uint64)[:, None] - value
+        sig = _mix(_mix(whole + tag[:, None]) + np.arange(n2, dtype=np.uint64))
+        sigs.append(sig[give])
+        owners.append(np.broadcast_to(index[owner][:, None], sig.shape)[give])
     return np.concatenate(sigs), np.concatenate(owners)
 
 
@@ -204,6 +216,32 @@ def _linked(pairs: DataFrame, texts: DataFrame, config: JoinConfig) -> DataFrame
     return pairs.join(x, "a").join(y, "b").where(near).where(both * config.den >= (F.size("x") + F.size("y") - both) * config.num).select("a", "b")
 
 
+def _rare_pairs(sets: DataFrame, config: JoinConfig) -> DataFrame:
+    """Pairs (a < b) of nodes in different components that may be similar; ``sets``: node, component, shingles.
+
+    In one order of all shingles, rarest first, similar sets have a shingle in common among the
+    first size - least overlap + 1 of each. At the first one they have in common, what follows in
+    either set must be enough for the overlap that the similarity asks for.
+    """
+    rows = sets.select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where(F.col("often") > 1)
+    # Shingles of one set only come first in any case: their number is what is missing.
+    seen = rows.join(often, "shingle")
+    ordered = seen.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))).withColumn("of", F.count("*").over(Window.partitionBy("node")))
+    ordered = ordered.withColumn("at", F.col("k") + F.col("size") - F.col("of"))
+    least = F.ceil(F.col("size") * config.num / config.den)
+    first = ordered.where(F.col("at") <= F.col("size") - least + 1).select("shingle", "node", "component", "size", "at")
+    first = materialize(first, "rarest")
+    a, b = (first.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "size", "at")]) for s in "ab")
+    both = F.col("size_a") + F.col("size_b")
+    overlap = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + 1
+    may = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & (overlap * (config.den + config.num) >= both * config.num)
+    near = F.least("size_a", "size_b") * config.den >= F.greatest("size_a", "size_b") * config.num
+    on = (F.col("l.shingle") == F.col("r.shingle")) & may & near
+    pairs = a.alias("l").join(b.alias("r"), on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return pairs.distinct()
+
+
 def similar(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -229,25 +267,14 @@ def similar(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     ends = shared.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(shared.select(F.col("node").alias("a"), F.col("hi").alias("b")))
     tried = materialize(ends.where(F.col("a") != F.col("b")).distinct(), "tried")
     links = materialize(_linked(tried, arrays, config), "links")
-    for step in range(config.rounds + 1):
-        comp = components(links)
-        placed = shared.select("sig", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_sigs = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("sig")
-        left = materialize(placed.join(open_sigs, "sig"), "open")
-        if left.isEmpty():
-            break
-        if step < config.rounds:  # another member of each component, chosen anew in each round
-            order = F.struct(F.xxhash64("node", F.lit(step)), F.col("node"))
-            others = left.groupBy("sig", "component").agg(F.min_by("node", order).alias("other")).withColumnRenamed("component", "theirs")
-        else:
-            others = left.select("sig", F.col("node").alias("other"), F.col("component").alias("theirs"))
-        pairs = left.join(others, "sig").where(F.col("component") != F.col("theirs")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = materialize(_linked(pairs, arrays, config), "links")
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(new)
-        if step == config.rounds:
-            comp = components(links)
+    comp = materialize(components(links), "components")
+    placed = shared.select("sig", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("sig")
+    open_nodes = materialize(placed.join(several, "sig").select("node", "component").distinct(), "open")
+    more = _linked(_rare_pairs(arrays.join(open_nodes, "node"), config).join(tried, ["a", "b"], "left_anti"), arrays, config)
+    more = materialize(more, "links")
+    if not more.isEmpty():
+        comp = materialize(components(links.unionByName(more)), "components")
     names = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = names.groupBy("component").agg(F.min("first").alias("component_id"))
     named = materialize(names.join(least, "component").select("node", "component_id"), "named")
