@@ -50,7 +50,7 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    chain = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"), ["low_quality", "toxic"])
+    chain = toxicity.train(docs, labels, ["low_quality", "toxic"])
     return toxicity.classify(docs, chain)
 
 

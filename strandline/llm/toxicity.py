@@ -15,21 +15,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Words are runs of ASCII letters and characters beyond ASCII, lower-cased.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    #: Words kept as features for each category: most informative in all labelled rows.
-    features: int = 3000
-    #: A feature occurs in at least so many labelled documents.
-    min_documents: int = 5
     #: Bound of the training sample: the labelled rows with the smallest hash of their id.
-    sample: int = 20_000
+    sample: int = 10_000
+    #: Words kept as features for each category: the most informative ones of the sample.
+    features: int = 2000
+    #: A feature occurs in at least so many documents of the sample.
+    min_documents: int = 4
     folds: int = 5
     l2: float = 1e-3
-    steps: int = 300
+    steps: int = 120
     threshold: float = 0.5
 
 
@@ -56,7 +58,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_features(labelled: DataFrame, categories: list[str], config: ToxicityConfig) -> list[str]:
-    """For each category the words whose presence tells most about it (G statistic), over all rows."""
+    """For each category the words whose presence tells most about it (G statistic)."""
     given = labelled.select("text", *[F.col(c).cast("int").alias(c) for c in categories])
     counts = given.mapInArrow(_words, "word string, n bigint, " + ", ".join(f"c{k} bigint" for k in range(len(categories))))
     counts = counts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(categories))]).where(F.col("n") >= config.min_documents)
@@ -126,10 +128,16 @@ class Chain:
         return Sparse([[number[w] for w in known & words_of(t)] for t in texts])
 
 
-def train(labelled: DataFrame, categories: list[str], config: ToxicityConfig = ToxicityConfig()) -> Chain:
-    """``labelled``: doc_id, text and a 0/1 column per category; rows with a null label are not used."""
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], config: ToxicityConfig = ToxicityConfig()) -> Chain:
+    """``labels``: doc_id and a 0/1 column per category; rows with a null label are not used.
+
+    The sample is chosen among the labels' ids, without texts; its rows, bounded by ``sample``, are
+    broadcast to fetch their texts, so the documents are not shuffled.
+    """
     for c in categories:
-        labelled = labelled.where(F.col(c).isNotNull())
+        labels = labels.where(F.col(c).isNotNull())
+    chosen = labels.select("doc_id", F.xxhash64("doc_id").alias("h"), *[F.col(c).cast("int").alias(c) for c in categories]).orderBy("h", *categories).limit(config.sample)
+    labelled = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
     features = choose_features(labelled, categories, config)
     vocabulary = {w.encode(): i for i, w in enumerate(features)}
     chain = Chain(categories, vocabulary, [])
@@ -142,8 +150,7 @@ def train(labelled: DataFrame, categories: list[str], config: ToxicityConfig = T
             rows = [sorted(made.vocabulary[w] for w in made.vocabulary.keys() & words_of(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), *batch.columns[2:]], names=["h", "x", *categories])
 
-    sample = labelled.select(F.xxhash64("doc_id", "text").alias("h"), "text", *[F.col(c).cast("int").alias(c) for c in categories]).orderBy("h").limit(config.sample)
-    got = sample.mapInArrow(numbered, "h bigint, x array<int>, " + ", ".join(f"{c} int" for c in categories)).toPandas().sort_values("h")
+    got = labelled.select("h", "text", *categories).mapInArrow(numbered, "h bigint, x array<int>, " + ", ".join(f"{c} int" for c in categories)).toPandas().sort_values(["h", *categories])
     x, size = Sparse([list(r) for r in got["x"]]), len(vocabulary)
     fold = np.arange(x.n) % config.folds
     extra = np.zeros((x.n, 0))
