@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def slug(text: Column) -> Column:
@@ -56,7 +57,7 @@ def digest(**fields: Column) -> Column:
     return F.sha2(canonical_json(**fields).cast("binary"), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded_name(names: pd.Series) -> pd.Series:
     """NFKD, letters and digits only, case-folded: Spark has no such normalisation."""
     return names.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if c.isalnum()).casefold())

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 @dataclass(frozen=True)
@@ -93,7 +94,7 @@ def warp(a: np.ndarray, b: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     return float(total[n, m] / (n + m)), path[::-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def warp_cost(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([warp(np.asarray(x), np.asarray(y))[0] for x, y in zip(a, b)])
 
@@ -116,7 +117,7 @@ def fit_homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
     return None if abs(h[2, 2]) < 1e-12 else h / h[2, 2]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def homography(src: pd.Series, dst: pd.Series) -> pd.Series:
     """Row-major matrix from two arrays of points (array<array<double>>)."""
     out = []
