@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ class TokenStoreConfig:
     #: A shard is closed once it has so many ids (one longer document is a shard of its own).
     shard_tokens: int = 1 << 20
     #: Bound of a worker's memory of encoded words; it is emptied when full.
-    cached_words: int = 400_000
+    cached_words: int = 800_000
 
 
 class WaveletMatrix:
@@ -195,17 +196,25 @@ class _Cache(dict):
         return made
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: printable Latin-1 characters for
+    themselves, the other bytes in order for the characters from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+
+
 class Encoder:
     """Ids as the library gives them for the whole text, encoding each distinct word once.
 
-    The tokenizer splits a text before it merges: a plain space between two characters that are
-    not white space always begins a part. So texts are cut there; a cut piece is split by the
-    tokenizer's own pattern and its parts are encoded by the library. Pieces that begin or end in
-    white space (runs of it) and texts that hold an added token go to the library whole.
+    The tokenizer splits a text into parts before it merges: a plain space between two characters
+    that are not white space always begins one. So texts are cut there, a cut piece is split into
+    parts by the tokenizer's own pattern, and the library's model merges each part. Pieces that begin
+    or end in white space (runs of it) and texts that hold an added token go to the library whole.
     """
 
     #: Beyond this the pattern's letter classes may differ between libraries.
     KNOWN = "ɏ"
+    LETTERS = _byte_letters()
 
     def __init__(self, path: str, config: TokenStoreConfig):
         import public_tokenizers
@@ -214,17 +223,28 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.parts = regex.compile(public_tokenizers.PATTERN)
-        self.by_part = _Cache(self.whole, config.cached_words)
+        self.merge = self.library.model.tokenize
+        self.by_part = _Cache(self._part, config.cached_words // 4)
         self.by_piece = _Cache(self._piece, config.cached_words)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _part(self, part: str) -> bytes:
+        return self._merged(part.encode().decode("latin-1").translate(self.LETTERS))
+
+    def _merged(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Loose
         if max(piece) > self.KNOWN:
             return self.whole(" " + piece)
+        if piece.isalpha():  # one part, and no other piece has it
+            return self._merged(self.LETTERS[0x20] + piece) if piece.isascii() else self._part(" " + piece)
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return self.by_piece[piece[:-1]] + self.by_part[piece[-1]]
         return b"".join(map(self.by_part.__getitem__, self.parts.findall(" " + piece)))
 
     def encode(self, text: str) -> bytes:
