@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ _LOADED: dict[str, object] = {}
 @dataclass(frozen=True)
 class TokenCountConfig:
     #: Texts of more characters than this are encoded in chunks.
-    chunk_chars: int = 1_000_000
-    overlap_chars: int = 2_000
+    chunk_chars: int = 50_000
+    overlap_chars: int = 500
     limit: int = 4096
 
 
@@ -40,8 +41,10 @@ def load(path: str):
 
 
 def _bounds(model, text: str) -> list[int]:
-    """Starts of the tokens, in characters."""
-    return [p.begin for p in model.encode(text, out_type="immutable_proto").pieces]
+    """Starts of the tokens, in characters; the library gives them in bytes."""
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    character = np.concatenate([np.cumsum((raw & 0xC0) != 0x80) - 1, [len(text)]])
+    return character[[p.begin for p in model.encode(text, return_type="proto").pieces]].tolist() if text else []
 
 
 def count_chunked(model, text: str, config: TokenCountConfig) -> int:
