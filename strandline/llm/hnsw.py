@@ -243,7 +243,8 @@ def _task(batches: Iterator[pa.RecordBatch], config: NearConfig) -> Iterator[pa.
                     yield search(queries)
                 key, points, queries, graph, beam = k, [], [], None, -1
             if query:
-                queries.append((node, weight, np.array(v)))
+                if points:  # a shard may have no points of that length
+                    queries.append((node, weight, np.array(v)))
                 # Memory of what was seen grows with points times queries.
                 if len(queries) >= max(16, min(config.block, 32_000_000 // max(1, len(points)))):
                     yield search(queries)
