@@ -216,3 +216,21 @@ def test_artifacts(spark, tmp_path):
     frames = spark.createDataFrame([("s", i, i / 25) for i in range(26)], "scene string, frame int, t double")
     got = artifacts.sampled_frames(frames, "scene", 10.0).orderBy("tick").collect()
     assert [r["tick"] for r in got] == list(range(11)) and got[1]["frame"] in (2, 3)
+
+
+def test_lineage(spark):
+    from strandline.operators import lineage
+
+    schema = "id int, frame int, x double, y double, w double, h double"
+    seen = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 20.0), (2, 1, 100.0, 0.0, 10.0, 20.0), (3, 2, 0.0, 0.0, 10.0, 20.0)], schema)
+    one = spark.createDataFrame([(9, 1, 1.0, 1.0, 10.0, 20.0)], schema)
+    assert [tuple(r) for r in lineage.resolve_unique(one, seen).collect()] == [(9, 1)]
+    with pytest.raises(PySparkException):
+        lineage.resolve_unique(spark.createDataFrame([(9, 1, 50.0, 1.0, 10.0, 20.0)], schema), seen).collect()
+    log = spark.createDataFrame([("a", 1, "t1", None), ("a", 2, None, "keeper"), ("a", 3, "t2", None)], "track string, updated int, team string, role string")
+    assert [tuple(r) for r in lineage.latest_manual(log, "track").collect()] == [("a", "t2", "keeper")]
+    shift = lambda d: [1.0, 0.0, d, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    edges = spark.createDataFrame([("s", 0, shift(1.0)), ("s", 1, shift(2.0)), ("s", 3, shift(4.0))], "scene string, at int, h array<double>")
+    targets = spark.createDataFrame([(1, "s", 0, 2), (2, "s", 0, 4)], "id int, scene string, start int, stop int")
+    got = {r["id"]: r["h"] for r in lineage.motion_chain(targets, edges, "scene").collect()}
+    assert got[1][2] == 3.0 and got[2] is None
