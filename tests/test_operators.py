@@ -234,3 +234,23 @@ def test_lineage(spark):
     targets = spark.createDataFrame([(1, "s", 0, 2), (2, "s", 0, 4)], "id int, scene string, start int, stop int")
     got = {r["id"]: r["h"] for r in lineage.motion_chain(targets, edges, "scene").collect()}
     assert got[1][2] == 3.0 and got[2] is None
+
+
+def test_tracker(spark):
+    from strandline.operators import tracking
+
+    rows = []
+    for k in range(8):  # two that cross, told apart by how they look; one weak detection alone
+        rows += [("s", 10 * k, k * 0.1, 100.0 + 20 * k, 50.0, 40.0, 0.9, [1.0, 0.0]), ("s", 10 * k + 1, k * 0.1, 240.0 - 20 * k, 50.0, 40.0, 0.9, [0.0, 1.0])]
+    rows += [("s", 500, 0.3, 900.0, 900.0, 40.0, 0.05, [0.5, 0.5]), ("s", 600, 3.0, 240.0, 50.0, 40.0, 0.9, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, None, None, None) for r in rows], "scene string, det_id int, t double, x double, y double, height double, confidence double, feature array<double>, pitch_x double, pitch_z double, uncertainty double")
+    got = {r["det_id"]: r["track"] for r in tracking.track(df, "scene").collect()}
+    assert len({got[10 * k] for k in range(8)}) == 1 and len({got[10 * k + 1] for k in range(8)}) == 1
+    assert got[0] != got[1] and got[500] == -1 and got[600] not in (got[0], got[1])
+
+
+def test_confirmed_changes(spark):
+    from strandline.operators import tracking
+
+    df = spark.createDataFrame([("a", float(t), s) for t, s in enumerate("xxyxyyyxx")], "k string, t double, state string")
+    assert sorted(r["t"] for r in tracking.confirmed_changes(df, "k").collect()) == [4.0, 7.0]
