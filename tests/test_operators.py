@@ -254,3 +254,26 @@ def test_confirmed_changes(spark):
 
     df = spark.createDataFrame([("a", float(t), s) for t, s in enumerate("xxyxyyyxx")], "k string, t double, state string")
     assert sorted(r["t"] for r in tracking.confirmed_changes(df, "k").collect()) == [4.0, 7.0]
+
+
+def test_match_records(spark):
+    from strandline.operators import matchdata
+
+    players = [("m", f"p{i}", f"t{i % 2}", "G" if i < 2 else "D", str(i // 2), "starter") for i in range(22)]
+    schema = "match_id string, id string, team_id string, position string, number string, lineup_role string"
+    timeline = spark.createDataFrame([("m", "p1", None)], "match_id string, player_id string, secondary_player_id string")
+    subs = spark.createDataFrame([("m", "p1", "p2")], "match_id string, player_out_id string, player_in_id string")
+    good = spark.createDataFrame(players, schema)
+    assert matchdata.bundle_problems(good, timeline, subs).count() == 0
+    q = matchdata.roster_quality(good).first()
+    assert (q["teams"], q["starters"], q["keepers"], q["numbered"]) == (2, 22, 2, 22)
+    bad = spark.createDataFrame(players[:21] + [players[0], ("m", "p30", "t0", "D", "0", "substitute")], schema)
+    lost = spark.createDataFrame([("m", "nobody", "p1")], "match_id string, player_id string, secondary_player_id string")
+    got = {(r["problem"], r["detail"]) for r in matchdata.bundle_problems(bad, lost, subs).collect()}
+    assert got == {("duplicate-player", "p0"), ("duplicate-number", "t0:0"), ("few-starters", "t1"), ("unknown-player_id", "nobody")}
+    raw = spark.createDataFrame([("x", "1", "2026-07-10T19:00:00+00:00", "FT", "L", 2026, "A", "B", 2, 1)], "provider string, id string, kickoff string, status string, league string, season int, home string, away string, home_score int, away_score int")
+    r = matchdata.fixtures(raw).first()
+    assert (r["date"], r["time"], r["status"], r["name"]) == ("2026-07-10", "19:00", "ft", "A - B")
+    acts = spark.createDataFrame([("p", 1, 0.0, 5.0, "auto", "confirmed", 0.9), ("p", 2, 2.0, 4.0, "manual", "draft", 0.1), ("p", 3, 0.0, 9.0, "manual", "rejected", 1.0)], "who string, id int, start double, stop double, source string, status string, confidence double")
+    assert matchdata.active_action(acts, "who", F.lit(4.0)).first()["id"] == 2
+    assert matchdata.active_action(acts, "who", F.lit(5.0)).first()["id"] == 1
