@@ -277,3 +277,22 @@ def test_match_records(spark):
     acts = spark.createDataFrame([("p", 1, 0.0, 5.0, "auto", "confirmed", 0.9), ("p", 2, 2.0, 4.0, "manual", "draft", 0.1), ("p", 3, 0.0, 9.0, "manual", "rejected", 1.0)], "who string, id int, start double, stop double, source string, status string, confidence double")
     assert matchdata.active_action(acts, "who", F.lit(4.0)).first()["id"] == 2
     assert matchdata.active_action(acts, "who", F.lit(5.0)).first()["id"] == 1
+
+
+def test_temporal(spark):
+    from strandline.operators import temporal
+
+    move = lambda d: [1.0, 0.0, d, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    frames = spark.createDataFrame([("s", 1, 0.1), ("s", 2, 0.2), ("s", 6, 0.6)], "scene string, sample int, t double")
+    anchors = spark.createDataFrame([("s", 0, 0.0, move(0.0), 0.95, 1.0, 0.5), ("s", 3, 0.3, move(-3.0), 0.95, 1.0, 0.5)], "scene string, sample int, t double, h array<double>, confidence double, inlier_ratio double, uncertainty double")
+    edges = spark.createDataFrame([("s", k, move(-1.0), move(1.0), 0.9, 1.0, k != 4) for k in range(6)], "scene string, at int, h array<double>, back array<double>, confidence double, residual double, reliable boolean")
+    found = temporal.hypotheses(frames, anchors, edges)
+    # Both anchors put the frame at the same place; none reaches sample 6 over the unreliable edge.
+    assert {(r["sample"], r["anchor"], r["h"][2]) for r in found.collect()} == {(1, 0, -1.0), (1, 3, -1.0), (2, 0, -2.0), (2, 3, -2.0)}
+    got = {r["sample"]: r for r in temporal.propagate(found).collect()}
+    assert got[1]["state"] == got[2]["state"] == "accepted" and got[1]["anchor"] == 0 and got[1]["uncertainty"] < 1
+    a = spark.createDataFrame([("s", i, i * 0.4, r, m) for i, (r, m) in enumerate([(1.0, False), (9.0, False), (1.0, False), (8.0, True), (1.2, False)])], "scene string, id int, t double, residual double, manual boolean")
+    assert {r["id"] for r in temporal.demote_outliers(a, "scene", 2.0, 2.0, 0.5).collect() if r["demoted"]} == {1}
+    k = spark.createDataFrame([("a", 1, 0.0, 0.0, 0.0), ("a", 2, 1.0, 1.0, 1.0)], "who string, id int, t double, x double, z double")
+    e = spark.createDataFrame([("a", 1.05, 5.0, 5.0), ("a", 0.5, 7.0, 7.0)], "who string, t double, x double, z double")
+    assert {(r["id"], r["x"]) for r in temporal.upsert_keyframe(k, e, "who").collect()} == {(1, 0.0), (2, 5.0), (None, 7.0)}
