@@ -177,12 +177,40 @@ def _sets(batches: Iterator[pa.RecordBatch], config: JoinConfig) -> Iterator[pa.
 AT_ONCE = 500_000
 
 
-def _signed(batches: Iterator[pa.RecordBatch], config: JoinConfig) -> Iterator[pa.RecordBatch]:
+#: Bits of the filter of shared signatures, and of one of the segments that it is made in.
+FILTER_BITS, SEGMENT_BITS = 1 << 27, 1 << 17
+
+
+def _segment(rows: pa.Table) -> pa.Table:
+    bits = np.zeros(SEGMENT_BITS, dtype=bool)
+    bits[rows.column("bit").to_numpy() % SEGMENT_BITS] = True
+    return pa.table({"segment": rows.column("segment")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def _filter(sigs: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size: a signature whose bit is not set is not among ``sigs``.
+
+    However many there are, it has FILTER_BITS; when most are set it lets too much pass, and the
+    join that follows decides.
+    """
+    bit = sigs.select(F.pmod("sig", F.lit(FILTER_BITS)).alias("bit")).distinct().withColumn("segment", F.floor(F.col("bit") / SEGMENT_BITS))
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in bit.groupBy("segment").applyInArrow(_segment, "segment bigint, bits binary").toLocalIterator():
+        out[r["segment"] * SEGMENT_BITS // 8 :][: SEGMENT_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _signed(batches: Iterator[pa.RecordBatch], config: JoinConfig, shared=None) -> Iterator[pa.RecordBatch]:
+    """(sig, node) of every text; with ``shared``, a broadcast filter, only those that it lets pass."""
     bands = Bands(config)
 
     def give(sets: list[np.ndarray]) -> pa.RecordBatch:
         sig, owner = signatures(sets, bands)
         nodes = np.array([_digest(s)[0] for s in sets], dtype=np.int64)
+        if shared is not None:
+            at = (sig % np.uint64(FILTER_BITS)).astype(np.int64)
+            passes = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+            sig, owner = sig[passes], owner[passes]
         return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[owner])], names=["sig", "node"])
 
     for batch in batches:
@@ -259,7 +287,10 @@ def similar(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     nodes = materialize(nodes, "nodes")
     signed = docs.select(text).mapInArrow(lambda it: _signed(it, config), "sig bigint, node bigint")
     shared = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where(F.col("lo") != F.col("hi"))
+    shared = materialize(shared, "shared-signatures")
     # Rows of equal sets are equal; only signatures that different sets share go on.
+    passing = docs.sparkSession.sparkContext.broadcast(_filter(shared))
+    signed = docs.select(text).mapInArrow(lambda it: _signed(it, config, passing), "sig bigint, node bigint")
     shared = materialize(signed.join(shared, "sig").groupBy("sig", "node").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")), "shared")
     found = shared.select("node").distinct().join(nodes, "node")
     chosen = docs.select(ids, text).join(found.select("node", F.col("first").alias("doc_id")), "doc_id").select("node", "text")
