@@ -1,7 +1,6 @@
 """N-gram Jaccard join with PartEnum signatures.
 
-Sets of shingles are put into size bands, each band as wide as the similarity allows, so similar
-sets are in one band or in neighbours. For the pair of bands (i, i+1), similar sets differ in at
+Sets of shingles are put into size bands so that similar sets meet in one, where they differ in at
 most k shingles. The shingle domain is split into n1 groups of n2 partitions; two sets that differ
 in at most k shingles have groups in which they differ in one shingle at most, so all but one of that
 group's partitions hold the same shingles. A signature is the content of n2 - 1 partitions of a
@@ -77,37 +76,45 @@ def shingles(text: bytes | None, config: JoinConfig) -> np.ndarray:
 
 
 class Bands:
-    """Size bands and the parameters of each pair of neighbours."""
+    """Size bands, as wide as the similarity allows twice over, and the parameters of each.
+
+    A set stands in its own band, and in the one below if a similar set may be there; so two similar
+    sets meet in the smaller one's band.
+    """
 
     def __init__(self, config: JoinConfig):
         self.config = config
         #: Sets smaller than this are similar to equal sets only.
         self.least = -(-config.num // (config.den - config.num))
-        self.low, self.high = [self.least], [self._top(self.least)]
+        self.low, self.high = [self.least], [self._reach(self._reach(self.least))]
 
-    def _top(self, low: int) -> int:
-        return low * self.config.den // self.config.num
+    def _reach(self, size: int) -> int:
+        """The largest set that may be similar to one of that size."""
+        return size * self.config.den // self.config.num
 
     def band(self, size: int) -> int:
         while self.high[-1] < size:
             self.low.append(self.high[-1] + 1)
-            self.high.append(self._top(self.low[-1]))
+            self.high.append(self._reach(self._reach(self.low[-1])))
         return int(np.searchsorted(self.high, size))
 
+    def of(self, size: int) -> list[int]:
+        """The bands in which a set of that size stands."""
+        own = self.band(size)
+        return [own - 1, own] if own and size <= self._reach(self.high[own - 1]) else [own]
+
     def shape(self, i: int) -> tuple[int, int, int]:
-        """(n1, n2, spare) for sets of the bands i and i+1, one of them in i.
+        """(n1, n2, spare) of a band.
 
-        Similar sets of sizes a and b differ in (den - num) / (den + num) * (a + b) shingles at
-        most. At most k // 2 groups have two differences; ``spare`` + 1 others have one or none.
-        Small sets get fewer and larger subsets, so that a signature always holds many shingles.
+        Similar sets of sizes a and b, one in the band, differ in (den - num) / (den + num) * (a + b)
+        shingles at most. At most k // 2 groups have two differences; ``spare`` + 1 others have one or
+        none. Small sets get fewer and larger subsets, so that a signature always holds many shingles.
         """
-        top = self.low[0] - 1 if i < 0 else self.high[i]
-        self.band(top + 1)
-        c = self.config
-        k = (c.den - c.num) * (top + self.high[i + 1]) // (c.den + c.num)
+        c, top = self.config, self.high[i]
+        k = (c.den - c.num) * (top + self._reach(top)) // (c.den + c.num)
         if k <= 6:
             return k // 2 + 1, 5, 0
-        spare = 2 + k // 64
+        spare = 1 + k // 64
         return k // 2 + 1 + spare, 3 if k <= 16 else 2, spare
 
 
@@ -126,10 +133,9 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     use = [i for i, s in enumerate(sets) if len(s) >= bands.least]
     if not use:
         return sigs[0], owners[0]
-    own = [bands.band(len(sets[i])) for i in use]
     work: dict[int, list[tuple[int, int, int, int]]] = {}
-    for i, o in zip(use, own):
-        for k in (o - 1, o) if o else (o,):  # a set stands in the pair of bands below and in its own
+    for i in use:
+        for k in bands.of(len(sets[i])):
             n1, n2, spare = bands.shape(k)
             work.setdefault(n2, []).append((i, k, n1, spare))
     for n2, items in work.items():
