@@ -113,3 +113,25 @@ def gates(values: DataFrame, rules: list[tuple[str, str, bool, float, float]]) -
 
     rows = [F.struct(F.lit(name).alias("gate"), F.col(column).cast("double").alias("value"), (higher_is_better if up else lower_is_better)(F.col(column), good, fair).alias("verdict")) for name, column, up, good, fair in rules]
     return values.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
+
+
+def number_reading(rows: DataFrame) -> DataFrame:
+    """``rows``: (person, truth, number), truth null where nobody could read it, number null where
+    nothing was recognised. Counts and rates of right, wrong and withheld readings, readings of the
+    unreadable, and persons read as several numbers."""
+    persons = rows.where(F.col("number").isNotNull()).groupBy("person").agg(F.countDistinct("number").alias("k")).agg(F.count_if(F.col("k") > 1).alias("conflicts"), F.count("*").alias("read_persons"))
+    readable = F.col("truth").isNotNull()
+    sums = rows.agg(
+        F.count_if(readable).alias("readable"), F.count_if(readable & (F.col("number") == F.col("truth"))).alias("exact"), F.count_if(readable & (F.col("number") != F.col("truth"))).alias("substituted"),
+        F.count_if(readable & F.col("number").isNull()).alias("abstained"), F.count_if(~readable & F.col("number").isNotNull()).alias("invented"),
+    )
+    both = sums.crossJoin(persons)  # one row each
+    return both.select("*", F.try_divide("exact", "readable").alias("exact_rate"), F.try_divide("substituted", "readable").alias("substitution_rate"), F.try_divide("abstained", "readable").alias("abstention_rate"), F.try_divide("conflicts", "read_persons").alias("conflict_rate"))
+
+
+def report(values: DataFrame, rules: list[tuple[str, str, bool, float, float]], required: list[str]) -> DataFrame:
+    """All gates as one row: the overall verdict over the required ones, and each gate's verdict."""
+    out = gates(values, rules)
+    need = F.col("gate").isin(required)
+    sums = out.agg(F.collect_list(F.when(need, F.col("verdict"))).alias("v"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("gate", "verdict")))).alias("gates"))
+    return sums.select(worst_verdict(F.col("v")).alias("verdict"), F.to_json("gates").alias("gates"))

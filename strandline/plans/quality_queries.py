@@ -129,3 +129,24 @@ def gate_report(spark, sf):
 @query(f"SELECT n, count(*) AS tracks FROM (SELECT track_id, count(*) AS n FROM {P.POINTS} GROUP BY 1) GROUP BY n")
 def track_length_histogram(spark, sf):
     return P.points(spark, sf).groupBy("track_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("tracks"))
+
+
+@query("""WITH r AS (SELECT l_suppkey * 1000 + l_orderkey % 50 AS person, CASE WHEN l_returnflag <> 'N' THEN l_linenumber END AS truth, CASE WHEN l_discount > 0.02 THEN (l_partkey % 7 + 1)::INT END AS number FROM lineitem),
+  p AS (SELECT count(*) FILTER (k > 1) AS conflicts, count(*) AS read_persons FROM (SELECT person, count(DISTINCT number) AS k FROM r WHERE number IS NOT NULL GROUP BY 1)),
+  s AS (SELECT count(*) FILTER (truth IS NOT NULL) AS readable, count(*) FILTER (number = truth) AS exact, count(*) FILTER (number <> truth) AS substituted, count(*) FILTER (truth IS NOT NULL AND number IS NULL) AS abstained, count(*) FILTER (truth IS NULL AND number IS NOT NULL) AS invented FROM r)
+  SELECT *, round(exact / readable, 6) AS exact_rate, round(substituted / readable, 6) AS substitution_rate, round(abstained / readable, 6) AS abstention_rate, round(conflicts / read_persons, 6) AS conflict_rate FROM s, p""")
+def number_reading(spark, sf):
+    line = P.read(spark, sf, "lineitem")
+    rows = line.select((F.col("l_suppkey") * 1000 + F.col("l_orderkey") % 50).alias("person"), F.when(F.col("l_returnflag") != "N", F.col("l_linenumber")).alias("truth"), F.when(F.col("l_discount") > 0.02, (F.col("l_partkey") % 7 + 1).cast("int")).alias("number"))
+    out = Q.number_reading(rows)
+    return out.select(*[c for c in out.columns if not c.endswith("_rate")], *[F.round(c, 6).alias(c) for c in out.columns if c.endswith("_rate")])
+
+
+@query(f"""WITH s AS (SELECT avg((speed > 100)::INT::DOUBLE) AS ratio, quantile_cont(speed, 0.95) AS p95 FROM {SPEED}), o AS (SELECT avg(observed::INT::DOUBLE) AS seen FROM {P.POINTS}),
+  v AS (SELECT CASE WHEN ratio <= 0.02 THEN 'pass' WHEN ratio <= 0.06 THEN 'review' ELSE 'reject' END AS a, CASE WHEN p95 <= 100 THEN 'pass' WHEN p95 <= 200 THEN 'review' ELSE 'reject' END AS b, CASE WHEN seen >= 0.9 THEN 'pass' WHEN seen >= 0.7 THEN 'review' ELSE 'reject' END AS c FROM s, o)
+  SELECT CASE WHEN 'reject' IN (a, c) THEN 'reject' WHEN 'review' IN (a, c) THEN 'review' ELSE 'pass' END AS verdict, '{{"observed":"' || c || '","speed_p95":"' || b || '","speed_ratio":"' || a || '"}}' AS gates FROM v""")
+def quality_report(spark, sf):
+    p = P.points(spark, sf)
+    speed = S.adjacent_speed(p).agg(F.avg((F.col("speed") > 100).cast("double")).alias("ratio"), F.percentile("speed", F.lit(0.95)).alias("p95"))
+    values = speed.crossJoin(p.agg(F.avg(F.col("observed").cast("double")).alias("seen")))  # one row each
+    return Q.report(values, [("speed_ratio", "ratio", False, 0.02, 0.06), ("speed_p95", "p95", False, 100.0, 200.0), ("observed", "seen", True, 0.9, 0.7)], ["speed_ratio", "observed"])
