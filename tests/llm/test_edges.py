@@ -4,6 +4,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -117,6 +118,27 @@ def test_lm_score(spark, docs, none):
     assert lm_score.score(none, path, SMALL_LM).count() == 0
 
 
+def test_lm_learns_from_texts_beyond_the_sample(spark):
+    """Classes and weights come from all training texts, not from the sample that they start from."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    r = np.random.default_rng(6)
+    text = lambda words: " ".join(r.choice(words, 40)).encode()
+    rows = [(i, text(["the", "river", "and", "house"])) for i in range(20)] + [(i, text(["quantum", "zebra"])) for i in range(20, 200)]
+    training = spark.createDataFrame(rows, "doc_id bigint, text binary").withColumn("block", F.col("doc_id") % 5)
+    once = spark.createDataFrame([(w.decode(), n) for w, n in Counter(w for _, t in rows for w in t.split() + [b"\n"]).items()], "word string, c bigint")
+    assert AttentionConfig().hidden == 32 and AttentionConfig().initial + AttentionConfig().inner == 192
+    config = lm_score.ScoreConfig(attention=AttentionConfig(steps=20, batch=8, initial=10, inner=8, window=8, tune_batch=8, tune_rate=1e-2), sample_texts=1)
+    model = lm_score.train_attention(training, once, path, config)
+    subwords = lm_score._subwords(path)
+    for w in ("quantum", "zebra"):
+        for i in subwords.encode(w):
+            assert model.classes.of[i] not in (8, 17)  # not the shared classes of what was never seen
+    stream = lm_score._stream([t for i, t in rows[150:]], subwords)
+    sample_only = lm_score.train_attention(training, once, path, replace(config, attention=replace(config.attention, tune_rate=0.0)))
+    loss = lambda m: -lm_score.score_streams(m, stream[1:], np.array([0]))[0].mean()
+    assert loss(model) < loss(sample_only) - 0.1
+
+
 def test_lm_scores_add_up():
     """Within-class tables and class probabilities sum to 1, and each subword is scored once."""
     from strandline.llm.attention import Model, make_classes, score_streams
