@@ -206,6 +206,11 @@ def _filter(sigs: DataFrame) -> np.ndarray:
     return out
 
 
+def _passes(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = (values % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+
+
 def _signed(batches: Iterator[pa.RecordBatch], config: JoinConfig, shared=None) -> Iterator[pa.RecordBatch]:
     """(sig, node) of every text; with ``shared``, a broadcast filter, only those that it lets pass."""
     bands = Bands(config)
@@ -214,8 +219,7 @@ def _signed(batches: Iterator[pa.RecordBatch], config: JoinConfig, shared=None)
         sig, owner = signatures(sets, bands)
         nodes = np.array([_digest(s)[0] for s in sets], dtype=np.int64)
         if shared is not None:
-            at = (sig % np.uint64(FILTER_BITS)).astype(np.int64)
-            passes = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+            passes = _passes(sig, shared.value)
             sig, owner = sig[passes], owner[passes]
         return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[owner])], names=["sig", "node"])
 
@@ -233,12 +237,23 @@ def _signed(batches: Iterator[pa.RecordBatch], config: JoinConfig, shared=None)
             yield give(waiting)
 
 
-def _arrays(batches: Iterator[pa.RecordBatch], config: JoinConfig) -> Iterator[pa.RecordBatch]:
+def _arrays(batches: Iterator[pa.RecordBatch], config: JoinConfig, wanted=None) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) of every text; with ``wanted``, a broadcast filter of nodes, only those that it lets pass."""
+    given: set[int] = set()  # copies within a task are sent once, as far as its bound goes
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
-            some = batch.slice(k, 256)
-            sets = [shingles(t, config).view(np.int64) for t in some.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets: dict[int, np.ndarray] = {}
+            for t in batch.column(0).slice(k, 256).to_pylist():
+                s = shingles(t, config)
+                if len(s) and (node := _digest(s)[0]) not in given:
+                    sets[node] = s
+            nodes = np.array(list(sets), dtype=np.int64)
+            if wanted is not None:
+                nodes = nodes[_passes(nodes.view(np.uint64), wanted.value)]
+            if len(given) > config.cached_words:
+                given.clear()
+            given.update(nodes.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([sets[n].view(np.int64) for n in nodes.tolist()], pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, config: JoinConfig) -> DataFrame:
@@ -276,14 +291,15 @@ def _rare_pairs(sets: DataFrame, config: JoinConfig) -> DataFrame:
     return pairs.distinct()
 
 
-def similar(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+def _noded(batches: Iterator[pa.RecordBatch], config: JoinConfig) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = (shingles(t, config) for t in batch.column(1).to_pylist())
+        nodes = pa.array([_digest(s)[0] if len(s) else None for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), nodes], names=["row", "node"])
 
-    component_id is the smallest doc_id that links reach, the row's own included. Null and empty
-    texts and texts of white space have no shingles, link with nothing and keep their own id. Rows
-    with equal texts are linked, rows that share an id too. A row whose id is null has component
-    null unless it is linked to a row with an id. Other columns are ignored.
-    """
+
+def _components(docs: DataFrame, config: JoinConfig) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, node of every row; and of every node its smallest id and its component, a node."""
     ids = F.col("doc_id").cast("long").alias("doc_id")
     text = F.col("text").cast("binary").alias("text")
     sets = materialize(docs.select(ids, text).mapInArrow(lambda it: _sets(it, config), "doc_id bigint, n_shingles bigint, node bigint, check bigint"), "sets")
@@ -298,9 +314,11 @@ def similar(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     passing = docs.sparkSession.sparkContext.broadcast(_filter(shared))
     signed = docs.select(text).mapInArrow(lambda it: _signed(it, config, passing), "sig bigint, node bigint")
     shared = materialize(signed.join(shared, "sig").groupBy("sig", "node").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")), "shared")
-    found = shared.select("node").distinct().join(nodes, "node")
-    chosen = docs.select(ids, text).join(found.select("node", F.col("first").alias("doc_id")), "doc_id").select("node", "text")
-    arrays = materialize(chosen.mapInArrow(lambda it: _arrays(it, config), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "arrays")
+    # A set's node is its digest, made where the set is made, so no id decides whose set it is.
+    found = shared.select("node").distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter(found.select(F.col("node").alias("sig"))))
+    made = docs.select(text).mapInArrow(lambda it: _arrays(it, config, wanted), "node bigint, shingles array<bigint>")
+    arrays = materialize(made.join(found, "node", "left_semi").dropDuplicates(["node"]), "arrays")
     ends = shared.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(shared.select(F.col("node").alias("a"), F.col("hi").alias("b")))
     tried = materialize(ends.where(F.col("a") != F.col("b")).distinct(), "tried")
     links = materialize(_linked(tried, arrays, config), "links")
@@ -313,6 +331,18 @@ def similar(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     if not more.isEmpty():
         comp = materialize(components(links.unionByName(more)), "components")
     names = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return sets, names
+
+
+def similar(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    component_id is the smallest doc_id that links reach, the row's own included. Null and empty
+    texts and texts of white space have no shingles, link with nothing and keep their own id. Rows
+    with equal texts are linked; different texts under one id only if they are similar. A row whose
+    id is null has component null unless it is linked to a row with an id. Other columns are ignored.
+    """
+    sets, names = _components(docs, config)
     least = names.groupBy("component").agg(F.min("first").alias("component_id"))
     named = materialize(names.join(least, "component").select("node", "component_id"), "named")
     rows = sets.select("doc_id", "n_shingles", "node").join(named, "node", "left")
@@ -320,6 +350,18 @@ def similar(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component, one for each id, as they came."""
-    first = similar(docs, config).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first.withColumnRenamed("doc_id", "kept_"), F.col("doc_id").eqNullSafe(F.col("kept_")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` of each component, one with the smallest id, as it came; null ids come last.
+
+    Rows without shingles link with nothing and all stay.
+    """
+    _, names = _components(docs, config)
+    order = F.struct(F.col("first").isNull().alias("none"), F.coalesce("first", F.lit(0)).alias("id"), "node")
+    first = names.groupBy("component").agg(F.min(order).alias("r")).select(F.lit(False).alias("blank"), "r.node", "r.none", "r.id", F.lit(True).alias("kept"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("binary").alias("text"))
+    kind = whole.schema["row"].dataType.simpleString()
+    rows = whole.mapInArrow(lambda it: _noded(it, config), f"row {kind}, node bigint")
+    own = F.col("row.doc_id").cast("long")
+    # Rows without a node get one that no other row has, so they are spread and none goes.
+    keyed = rows.select("row", F.col("node").isNull().alias("blank"), F.coalesce("node", F.monotonically_increasing_id()).alias("node"), own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"))
+    key = ["blank", "node", "none", "id"]
+    return keyed.join(first, key, "left").where(F.col("blank") | F.col("kept")).dropDuplicates(key).select("row.*")

@@ -318,6 +318,21 @@ def test_ngram_jaccard(spark, docs, none, config):
         assert partenum.similar(none, config).count() == 0
 
 
+def test_ids_do_not_decide_whose_text_it_is(spark):
+    """Null ids, and different texts under one id: links and kept rows follow the texts."""
+    r = np.random.default_rng(12)
+    text = lambda: [f"w{k}" for k in r.integers(0, 10**6, 60)]
+    near = lambda words: " ".join([*words[:-1], "other"])
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, " ".join(a), "a"), (1, " ".join(b), "b"), (2, near(a), "a2"), (3, near(b), "b2")]
+    rows += [(None, " ".join(c), "c"), (None, near(c), "c2"), (None, " ".join(d), "d"), (None, " ".join(e), "e"), (9, near(e), "e2"), (None, None, "n"), (None, "", "m"), (None, "", "o")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, name string").repartition(3)
+    got = [(v["doc_id"], v["component_id"]) for v in partenum.similar(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 1), (1, 1), (2, 1), (3, 1), *[(None, None)] * 3, (None, 9), (9, 9), *[(None, None)] * 3]))
+    kept = [v["name"] for v in partenum.keep_one(df).collect()]
+    assert len({"c", "c2"} & set(kept)) == 1 and sorted(set(kept) - {"c", "c2"}) == ["a", "b", "d", "e2", "m", "n", "o"] and len(kept) == 8
+
+
 def test_similar_sets_share_a_signature():
     r = np.random.default_rng(9)
     for config in (partenum.JoinConfig(), partenum.JoinConfig(num=80)):
