@@ -24,14 +24,14 @@ _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0
 @dataclass(frozen=True)
 class ToxicityConfig:
     #: Bound of the training sample: the labelled rows with the smallest hash of their id.
-    sample: int = 10_000
-    #: Words kept as features for each category: the most informative ones of the sample.
-    features: int = 2000
-    #: A feature occurs in at least so many documents of the sample.
+    sample: int = 20_000
+    #: Words kept as features for each category: the most informative ones of all labelled rows.
+    features: int = 3000
+    #: A feature occurs in at least so many labelled documents.
     min_documents: int = 4
     folds: int = 5
     l2: float = 1e-3
-    steps: int = 120
+    steps: int = 300
     threshold: float = 0.5
 
 
@@ -57,13 +57,26 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in sums], pa.string()), *(pa.array(m[:, k].astype(np.int64)) for k in range(m.shape[1]))], names=["word", "n", *(f"c{k}" for k in range(m.shape[1] - 1))])
 
 
-def choose_features(labelled: DataFrame, categories: list[str], config: ToxicityConfig) -> list[str]:
-    """For each category the words whose presence tells most about it (G statistic)."""
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [b" ".join(sorted(words_of(t))).decode() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], names=["doc_id", "text"])
+
+
+def choose_features(labelled: DataFrame, categories: list[str], config: ToxicityConfig) -> dict[str, list[float]]:
+    """For each category the words whose presence tells most about it (G statistic) in all rows of
+    ``labelled``; each with its log-odds ratio for every category."""
     given = labelled.select("text", *[F.col(c).cast("int").alias(c) for c in categories])
     counts = given.mapInArrow(_words, "word string, n bigint, " + ", ".join(f"c{k} bigint" for k in range(len(categories))))
     counts = counts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(categories))]).where(F.col("n") >= config.min_documents)
     totals = given.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in categories]).first()
-    chosen: dict[str, None] = {}
+    counts = materialize(counts, "words")
+    chosen: dict[str, list[float]] = {}
+
+    def odds(r) -> list[float]:
+        of = [(r[f"c{j}"], totals[d] or 0) for j, d in enumerate(categories)]
+        return [float(np.log((yes + 0.5) / (all_yes + 1)) - np.log((r["n"] - yes + 0.5) / (totals["n"] - all_yes + 1))) for yes, all_yes in of]
+
     for k, c in enumerate(categories):
 
         def part(seen: Column, expected: Column) -> Column:
@@ -72,9 +85,9 @@ def choose_features(labelled: DataFrame, categories: list[str], config: Toxicity
         rate = (totals[c] or 0) / max(1, totals["n"])
         yes, n = F.col(f"c{k}").cast("double"), F.col("n").cast("double")
         g = part(yes, n * rate) + part(n - yes, n * (1 - rate))
-        for r in counts.select("word", g.alias("g")).orderBy(F.desc("g"), "word").limit(config.features).collect():
-            chosen.setdefault(r["word"])
-    return list(chosen)
+        for r in counts.withColumn("g", g).orderBy(F.desc("g"), "word").limit(config.features).collect():
+            chosen.setdefault(r["word"], odds(r))
+    return chosen
 
 
 class Sparse:
@@ -131,14 +144,18 @@ class Chain:
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], config: ToxicityConfig = ToxicityConfig()) -> Chain:
     """``labels``: doc_id and a 0/1 column per category; rows with a null label are not used.
 
-    The sample is chosen among the labels' ids, without texts; its rows, bounded by ``sample``, are
-    broadcast to fetch their texts, so the documents are not shuffled.
+    Features come from all labelled rows, for which each document's distinct words are shuffled once.
+    The sample for the fit is chosen among the labels' ids, without texts; its rows, bounded by
+    ``sample``, are broadcast to fetch their texts. A feature too rare in the sample to be fitted has
+    its log-odds ratio in all labelled rows as its weight.
     """
     for c in categories:
         labels = labels.where(F.col(c).isNotNull())
     chosen = labels.select("doc_id", F.xxhash64("doc_id").alias("h"), *[F.col(c).cast("int").alias(c) for c in categories]).orderBy("h", *categories).limit(config.sample)
     labelled = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
-    features = choose_features(labelled, categories, config)
+    words = docs.select("doc_id", "text").mapInArrow(_distinct, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+    features = choose_features(words.join(labels.select("doc_id", *categories), "doc_id"), categories, config)
+    ratios = np.array(list(features.values())).reshape(len(features), len(categories))
     vocabulary = {w.encode(): i for i, w in enumerate(features)}
     chain = Chain(categories, vocabulary, [])
     spark = labelled.sparkSession
@@ -152,16 +169,19 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], config: Tox
 
     got = labelled.select("h", "text", *categories).mapInArrow(numbered, "h bigint, x array<int>, " + ", ".join(f"{c} int" for c in categories)).toPandas().sort_values(["h", *categories])
     x, size = Sparse([list(r) for r in got["x"]]), len(vocabulary)
+    rare = np.bincount(x.col, minlength=size) < config.min_documents
     fold = np.arange(x.n) % config.folds
     extra = np.zeros((x.n, 0))
-    for c in categories:
+    for number, c in enumerate(categories):
         y = got[c].to_numpy(dtype=np.float64)
         unseen = np.zeros(x.n)
         for k in range(config.folds):
             w = fit_one(x, extra, y, (fold != k).astype(np.float64), size, config)
             z = x.dot(w[:size]) + extra @ w[size:-1] + w[-1]
             unseen[fold == k] = np.clip(z, -30, 30)[fold == k]
-        chain.models.append(fit_one(x, extra, y, np.ones(x.n), size, config))
+        w = fit_one(x, extra, y, np.ones(x.n), size, config)
+        w[:size][rare] = ratios[rare, number]
+        chain.models.append(w)
         extra = np.column_stack([extra, unseen])
     return chain
 

@@ -257,6 +257,18 @@ def test_toxicity(spark, none):
     assert toxicity.classify(d, blank).where("toxic").count() == 0
 
 
+def test_toxic_words_outside_the_sample(spark):
+    """Words come from all labelled rows: a toxic one that the sample lacks still decides."""
+    order = [r["id"] for r in spark.range(400).orderBy(F.xxhash64("id")).collect()]
+    rare = set(order[-30:])
+    toxic = set(order[:100:4]) | rare
+    d = spark.createDataFrame([(i, f"good words here number{i % 7} plain" + (" odious" if i in rare else " vile" if i in toxic else "")) for i in order], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in order], "doc_id bigint, toxic int")
+    chain = toxicity.train(d, labels, ["toxic"], toxicity.ToxicityConfig(sample=100))
+    assert {r["doc_id"] for r in toxicity.classify(d, chain).where("toxic").collect()} == toxic
+    assert (toxicity.ToxicityConfig().sample, toxicity.ToxicityConfig().features, toxicity.ToxicityConfig().steps) == (20_000, 3000, 300)
+
+
 def test_embedding_near(spark):
     r = np.random.default_rng(5)
     base = r.normal(size=(6, 16))
