@@ -96,9 +96,11 @@ def weighted_mean_vectors(vectors: DataFrame, by: str, weight: str) -> DataFrame
     return means.select(by, "i", (F.col("m") / length).alias("value"))
 
 
-def terminal_targets(spark: SparkSession, merges: DataFrame, most: int = 64) -> DataFrame:
-    """(source, target) chains followed to their end by doubling; a cycle makes the job fail."""
+def terminal_targets(spark: SparkSession, merges: DataFrame) -> DataFrame:
+    """(source, target) chains followed to their end by doubling; a cycle makes the job fail: no
+    chain is longer than there are merges."""
     now = merges.select("source", "target")
+    most = now.count()
     steps = 1
     while True:
         nxt = now.select(F.col("source").alias("s2"), F.col("target").alias("t2"))
@@ -107,7 +109,7 @@ def terminal_targets(spark: SparkSession, merges: DataFrame, most: int = 64) ->
         joined = _cut(spark, joined, "merges")
         if joined.where("moved").isEmpty():
             return joined.select("source", "target")
+        if steps >= most:  # what moved goes on beyond ``steps`` merges
+            raise ValueError("the chain of merges has a cycle")
         steps *= 2
-        if steps > most:
-            raise ValueError("the chain of merges has a cycle or is too long")
         now = joined.select("source", "target")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +136,35 @@ def report(values: DataFrame, rules: list[tuple[str, str, bool, float, float]],
     need = F.col("gate").isin(required)
     sums = out.agg(F.collect_list(F.when(need, F.col("verdict"))).alias("v"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("gate", "verdict")))).alias("gates"))
     return sums.select(worst_verdict(F.col("v")).alias("verdict"), F.to_json("gates").alias("gates"))
+
+
+def pair_distances(vectors: DataFrame, block: int = 1000) -> DataFrame:
+    """(same, d, n): how many pairs of all unit vectors (id, person, v) have which cosine distance,
+    at six decimals; ``same``: both are of one person.
+
+    Vectors are dealt into blocks of about ``block``; each pair of blocks is compared in one call and
+    gives its counts.
+    """
+    blocks = max(1, -(-vectors.count() // block))
+    b, k = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    dealt = vectors.select("id", "person", "v", b.alias("b"), k.alias("k")).withColumn("low", F.least("b", "k")).withColumn("high", F.greatest("b", "k"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        left = rows[rows["b"] == rows["low"].iloc[0]]
+        right = rows[rows["b"] == rows["high"].iloc[0]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"same": pd.array([], "boolean"), "d": np.zeros(0), "n": np.zeros(0, np.int64)})
+        i, j = left["id"].to_numpy()[:, None], right["id"].to_numpy()[None]
+        use = (i < j) if left["b"].iloc[0] == right["b"].iloc[0] else (i != j)
+        d = np.clip(1 - np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T, 0.0, 2.0)
+        codes = pd.factorize(pd.concat([left["person"], right["person"]]))[0]
+        x, y = codes[: len(left), None], codes[None, len(left) :]
+        same = np.where((x < 0) | (y < 0), 2, (x == y).astype(np.int64))
+        cell, n = np.unique(same[use] * 2_000_001 + np.rint(d[use] * 1e6).astype(np.int64), return_counts=True)
+        kind = cell // 2_000_001
+        flag = pd.array(kind == 1, "boolean")
+        flag[kind == 2] = pd.NA
+        return pd.DataFrame({"same": flag, "d": cell % 2_000_001 / 1e6, "n": n})
+
+    found = dealt.groupBy("low", "high").applyInPandas(compare, "same boolean, d double, n bigint")
+    return found.groupBy("same", "d").agg(F.sum("n").alias("n"))

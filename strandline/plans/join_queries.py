@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import assign as A
@@ -225,3 +226,11 @@ def merge_terminals(spark, sf):
     o = F.col("o_orderkey")
     merges = P.read(spark, sf, "orders").where(o % 16 < 11).select(o.alias("source"), (o + 1 + o % 5).alias("target"))
     return G.terminal_targets(spark, merges)
+
+
+@query("""SELECT source, last AS target FROM (SELECT o_orderkey AS source, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM orders) WHERE source <> last""")
+def merge_terminals_whole(spark, sf):
+    # Every order merges into its customer's next one: whole chains, no residue filter.
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    merges = P.read(spark, sf, "orders").select(F.col("o_orderkey").alias("source"), F.lead("o_orderkey").over(w).alias("target")).where(F.col("target").isNotNull())
+    return G.terminal_targets(spark, merges)

@@ -98,6 +98,13 @@ def same_diff_distance(spark, sf):
     return grid.select("same", *[F.round(c, 6).alias(c) for c in ("p05", "p50", "p95")], "n")
 
 
+@query()
+def same_diff_distance_whole(spark, sf):
+    # All pairs; distances are counted at six decimals. The sampled query above keeps its SQL.
+    rows = Q.pair_distances(P.vectors(spark, sf))
+    return rows.groupBy("same").agg(*[F.round(F.percentile("d", F.lit(q), F.col("n")), 6).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))], F.sum("n").alias("n"))
+
+
 @query(f"""WITH p AS (SELECT person, pred, succ, greatest(0.0, 1 - sim) AS d FROM {_PAIRS}), b AS (SELECT person, pred AS id, d FROM p UNION ALL SELECT person, succ, d FROM p),
   n AS (SELECT person, id, min(d) AS d FROM b GROUP BY ALL) SELECT person, round(median(d), 6) AS robust, round(min(d), 6) AS least, count(*) AS n FROM n GROUP BY person""")
 def robust_bidirectional_distance(spark, sf):

@@ -1,6 +1,7 @@
 """Operators on small inline rows, against brute force or values worked out by hand."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -296,3 +297,14 @@ def test_temporal(spark):
     k = spark.createDataFrame([("a", 1, 0.0, 0.0, 0.0), ("a", 2, 1.0, 1.0, 1.0)], "who string, id int, t double, x double, z double")
     e = spark.createDataFrame([("a", 1.05, 5.0, 5.0), ("a", 0.5, 7.0, 7.0)], "who string, t double, x double, z double")
     assert {(r["id"], r["x"]) for r in temporal.upsert_keyframe(k, e, "who").collect()} == {(1, 0.0), (2, 5.0), (None, 7.0)}
+
+
+def test_long_chains_and_all_pairs(spark):
+    merges = spark.createDataFrame([(i, i + 1) for i in range(300)], "source int, target int")
+    assert {tuple(r) for r in graph.terminal_targets(spark, merges).collect()} == {(i, 300) for i in range(300)}
+    x = np.random.default_rng(2).normal(size=(40, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, i % 3, x[i].tolist()) for i in range(40)], "id bigint, person int, v array<double>")
+    got = {(r["same"], round(r["d"], 6)): r["n"] for r in quality.pair_distances(v, 9).collect()}
+    want = Counter((i % 3 == j % 3, round(min(2.0, max(0.0, 1 - float(x[i] @ x[j]))), 6)) for i in range(40) for j in range(i + 1, 40))
+    assert got == want
