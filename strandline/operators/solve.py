@@ -94,6 +94,19 @@ def warp(a: np.ndarray, b: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     return float(total[n, m] / (n + m)), path[::-1]
 
 
+def resampled(points: DataFrame, key: str, value: str, bins: int) -> DataFrame:
+    """(key, v): each key's whole series (t, value) as means over ``bins`` equal times of its span.
+
+    A time without points takes the mean before it. A key of fewer than two points has one element.
+    """
+    span = points.groupBy(key).agg(F.min("t").alias("from_"), F.max("t").alias("to_"), F.count("*").alias("points_"))
+    place = F.when(F.col("to_") > F.col("from_"), F.least(F.lit(bins - 1), F.floor((F.col("t") - F.col("from_")) / (F.col("to_") - F.col("from_")) * bins))).otherwise(0).cast("int")
+    means = points.join(span, key).groupBy(key, place.alias("bin")).agg(F.avg(value).alias("mean"), F.first("points_").alias("points_"))
+    lists = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bin", "mean"))).alias("m"), F.first("points_").alias("points_"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.element_at(F.filter("m", lambda s: s["bin"] <= k), -1)["mean"])
+    return lists.select(key, F.when(F.col("points_") < 2, F.slice(whole, 1, 1)).otherwise(whole).alias("v"))
+
+
 @F.pandas_udf(DoubleType())
 def warp_cost(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([warp(np.asarray(x), np.asarray(y))[0] for x, y in zip(a, b)])

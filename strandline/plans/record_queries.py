@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -115,15 +114,13 @@ def best_candidate_paths(spark, sf):
 
     p = P.points(spark, sf)
     frames = p.select(F.col("track_id"), F.floor(F.col("t") / 8).cast("long").alias("frame"), F.col("event_id").alias("id"), "x", "z", "conf").withColumn("t", F.col("frame") * 8.0)
-    return V.solve_paths(frames, "track_id", V.PathConfig(top=3, beam=16))
+    return V.solve_paths(frames, "track_id")
 
 
 @query()
 def warped_alignment(spark, sf):
     from ..operators import solve as V
 
-    w = Window.partitionBy("track_id").orderBy("t", "event_id")
-    p = P.points(spark, sf).withColumn("k", F.row_number().over(w))
-    series = p.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "conf"))), lambda s: s["conf"]).alias("v")).withColumn("v", F.slice("v", 1, 24))
+    series = V.resampled(P.points(spark, sf), "track_id", "conf", 24)
     pairs = series.alias("a").join(series.alias("b"), F.col("b.track_id") == F.col("a.track_id") + 1)
     return pairs.select(F.col("a.track_id").alias("a_id"), F.col("b.track_id").alias("b_id"), F.round(V.warp_cost(F.col("a.v"), F.col("b.v")), 6).alias("cost"))

@@ -308,3 +308,19 @@ def test_long_chains_and_all_pairs(spark):
     got = {(r["same"], round(r["d"], 6)): r["n"] for r in quality.pair_distances(v, 9).collect()}
     want = Counter((i % 3 == j % 3, round(min(2.0, max(0.0, 1 - float(x[i] @ x[j]))), 6)) for i in range(40) for j in range(i + 1, 40))
     assert got == want
+
+
+def test_whole_track_is_warped(spark):
+    rows = [(1, float(t), 0.0 if t < 30 else 1.0) for t in range(60)] + [(2, float(t), 0.0) for t in range(60)] + [(3, 5.0, 0.5)]
+    got = {r["k"]: r["v"] for r in solve.resampled(spark.createDataFrame(rows, "k int, t double, conf double"), "k", "conf", 24).collect()}
+    assert len(got[1]) == 24 and got[1][0] == 0 and got[1][-1] == 1 and got[2] == [0.0] * 24 and got[3] == [0.5]
+    assert solve.warp(got[1], got[2])[0] > 0.1
+
+
+def test_candidate_paths_use_the_whole_search(spark, monkeypatch):
+    from strandline.plans import record_queries
+
+    seen = []
+    monkeypatch.setattr(solve, "solve_paths", lambda rows, key, config=solve.PathConfig(): seen.append(config))
+    record_queries.best_candidate_paths(spark, "/root/testdata/sf0.001")
+    assert seen == [solve.PathConfig()] and (seen[0].top, seen[0].beam) == (6, 128)
