@@ -33,10 +33,11 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LanguageConfig:
     #: Bound of the training sample: for each language, slots x per_slot texts of at most
-    #: piece_chars characters each, the ones with the smallest hash of their id.
+    #: piece_chars characters each, the ones with the smallest hash of their id. A piece begins at a
+    #: place that the hash decides, so it may be any part of its text.
     slots: int = 64
-    per_slot: int = 1
-    piece_chars: int = 500
+    per_slot: int = 2
+    piece_chars: int = 1500
     level: int = 5
     #: A text is compressed in pieces of so many bytes.
     piece_bytes: int = 2048
@@ -56,8 +57,11 @@ def train(rows: DataFrame, config: LanguageConfig = LanguageConfig()) -> list[tu
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(config.max_languages + 1).collect()}
     if len(counts) > config.max_languages:
         raise ValueError(f"more than {config.max_languages} languages")
+    places = F.greatest(F.length("text") - config.piece_chars, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64("doc_id", "text", F.lit("piece")), places.cast("long")).cast("int") + 1
+    piece = F.substr("text", start, F.lit(config.piece_chars))
     # The smallest hash of each slot of each language: partial aggregates, so no task sees a whole language.
-    least = usable.select("lang", F.struct(h.alias("h"), F.substring("text", 1, config.piece_chars).alias("piece")).alias("p"), F.pmod(h, F.lit(config.slots * config.per_slot)).alias("slot"))
+    least = usable.select("lang", F.struct(h.alias("h"), piece.alias("piece")).alias("p"), F.pmod(h, F.lit(config.slots * config.per_slot)).alias("slot"))
     pieces = least.groupBy("lang", "slot").agg(F.min("p").alias("p")).orderBy("lang", "slot").collect()
     out: dict[str, list[bytes]] = {}
     for r in pieces:

@@ -200,6 +200,15 @@ def test_language_id(spark, docs, none):
     assert kept.columns[: len(docs.columns)] == docs.columns and kept.where("text is not null").count() == docs.where("text is not null").count()
 
 
+def test_dictionaries_are_of_whole_texts(spark):
+    """A header that opens every text does not fill its language's dictionary."""
+    header = "licensed under the terms stated here " * 60
+    rows = [(i, header + f"{body} " * 1500, lang) for i in range(40) for lang, body in (("xx", "quenya"), ("yy", "sindar"))]
+    learned = dict(language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")))
+    assert learned["xx"].count(b"quenya") > 1000 and learned["yy"].count(b"sindar") > 1000
+    assert language_id.LanguageConfig().slots * language_id.LanguageConfig().per_slot == 128
+
+
 def test_token_store(spark, docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
