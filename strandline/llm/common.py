@@ -20,23 +20,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests in one process) is a new local one set.
+    Only in one process (tests), where the session names none, a new local one is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Spark's setting that removes a query's shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    Cuts the lineage so that a lost executor costs no recomputation of what stands before.
+    Cuts the lineage so that a lost executor costs no recomputation of what stands before; so the
+    shuffle files of the write are not needed again and go at its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("error").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

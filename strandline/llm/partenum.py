@@ -1,30 +1,34 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 Sets of shingles are put into size bands so that similar sets meet in one, where they differ in at
-most k shingles. The shingle domain is split into n1 groups of n2 partitions; two sets that differ
-in at most k shingles have groups in which they differ in one shingle at most, so all but one of that
-group's partitions hold the same shingles. A signature is the content of n2 - 1 partitions of a
-group, and every such subset is enumerated: similar sets share a signature, always.
-
-Sets that share a signature are checked exactly against the smallest and the largest of them, and
-linked. Where a signature's sets still lie in different components, their sets are joined once more
-by their rarest shingles: two similar sets have one of those in common, at places that leave room for
-enough others. So a large group of near copies is not compared pair by pair, and no link that
-could join two components is left out.
+most k shingles. The shingle domain is split into n1 groups of n2 partitions; a signature is the
+content of n2 - 1 partitions of a group, and every such subset is enumerated. A group in which two
+sets agree gives them n2 signatures in common, one with differences in one partition gives one, any
+other none: so similar sets share at least 2 * n1 - k signatures, always, and a set that shares fewer
+with all others together is linked with nothing.
+
+Sets that share a signature are compared with the smallest and the largest of them, and linked: first
+by their sizes and by bitmaps of the shingles' parities, which differ in no more bits than the sets
+do in shingles, then exactly. Where a signature's sets still lie in different components, their sets
+are joined once more by their rarest shingles, under the same tests: two similar sets have one of
+those in common, at places that leave room for enough others. So a large group of near copies is not
+compared pair by pair, and no link that could join two components is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import SPACED_WORD, materialize
 from .components import components
 
 
@@ -104,42 +108,35 @@ class Bands:
         return [own - 1, own] if own and size <= self._reach(self.high[own - 1]) else [own]
 
     def shape(self, i: int) -> tuple[int, int, int]:
-        """(n1, n2, spare) of a band.
+        """(n1, n2, need) of a band: similar sets in it share ``need`` signatures or more.
 
         Similar sets of sizes a and b, one in the band, differ in (den - num) / (den + num) * (a + b)
-        shingles at most. At most k // 2 groups have two differences; ``spare`` + 1 others have one or
-        none. Small sets get fewer and larger subsets, so that a signature always holds many shingles.
+        shingles at most. At most k // 2 groups have two differences; there are more groups than
+        that, so that a set needs many shared signatures. Small sets get fewer and larger subsets, so
+        that a signature always holds many shingles.
         """
         c, top = self.config, self.high[i]
         k = (c.den - c.num) * (top + self._reach(top)) // (c.den + c.num)
-        if k <= 6:
-            return k // 2 + 1, 5, 0
-        spare = 1 + k // 64
-        return k // 2 + 1 + spare, 3 if k <= 16 else 2, spare
+        n1 = k // 2 + 1 + (0 if k <= 6 else 1 + k // 8)
+        return n1, 5 if k <= 6 else 3 if k <= 16 else 2, 2 * n1 - k
 
 
-#: A subset with fewer shingles is thin.
-THIN = 3
+def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, ...]:
+    """Signatures of many sets at once, and for each the number of its stand; then for each stand (a
+    set in one of its bands) the index of the set, the band, and how many shared signatures it needs.
 
-
-def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of many sets at once, and for each the index of its set.
-
-    Thin subsets are left out, unless a set has more groups with one than there are spare groups:
-    of spare + 1 groups in which similar sets agree, one has no thin subset otherwise, and equal
-    subsets are thin in both sets or in none.
+    Empty subsets are left out where the set has so few that similar sets share others besides, and
+    then the set needs as many less.
     """
-    sigs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    use = [i for i, s in enumerate(sets) if len(s) >= bands.least]
-    if not use:
-        return sigs[0], owners[0]
+    sigs, stands, tables, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((3, 0), np.int64)], 0
     work: dict[int, list[tuple[int, int, int, int]]] = {}
-    for i in use:
-        for k in bands.of(len(sets[i])):
-            n1, n2, spare = bands.shape(k)
-            work.setdefault(n2, []).append((i, k, n1, spare))
+    for i, s in enumerate(sets):
+        if len(s) >= bands.least:
+            for k in bands.of(len(s)):
+                n1, n2, need = bands.shape(k)
+                work.setdefault(n2, []).append((i, k, n1, need))
     for n2, items in work.items():
-        index, pair, n1, spare = (np.array(c) for c in zip(*items))
+        index, band, n1, need = (np.array(c) for c in zip(*items))
         sizes = np.array([len(sets[i]) for i in index])
         flat = np.concatenate([sets[i] for i in index])
         content = _mix(flat ^ np.uint64(0x5851F42D4C957F2D))
@@ -153,15 +150,18 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         value = _mix((low + (high << np.uint64(32))).reshape(-1, n2) + np.arange(1, n2 + 1, dtype=np.uint64))
         owner = np.repeat(np.arange(len(index)), n1)
         group = np.arange(len(owner)) - np.repeat(np.cumsum(n1) - n1, n1)
-        tag = _mix(((pair + 2).astype(np.uint64)[owner] << np.uint64(32)) + group.astype(np.uint64))
-        rest = count.sum(1)[:, None] - count  # shingles without one partition
-        thin = rest < THIN
-        give = ~thin | (np.bincount(owner, weights=thin.any(1), minlength=len(index)) > spare)[owner][:, None] | (spare == 0)[owner][:, None]
+        tag = _mix(((band + 2).astype(np.uint64)[owner] << np.uint64(32)) + group.astype(np.uint64))
+        empty = count.sum(1)[:, None] == count
+        blank = np.bincount(owner, weights=empty.sum(1), minlength=len(index)).astype(np.int64)
+        few = blank < need
+        give = ~(empty & few[owner][:, None])
         whole = value.sum(1, dtype=np.uint64)[:, None] - value
         sig = _mix(_mix(whole + tag[:, None]) + np.arange(n2, dtype=np.uint64))
         sigs.append(sig[give])
-        owners.append(np.broadcast_to(index[owner][:, None], sig.shape)[give])
-    return np.concatenate(sigs), np.concatenate(owners)
+        stands.append(np.broadcast_to(owner[:, None], sig.shape)[give] + offset)
+        tables.append(np.stack([index, band, np.where(few, need - blank, 1)]))
+        offset += len(index)
+    return np.concatenate(sigs), np.concatenate(stands), *np.concatenate(tables, axis=1)
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -172,11 +172,11 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 def _sets(batches: Iterator[pa.RecordBatch], config: JoinConfig) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for t in batch.column(1).to_pylist():
+        for t in batch.column("text").to_pylist():
             s = shingles(t, config)
             rows.append((len(s), *(_digest(s) if len(s) else (None, None))))
         n, d, e = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(e, pa.int64())], names=["doc_id", "n_shingles", "node", "check"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(e, pa.int64())], names=["doc_id", "k1", "k2", "n_shingles", "node", "check"])
 
 
 #: Shingles that are turned into signatures at once.
@@ -212,16 +212,18 @@ def _passes(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], config: JoinConfig, shared=None) -> Iterator[pa.RecordBatch]:
-    """(sig, node) of every text; with ``shared``, a broadcast filter, only those that it lets pass."""
+    """(sig, node, band, need) of every text; with ``shared``, a broadcast filter, only the signatures
+    that it lets pass, of sets that have as many of them as they need in the band."""
     bands = Bands(config)
 
     def give(sets: list[np.ndarray]) -> pa.RecordBatch:
-        sig, owner = signatures(sets, bands)
+        sig, stand, owner, band, need = signatures(sets, bands)
         nodes = np.array([_digest(s)[0] for s in sets], dtype=np.int64)
         if shared is not None:
             passes = _passes(sig, shared.value)
-            sig, owner = sig[passes], owner[passes]
-        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[owner])], names=["sig", "node"])
+            passes &= (np.bincount(stand[passes], minlength=len(need)) >= need)[stand]
+            sig, stand = sig[passes], stand[passes]
+        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[owner[stand]]), pa.array(band[stand].astype(np.int32)), pa.array(need[stand].astype(np.int32))], names=["sig", "node", "band", "need"])
 
     for batch in batches:
         waiting, n = [], 0
@@ -237,23 +239,41 @@ def _signed(batches: Iterator[pa.RecordBatch], config: JoinConfig, shared=None)
             yield give(waiting)
 
 
-def _arrays(batches: Iterator[pa.RecordBatch], config: JoinConfig, wanted=None) -> Iterator[pa.RecordBatch]:
-    """(node, shingles) of every text; with ``wanted``, a broadcast filter of nodes, only those that it lets pass."""
+#: 64-bit words of a set's bitmap of parities.
+BITMAP_WORDS = 16
+
+
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Bit i tells if the set has an odd number of shingles that are put there."""
+    at = (_mix(s ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * BITMAP_WORDS) & 1).astype(bool)).view(np.int64)
+
+
+def _arrays(batches: Iterator[pa.RecordBatch], config: JoinConfig, wanted) -> Iterator[pa.RecordBatch]:
+    """(node, size, bits, shingles) of the texts whose first key ``wanted``, a broadcast filter, lets pass."""
     given: set[int] = set()  # copies within a task are sent once, as far as its bound goes
     for batch in batches:
+        batch = batch.filter(pa.array(_passes(batch.column("k1").to_numpy().view(np.uint64), wanted.value)))
         for k in range(0, batch.num_rows, 256):
             sets: dict[int, np.ndarray] = {}
-            for t in batch.column(0).slice(k, 256).to_pylist():
+            for t in batch.column("text").slice(k, 256).to_pylist():
                 s = shingles(t, config)
                 if len(s) and (node := _digest(s)[0]) not in given:
                     sets[node] = s
-            nodes = np.array(list(sets), dtype=np.int64)
-            if wanted is not None:
-                nodes = nodes[_passes(nodes.view(np.uint64), wanted.value)]
             if len(given) > config.cached_words:
                 given.clear()
-            given.update(nodes.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([sets[n].view(np.int64) for n in nodes.tolist()], pa.list_(pa.int64()))], names=["node", "shingles"])
+            given.update(sets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int64()), pa.array([_bitmap(s) for s in sets.values()], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets.values()], pa.list_(pa.int64()))],
+                names=["node", "size", "bits", "shingles"],
+            )
+
+
+def _may_link(l: str, r: str, config: JoinConfig) -> Column:
+    """False only for sets, under two aliases, that cannot be similar by their sizes and bitmaps."""
+    a, b = F.col(f"{l}.size"), F.col(f"{r}.size")
+    differ = reduce(add, (F.bit_count(F.col(f"{l}.bits")[i].bitwiseXOR(F.col(f"{r}.bits")[i])) for i in range(BITMAP_WORDS)))
+    return (F.least(a, b) * config.den >= F.greatest(a, b) * config.num) & (differ * (config.den + config.num) <= (a + b) * (config.den - config.num))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, config: JoinConfig) -> DataFrame:
@@ -261,8 +281,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, config: JoinConfig) -> DataFrame
     x = texts.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = texts.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    near = F.least(F.size("x"), F.size("y")) * config.den >= F.greatest(F.size("x"), F.size("y")) * config.num
-    return pairs.join(x, "a").join(y, "b").where(near).where(both * config.den >= (F.size("x") + F.size("y") - both) * config.num).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").where(both * config.den >= (F.size("x") + F.size("y") - both) * config.num).select("a", "b")
 
 
 def _rare_pairs(sets: DataFrame, config: JoinConfig) -> DataFrame:
@@ -272,7 +291,7 @@ def _rare_pairs(sets: DataFrame, config: JoinConfig) -> DataFrame:
     first size - least overlap + 1 of each. At the first one they have in common, what follows in
     either set must be enough for the overlap that the similarity asks for.
     """
-    rows = sets.select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    rows = sets.select("node", "component", "size", F.explode("shingles").alias("shingle"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where(F.col("often") > 1)
     # Shingles of one set only come first in any case: their number is what is missing.
     seen = rows.join(often, "shingle")
@@ -280,54 +299,59 @@ def _rare_pairs(sets: DataFrame, config: JoinConfig) -> DataFrame:
     ordered = ordered.withColumn("at", F.col("k") + F.col("size") - F.col("of"))
     least = F.ceil(F.col("size") * config.num / config.den)
     first = ordered.where(F.col("at") <= F.col("size") - least + 1).select("shingle", "node", "component", "size", "at")
-    first = materialize(first, "rarest")
-    a, b = (first.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "size", "at")]) for s in "ab")
-    both = F.col("size_a") + F.col("size_b")
-    overlap = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + 1
-    may = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & (overlap * (config.den + config.num) >= both * config.num)
-    near = F.least("size_a", "size_b") * config.den >= F.greatest("size_a", "size_b") * config.num
-    on = (F.col("l.shingle") == F.col("r.shingle")) & may & near
-    pairs = a.alias("l").join(b.alias("r"), on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    return pairs.distinct()
-
-
-def _noded(batches: Iterator[pa.RecordBatch], config: JoinConfig) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = (shingles(t, config) for t in batch.column(1).to_pylist())
-        nodes = pa.array([_digest(s)[0] if len(s) else None for s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), nodes], names=["row", "node"])
+    first = materialize(first.join(sets.select("node", "bits"), "node"), "rarest")
+    both = F.col("l.size") + F.col("r.size")
+    overlap = F.least(F.col("l.size") - F.col("l.at"), F.col("r.size") - F.col("r.at")) + 1
+    may = (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & (overlap * (config.den + config.num) >= both * config.num)
+    on = (F.col("l.shingle") == F.col("r.shingle")) & may & _may_link("l", "r", config)
+    return first.alias("l").join(first.alias("r"), on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+
+
+def _keys() -> list[Column]:
+    """Two 64-bit hashes of a text, by which tasks know it again without its shingles."""
+    text = F.col("text").cast("binary")
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
 def _components(docs: DataFrame, config: JoinConfig) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n_shingles, node of every row; and of every node its smallest id and its component, a node."""
-    ids = F.col("doc_id").cast("long").alias("doc_id")
+    """doc_id, k1, k2, n_shingles, node of every row; and of every node its smallest id and its component, a node."""
+    spark = docs.sparkSession
     text = F.col("text").cast("binary").alias("text")
-    sets = materialize(docs.select(ids, text).mapInArrow(lambda it: _sets(it, config), "doc_id bigint, n_shingles bigint, node bigint, check bigint"), "sets")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(), text).mapInArrow(lambda it: _sets(it, config), "doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, node bigint, check bigint")
+    sets = materialize(made, "sets")
     # Equal sets are one node; its digest is checked against a second one.
     nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.min("check").alias("c"), F.max("check").alias("d"))
     nodes = nodes.withColumn("first", F.when(F.col("c") == F.col("d"), F.col("first")).otherwise(F.raise_error(F.lit("two sets have one digest")).cast("long"))).select("node", "first")
     nodes = materialize(nodes, "nodes")
-    signed = docs.select(text).mapInArrow(lambda it: _signed(it, config), "sig bigint, node bigint")
-    shared = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where(F.col("lo") != F.col("hi"))
+    kinds = "sig bigint, node bigint, band int, need int"
+    signed = docs.select(text).mapInArrow(lambda it: _signed(it, config), kinds)
+    shared = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where(F.col("lo") != F.col("hi")).select("sig")
     shared = materialize(shared, "shared-signatures")
     # Rows of equal sets are equal; only signatures that different sets share go on.
-    passing = docs.sparkSession.sparkContext.broadcast(_filter(shared))
-    signed = docs.select(text).mapInArrow(lambda it: _signed(it, config, passing), "sig bigint, node bigint")
-    shared = materialize(signed.join(shared, "sig").groupBy("sig", "node").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")), "shared")
+    passing = spark.sparkContext.broadcast(_filter(shared))
+    signed = docs.select(text).mapInArrow(lambda it: _signed(it, config, passing), kinds)
+    signed = materialize(signed.join(shared, "sig", "left_semi").distinct(), "signed")
+    enough = signed.groupBy("node", "band").agg(F.count("*").alias("n"), F.max("need").alias("need")).where(F.col("n") >= F.col("need")).select("node", "band")
+    placed = materialize(signed.join(enough, ["node", "band"], "left_semi").select("sig", "node"), "placed")
+    ends = placed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where(F.col("lo") != F.col("hi"))
+    shared = materialize(placed.join(ends, "sig"), "shared")
+    found = materialize(shared.select("node").distinct(), "found")
     # A set's node is its digest, made where the set is made, so no id decides whose set it is.
-    found = shared.select("node").distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter(found.select(F.col("node").alias("sig"))))
-    made = docs.select(text).mapInArrow(lambda it: _arrays(it, config, wanted), "node bigint, shingles array<bigint>")
+    wanted = spark.sparkContext.broadcast(_filter(sets.join(found, "node", "left_semi").select(F.col("k1").alias("sig"))))
+    made = docs.select(F.xxhash64(text).alias("k1"), text).mapInArrow(lambda it: _arrays(it, config, wanted), "node bigint, size bigint, bits array<bigint>, shingles array<bigint>")
     arrays = materialize(made.join(found, "node", "left_semi").dropDuplicates(["node"]), "arrays")
-    ends = shared.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(shared.select(F.col("node").alias("a"), F.col("hi").alias("b")))
-    tried = materialize(ends.where(F.col("a") != F.col("b")).distinct(), "tried")
-    links = materialize(_linked(tried, arrays, config), "links")
+    marks = arrays.select("node", "size", "bits")
+    pairs = shared.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(shared.select(F.col("node").alias("a"), F.col("hi").alias("b")))
+    tried = materialize(pairs.where(F.col("a") != F.col("b")).distinct(), "tried")
+    first = tried.join(marks.withColumnRenamed("node", "a"), "a").alias("l")
+    near = materialize(first.join(marks.alias("r"), (F.col("l.b") == F.col("r.node")) & _may_link("l", "r", config)).select("a", "b"), "near")
+    links = materialize(_linked(near, arrays, config), "links")
     comp = materialize(components(links), "components")
     placed = shared.select("sig", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("sig")
     open_nodes = materialize(placed.join(several, "sig").select("node", "component").distinct(), "open")
-    more = _linked(_rare_pairs(arrays.join(open_nodes, "node"), config).join(tried, ["a", "b"], "left_anti"), arrays, config)
-    more = materialize(more, "links")
+    more = materialize(_rare_pairs(arrays.join(open_nodes, "node"), config).join(tried, ["a", "b"], "left_anti"), "near")
+    more = materialize(_linked(more, arrays, config), "links")
     if not more.isEmpty():
         comp = materialize(components(links.unionByName(more)), "components")
     names = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -352,16 +376,21 @@ def similar(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
 def keep_one(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     """One row of ``docs`` of each component, one with the smallest id, as it came; null ids come last.
 
-    Rows without shingles link with nothing and all stay.
+    Of rows with that id, the one whose text has the smallest hash stays; of rows with one id and one
+    text, the first by all its columns. Rows without shingles link with nothing and all stay.
     """
-    _, names = _components(docs, config)
-    order = F.struct(F.col("first").isNull().alias("none"), F.coalesce("first", F.lit(0)).alias("id"), "node")
-    first = names.groupBy("component").agg(F.min(order).alias("r")).select(F.lit(False).alias("blank"), "r.node", "r.none", "r.id", F.lit(True).alias("kept"))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("binary").alias("text"))
-    kind = whole.schema["row"].dataType.simpleString()
-    rows = whole.mapInArrow(lambda it: _noded(it, config), f"row {kind}, node bigint")
-    own = F.col("row.doc_id").cast("long")
-    # Rows without a node get one that no other row has, so they are spread and none goes.
-    keyed = rows.select("row", F.col("node").isNull().alias("blank"), F.coalesce("node", F.monotonically_increasing_id()).alias("node"), own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"))
-    key = ["blank", "node", "none", "id"]
-    return keyed.join(first, key, "left").where(F.col("blank") | F.col("kept")).dropDuplicates(key).select("row.*")
+    sets, names = _components(docs, config)
+    key = ["none", "id", "k1", "k2"]
+    own = F.col("doc_id").cast("long")
+    id_key = [own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id")]
+    rows = sets.join(names.select("node", "component"), "node").select("component", *id_key, "k1", "k2")
+    counted = rows.groupBy("component", *key).agg(F.count("*").alias("of"))
+    first = counted.groupBy("component").agg(F.min(F.struct(*key, "of")).alias("r")).select("r.*")
+    words = F.coalesce(F.col("text").cast("string").rlike(SPACED_WORD), F.lit(False))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *id_key, *_keys(), words.alias("words"))
+    # Rows without words get a key that no other row has, so they are spread and none goes.
+    whole = whole.withColumn("k1", F.when(F.col("words"), F.col("k1")).otherwise(F.monotonically_increasing_id())).withColumn("k2", F.when(F.col("words"), F.col("k2")))
+    kept = whole.join(first, key, "left").where(~F.col("words") | F.col("of").isNotNull())
+    order = F.when(F.col("of") > 1, F.to_json("row")).otherwise("")
+    alike = kept.groupBy(*key, "words").agg(F.min_by("row", order).alias("row"))
+    return alike.select("row.*")

@@ -365,8 +365,11 @@ def test_similar_sets_share_a_signature():
             b = np.unique(np.concatenate([r.permutation(a)[drop:], r.integers(0, 2**63, int(r.integers(0, drop + 1))).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
             if config.den * both >= config.num * (len(a) + len(b) - both) and len(b) >= bands.least:
-                sig, owner = partenum.signatures([a, b], bands)
-                assert set(sig[owner == 0]) & set(sig[owner == 1])
+                sig, stand, owner, band, need = partenum.signatures([a, b], bands)
+                own = bands.band(min(len(a), len(b)))  # both stand in the smaller set's band
+                x, y = (int(np.flatnonzero((owner == i) & (band == own))[0]) for i in (0, 1))
+                assert len(set(sig[stand == x]) & set(sig[stand == y])) >= max(1, need[x], need[y])
+                assert int(np.bitwise_count((partenum._bitmap(a) ^ partenum._bitmap(b)).view(np.uint64)).sum()) <= len(a) + len(b) - 2 * both
 
 
 def test_chat_format(spark):
