@@ -32,8 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Spark's setting that removes a query's shuffle files when the query has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings while a table is written: a query's shuffle files go when it has ended; texts may be
+#: long, so few of them are sent to Python at once.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -44,15 +45,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.mode("error").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,6 +75,12 @@ def keyed_text(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(F.struct(*keep).alias("key"), text.alias("text"))
 
 
+def unless_named(keep: list[str], results: list[str]) -> list[str]:
+    """The kept columns, without those that have the name of a result (names without regard to case)."""
+    taken = {r.lower() for r in results}
+    return [c for c in keep if c.lower() not in taken]
+
+
 def texts_of(batch):
     """The texts of a batch of ``keyed_text``, as an Arrow array."""
     key = batch.column(0)

@@ -10,6 +10,7 @@ that many-word blocks, each its own broadcast and pass, and the passes' hits are
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, texts_of
+from .common import keyed_text, materialize, texts_of, unless_named
 
 #: Bytes of a word after A-Z are lower-cased: digits, a-z and everything beyond ASCII.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -49,7 +50,9 @@ class WindowSet:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
             n = min(window, len(ids))
             for i in range(len(ids) - n + 1 if n else 0):
-                lengths.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(str(item))
+                owners = lengths.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set())
+                if item is not None:
+                    owners.add(str(item))
         self.by_length = []
         for n, windows in sorted(lengths.items()):
             words = np.array(list(windows), dtype=np.uint64).reshape(-1, n)
@@ -103,7 +106,7 @@ class WindowSet:
         return [(int(c), mask[s : s + c], items.get(i, set()), sorted(found.get(i, ()))) for i, (s, c) in enumerate(zip(starts, counts))]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], shared, index: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     windows: WindowSet = shared.value
     for batch in batches:
         found = windows.scan(texts_of(batch).cast(pa.binary()).to_pylist())
@@ -144,27 +147,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, config: DecontaminateCo
     Words are lower-cased runs of digits, ASCII letters and characters beyond ASCII. A window has
     ``window`` words of an item; an item with fewer words, but some, is one window. Null and empty
     texts have no words, no hits and are clean; an empty benchmark hits nothing. Repeated rows each
-    get their row; items with equal ids count once. Other columns are ignored.
+    get their row; items with equal ids count once, and windows of items without an id hit but name
+    no item. A kept column with the name of a result gives way to it; other columns are ignored.
     """
+    keep = unless_named(keep or ["doc_id"], RESULTS)
+    return _judged(docs, benchmark, config, keep).select("key.*", *RESULTS)
+
+
+RESULTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"]
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConfig, keep: list[str]) -> DataFrame:
+    """``key``, a struct of the kept columns, then RESULTS."""
     spark = docs.sparkSession
-    keep = keep or ["doc_id"]
     span = "array<struct<start:bigint,stop:bigint>>"
     source = keyed_text(docs, keep)
-    kind = source.schema["key"].dataType.simpleString()
-    passes = []
-    for i, windows in enumerate(benchmark_blocks(benchmark, config)):
-        shared = spark.sparkContext.broadcast(windows)
-        passes.append(source.mapInArrow(lambda it, s=shared, i=i: _scan(it, s, i), f"key {kind}, n_words bigint, spans {span}, items array<string>"))
-    if len(passes) == 1:
-        found = passes[0].select("key", "n_words", "spans", F.array_sort("items").alias("items"), F.lit(1).alias("rows"))
+    blocks = benchmark_blocks(benchmark, config)
+    first, second = next(blocks), next(blocks, None)
+
+    def scanned(rows: DataFrame, windows: WindowSet) -> DataFrame:
+        shared, kind = spark.sparkContext.broadcast(windows), rows.schema["key"].dataType.simpleString()
+        return rows.mapInArrow(lambda it: _scan(it, shared), f"key {kind}, n_words bigint, spans {span}, items array<string>")
+
+    if second is None:
+        found = scanned(source, first).select("key", "n_words", "spans", F.array_sort("items").alias("items"))
     else:
-        # Equal rows have equal hits; each pass gives every row once.
-        both = passes[0].withColumn("pass", F.lit(0))
-        for i, p in enumerate(passes[1:], 1):
-            both = both.unionByName(p.withColumn("pass", F.lit(i)))
-        found = both.groupBy("key", "n_words").agg(
-            F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count_if(F.col("pass") == 0).alias("rows")
-        )
+        # Rows are numbered once; a pass gives a row's number and hits, and only those are shuffled.
+        numbered = materialize(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        text = F.col("key.text") if "text" in keep else F.col("text")
+        narrow = numbered.select(F.struct("row").alias("key"), text.alias("text"))
+        hits = scanned(narrow, first).withColumn("n", F.col("n_words"))
+        for windows in itertools.chain([second], blocks):
+            hits = hits.unionByName(scanned(narrow, windows).where(F.size("spans") > 0).withColumn("n", F.lit(None).cast("long")))
+        hits = hits.groupBy(F.col("key.row").alias("row")).agg(F.max("n").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = numbered.join(hits, "row").select("key", "n_words", "spans", "items")
         merged = F.aggregate(
             F.array_sort("spans"),
             F.array().cast(span),
@@ -176,10 +192,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, config: DecontaminateCo
                 ),
             ).otherwise(F.concat(acc, F.array(s))),
         )
-        found = found.withColumn("spans", merged).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+        found = found.withColumn("spans", merged)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return found.withColumn("n_hit", n_hit).select(
-        *[F.col("key")[c].alias(c) for c in keep],
+        "key",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -190,9 +206,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, config: DecontaminateCo
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConfig = DecontaminateConfig()) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with the columns they came with."""
-    found = contamination(docs, benchmark, config, keep=list(docs.columns))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated, with the columns they came with, whatever their names."""
+    return _judged(docs, benchmark, config, list(docs.columns)).where(~F.col("contaminated")).select("key.*")
 
 
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -2,9 +2,9 @@
 
 Equal vectors are one point with a count. Points are dealt into shards, each shard's points become
 a layered graph, and every point is searched in every shard. A search keeps a beam of the best
-points seen and goes on from every point over the threshold, however many there are. Each task first
-audits a sample of its queries against all points of its shard, and widens the beam until enough
-of their neighbours are found (a beam as wide as the shard is a full scan). Pairs found are checked by
+points seen and goes on from every point over the threshold, however many there are. Of every block of
+queries some, chosen by hash, are audited against all points of the shard, and the beam is widened until
+each finds enough of its neighbours (a beam as wide as the shard is a full scan). Pairs found are checked by
 cosine in double precision; links become components.
 """
 
@@ -34,12 +34,17 @@ class NearConfig:
     neighbours: int = 12
     build_beam: int = 40
     beam: int = 24
-    #: Neighbours that the audit must find, of audit queries in each task.
-    audit: int = 200
+    #: Audited queries of a block, of a shard's first one, and the share of their neighbours, themselves
+    #: left out, that they must find on average; none may find less than ``worst``.
+    audit: int = 32
+    first_audit: int = 100
     recall: float = 0.99
+    worst: float = 0.8
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; the largest component is taken out first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -219,12 +224,18 @@ def _task(batches: Iterator[pa.RecordBatch], config: NearConfig) -> Iterator[pa.
         made, exact, point_ids, weights = graph
         q = _unit(np.stack([r[2] for r in rows]).astype(np.float64))
         floor = np.float32(config.threshold - 1e-4)
-        if beam < 0:  # audit: the beam is widened until it finds what a full scan finds
-            beam = config.beam
-            some = q[: config.audit].astype(np.float32)
-            true = int((some @ made.x.T >= floor).sum())
-            while beam < len(made.x) and len(made.over(some, beam, floor)[0]) < config.recall * true:
-                beam *= 2
+        # Audit: rows come in the order of a hash, so the first are a fair sample of all.
+        n = config.first_audit if beam < 0 else config.audit
+        beam = max(beam, config.beam)
+        some, own = q[:n].astype(np.float32), np.array([r[0] for r in rows[:n]])[:, None] == point_ids[None]
+        near = (some @ made.x.T >= floor) & ~own
+        true = near.sum(1)
+        while beam < len(made.x) and true.any():
+            row, to = made.over(some, beam, floor)
+            share = (np.bincount(row[near[row, to]], minlength=len(some)) / np.maximum(true, 1))[true > 0]
+            if share.mean() >= config.recall and share.min() >= config.worst:
+                break
+            beam *= 2
         row, to = made.over(q.astype(np.float32), beam, floor)
         good = np.einsum("ij,ij->i", q[row], exact[to]) >= config.threshold
         ids = np.array([r[0] for r in rows])
@@ -277,7 +288,7 @@ def near_duplicates(vectors: DataFrame, config: NearConfig = NearConfig()) -> Da
     stored = points.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(F.size("v").alias("d"), of_node(shards, 1).alias("shard"), F.col("part").cast("long").alias("part"), F.lit(False).alias("query"), "node", "weight", "v")
     asked = points.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(F.size("v").alias("d"), F.col("shard").cast("long").alias("shard"), of_node(parts, 2).alias("part"), F.lit(True).alias("query"), "node", "weight", "v")
     keyed = stored.unionByName(asked).select(((F.col("d").cast("long") * shards + F.col("shard")) * parts + F.col("part")).alias("key"), "query", "node", "weight", "v")
-    dealt = keyed.repartitionByRange(shards * parts, "key").sortWithinPartitions("key", "query", "node")
+    dealt = keyed.repartitionByRange(shards * parts, "key").sortWithinPartitions("key", "query", F.xxhash64("node", F.lit(3)), "node")
     found = materialize(dealt.mapInArrow(lambda it: _task(it, config), "kind bigint, node bigint, value bigint"), "links")
     counts = found.where(F.col("kind") == 0).groupBy("node").agg(F.sum("value").alias("found"))
     comp = components(found.where(F.col("kind") == 1).select(F.col("node").alias("a"), F.col("value").alias("b")))

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, keyed_text, texts_of
+from .common import bucket_of, keyed_text, texts_of, unless_named
 
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes of lower-case ASCII letters and of characters beyond ASCII stay; others become blanks.
@@ -110,14 +110,23 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], keep: list[
 
     Only the text decides. Null texts and texts without a letter are ``und``, score 0, rejected; so
     is everything when nothing was learned. Equal sizes: the more frequent language. Texts of any
-    length are compressed whole.
+    length are compressed whole. A kept column with the name of a result gives way to it.
     """
-    keep = keep or ["doc_id"]
+    keep = unless_named(keep or ["doc_id"], ["lang_pred", "score", "rejected"])
+    return _judged(docs, dictionaries, keep, config).select("key.*", "lang_pred", "score", "rejected")
+
+
+def clear_documents(docs: DataFrame, dictionaries: list[tuple[str, bytes]], config: LanguageConfig = LanguageConfig()) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with the columns they came with, whatever their names."""
+    return _judged(docs, dictionaries, list(docs.columns), config).where(~F.col("rejected")).select("key.*")
+
+
+def _judged(docs: DataFrame, dictionaries: list[tuple[str, bytes]], keep: list[str], config: LanguageConfig) -> DataFrame:
+    """``key``, a struct of the kept columns, then lang_pred, score, rejected."""
     rows = keyed_text(docs, keep)
     kind = rows.schema["key"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    found = rows.mapInArrow(lambda it: _predict(it, shared, config), f"key {kind}, lang_pred string, score double, rejected boolean")
-    return found.select(*[F.col("key")[c].alias(c) for c in keep], "lang_pred", "score", "rejected")
+    return rows.mapInArrow(lambda it: _predict(it, shared, config), f"key {kind}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:

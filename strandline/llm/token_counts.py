@@ -10,6 +10,7 @@ widened, in the end to the whole text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unless_named
+
 _STABLE = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 _LOADED: dict[str, object] = {}
 
@@ -66,7 +69,8 @@ def count_chunked(model, text: str, config: TokenCountConfig) -> int:
             end = min(len(text), nxt + size)
             there = [nxt + b for b in _bounds(model, text[nxt:end])]
             mine, other = set(here), set(there)
-            at = next((m.start() for m in _STABLE.finditer(text, nxt + 1, stop) if m.start() in mine and m.start() in other and _agree(here, there, m.start(), stop)), None)
+            stable = [m.start() for m in _STABLE.finditer(text, nxt + 1, stop)]
+            at = next((i for i in stable if i in mine and i in other and _agree(here, there, i, stable[-1])), None)
             if at is not None:
                 total += sum(begin <= b < at for b in here)
                 start, begin, here, size = nxt, at, there, max(config.chunk_chars, end - nxt)
@@ -74,14 +78,13 @@ def count_chunked(model, text: str, config: TokenCountConfig) -> int:
             overlap *= 2
 
 
-def _agree(here: list[int], there: list[int], at: int, stop: int) -> bool:
-    """Both have the same boundaries from ``at`` to the last stable place before the chunk's end."""
-    from bisect import bisect_left
+def _agree(here: list[int], there: list[int], at: int, last: int) -> bool:
+    """Both have the same boundaries from ``at`` up to ``last``, the last stable place of the overlap.
 
-    a = here[bisect_left(here, at) :]
-    b = there[bisect_left(there, at) : bisect_left(there, stop)]
-    n = min(len(a), len(b), 8)
-    return a[:n] == b[:n] and n > 0
+    Up to there the end of the first chunk changes nothing, as no piece crosses a stable place.
+    """
+    a = here[bisect_left(here, at) : bisect_right(here, last)]
+    return bool(a) and a == there[bisect_left(there, at) : bisect_right(there, last)]
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str, config: TokenCountConfig) -> Iterator[pa.RecordBatch]:
@@ -103,9 +106,10 @@ def count_tokens(docs: DataFrame, model_path: str, keep: list[str] | None = None
     """``keep`` columns of every row (doc_id), then n_bytes (UTF-8), n_tokens, over_limit.
 
     No begin, end or added special tokens. Null text counts as empty: 0 bytes, 0 tokens. Every row
-    gets its own result, repeated ones too; other columns are ignored.
+    gets its own result, repeated ones too; a kept column with the name of a result gives way to it,
+    other columns are ignored.
     """
-    keep = keep or ["doc_id"]
+    keep = unless_named(keep or ["doc_id"], ["n_bytes", "n_bytes_", "n_tokens", "over_limit"])
     key = F.struct(*keep, F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes_")).alias("key")
     kind = docs.select(key).schema["key"].dataType.simpleString()
     found = docs.select(key, "text").mapInArrow(lambda it: _count(it, model_path, config), f"key {kind}, n_tokens bigint")

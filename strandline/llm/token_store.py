@@ -35,6 +35,8 @@ BLOCK = 512
 
 @dataclass(frozen=True)
 class TokenStoreConfig:
+    #: Text bytes of a part, which one task encodes.
+    part_bytes: int = 16_000_000
     end_id: int = 2
     #: A shard is closed once it has so many ids (one longer document is a shard of its own).
     shard_tokens: int = 1 << 20
@@ -305,7 +307,10 @@ def write(docs: DataFrame, path: str, config: TokenStoreConfig = TokenStoreConfi
     document ends with ``end_id``. Null ids come first, repeated ids stand together ordered by
     text. An empty table gives no shards. Other columns are ignored.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # Ids decide, then how texts begin, so that rows without an id are spread as well.
+    begin = F.substring("text", 1, 8)
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(max(1, -(-total // config.part_bytes)), "doc_id", begin).sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInArrow(lambda it: _shards(it, path, config), "part bigint, seq bigint, n_tokens bigint, payload binary"), "token-shards")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unless_named
 
 #: Words are runs of ASCII letters and characters beyond ASCII, lower-cased.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -146,13 +146,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], config: Tox
 
     Features come from all labelled rows, for which each document's distinct words are shuffled once.
     The sample for the fit is chosen among the labels' ids, without texts; its rows, bounded by
-    ``sample``, are broadcast to fetch their texts. A feature too rare in the sample to be fitted has
+    ``sample``, are broadcast to fetch their texts. Where an id has several texts, the fit takes the one
+    with the smallest hash. Copies of a text stand in one fold. A feature too rare in the sample to be fitted has
     its log-odds ratio in all labelled rows as its weight.
     """
     for c in categories:
         labels = labels.where(F.col(c).isNotNull())
     chosen = labels.select("doc_id", F.xxhash64("doc_id").alias("h"), *[F.col(c).cast("int").alias(c) for c in categories]).orderBy("h", *categories).limit(config.sample)
-    labelled = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    chosen = materialize(chosen, "chosen")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    one = texts.select("doc_id", "t").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"))
+    found = texts.join(F.broadcast(one), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"])
+    labelled = materialize(found.join(F.broadcast(chosen), "doc_id"), "labelled")  # as many rows as the sample at most
     words = docs.select("doc_id", "text").mapInArrow(_distinct, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
     features = choose_features(words.join(labels.select("doc_id", *categories), "doc_id"), categories, config)
     ratios = np.array(list(features.values())).reshape(len(features), len(categories))
@@ -165,15 +170,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], config: Tox
         made = shared.value
         for batch in batches:
             rows = [sorted(made.vocabulary[w] for w in made.vocabulary.keys() & words_of(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), *batch.columns[2:]], names=["h", "x", *categories])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), *batch.columns[2:]], names=["h", "x", "t", *(f"c{k}" for k in range(len(categories)))])
 
-    got = labelled.select("h", "text", *categories).mapInArrow(numbered, "h bigint, x array<int>, " + ", ".join(f"{c} int" for c in categories)).toPandas().sort_values(["h", *categories])
+    labels_of = [F.col(c).alias(f"c{k}") for k, c in enumerate(categories)]
+    got = labelled.select("h", "text", "t", *labels_of).mapInArrow(numbered, "h bigint, x array<int>, t bigint" + "".join(f", c{k} int" for k in range(len(categories)))).toPandas()
+    got = got.sort_values(["h", "t", *(f"c{k}" for k in range(len(categories)))])
     x, size = Sparse([list(r) for r in got["x"]]), len(vocabulary)
     rare = np.bincount(x.col, minlength=size) < config.min_documents
-    fold = np.arange(x.n) % config.folds
+    fold = got["t"].to_numpy(dtype=np.int64) % config.folds
     extra = np.zeros((x.n, 0))
     for number, c in enumerate(categories):
-        y = got[c].to_numpy(dtype=np.float64)
+        y = got[f"c{number}"].to_numpy(dtype=np.float64)
         unseen = np.zeros(x.n)
         for k in range(config.folds):
             w = fit_one(x, extra, y, (fold != k).astype(np.float64), size, config)
@@ -189,8 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], config: Tox
 def classify(docs: DataFrame, chain: Chain, config: ToxicityConfig = ToxicityConfig(), keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of every row (doc_id), then p_<category> for each, then ``toxic``: the last
     category's probability reaches the threshold. Null and empty texts have no words and get the
-    base rate. Every row is judged, over its whole text; other columns are ignored."""
-    keep = keep or ["doc_id"]
+    base rate. Every row is judged, over its whole text; a kept column with the name of a result gives
+    way to it, other columns are ignored."""
+    keep = unless_named(keep or ["doc_id"], ["toxic", *(f"p_{c}" for c in chain.categories)])
     key = F.struct(*keep).alias("key")
     kind = docs.select(key).schema["key"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(chain)
@@ -202,4 +210,4 @@ def classify(docs: DataFrame, chain: Chain, config: ToxicityConfig = ToxicityCon
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=["key", *(f"p_{c}" for c in made.categories)])
 
     found = docs.select(key, "text").mapInArrow(judged, f"key {kind}, " + ", ".join(f"p_{c} double" for c in chain.categories))
-    return found.select(*[F.col("key")[c].alias(c) for c in keep], *[f"p_{c}" for c in chain.categories], (F.col(f"p_{chain.categories[-1]}") >= config.threshold).alias("toxic"))
+    return found.select("key.*", *[f"p_{c}" for c in chain.categories], (F.col(f"p_{chain.categories[-1]}") >= config.threshold).alias("toxic"))

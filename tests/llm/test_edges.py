@@ -392,3 +392,64 @@ def test_chat_format(spark):
 
 def test_items_digest():
     assert decontaminate.items_digest(["2", "10"]) == hashlib.sha256(b"10,2").hexdigest()
+
+
+def test_clashing_names_give_way(spark):
+    """Input columns with the names of results: filters keep them as they came, results replace them."""
+    rows = [(i, "the house by the river is green " * 3 if i % 2 else "das Haus am Fluss ist grün und alt " * 3, "en" if i % 2 else "de", f"s{i}", 1.5, "mine", 7, "yes", "no", 3) for i in range(20)]
+    clash = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, score double, rejected string, n_words int, contaminated string, toxic string, n_tokens int")
+    bench = spark.createDataFrame([(1, "das Haus am Fluss ist grün und alt")], "item_id bigint, text string")
+    learned = language_id.train(clash)
+    kept = language_id.clear_documents(clash, learned)
+    assert kept.columns == clash.columns and set(map(tuple, kept.collect())) <= set(rows) and kept.count() > 0
+    assert language_id.identify(clash, learned, keep=clash.columns).where("not rejected").columns.count("score") == 1
+    clean = decontaminate.clean_documents(clash, bench)
+    assert clean.columns == clash.columns and sorted(map(tuple, clean.collect())) == rows[1::2]
+    assert decontaminate.contamination(clash, bench, keep=["doc_id", "N_words"]).where("contaminated").count() == 10
+    chain = toxicity.train(clash, clash.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"), F.lit(1).alias("x")), ["x", "toxic"])
+    judged = toxicity.classify(clash, chain, keep=clash.columns)
+    assert judged.where("toxic").count() == 10 and judged.columns.count("toxic") == 1 and judged.columns[:2] == ["doc_id", "text"]
+    assert toxicity.classify(clash.limit(0), chain, keep=clash.columns).count() == 0
+    counts = token_counts.count_tokens(clash, public_tokenizers.path("piece_bpe_32k.model"), keep=clash.columns)
+    assert counts.where("n_tokens > 3").count() == 20
+    import corpus_pipeline
+
+    more = clash.withColumn("chosen_", F.lit(1)).withColumn("kept_", F.lit(1)).withColumn("k1", F.lit(1)).withColumn("row", F.lit(1)).withColumn("of", F.lit(1))
+    assert set(corpus_pipeline.mixed(spark, more, "").columns) == set(more.columns)
+    assert corpus_pipeline.near_duplicates(spark, more, "").count() == 2
+
+
+@pytest.mark.parametrize("max_words", [1_000_000, 8])
+def test_items_without_an_id(spark, max_words):
+    """Windows of items without an id hit, but name no item."""
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (3, "epsilon zeta"), (3, None)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, "alpha beta gamma delta"), (4, "epsilon zeta"), (None, None), (5, "delta"), (10, "delta")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["n_words"]): r for r in decontaminate.contamination(docs, bench, decontaminate.DecontaminateConfig(max_words=max_words)).collect()}
+    assert len(got) == 4 and (got[1, 4]["n_hit"], got[1, 4]["n_items"], got[1, 4]["items_sha256"]) == (4, 2, decontaminate.items_digest(["5", "10"]))
+    assert (got[3, 2]["n_hit"], got[3, 2]["items_sha256"]) == (2, decontaminate.items_digest(["4"])) and got[3, 0]["n_hit"] == 0
+
+
+def test_large_and_small_components(spark):
+    """Norms that would over- or underflow: the direction alone decides."""
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1e-320, 0.0]), (5, [3.0, 0.0]), (6, [-1e200, 0.0])]
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(1, 7)] == [(2, 1), (2, 1), (2, 1), (1, 4), (1, 4), (0, 6)]
+
+
+def test_shared_folder_is_named_on_a_cluster():
+    from strandline.llm import common
+
+    class Stub:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Stub)
+
+
+def test_ambiguous_repeats_keep_one(spark):
+    """Of rows with one id and one text the first by all columns stays."""
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(7, words, "b"), (7, words, "a"), (7, words.upper(), "c"), (8, words, "d")]
+    kept = [partenum.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, name string").repartition(n)).collect() for n in (1, 4)]
+    assert kept[0] == kept[1] and len(kept[0]) == 1 and kept[0][0]["doc_id"] == 7 and kept[0][0]["name"] in ("a", "c")
