@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table stays empty, and repeated rows are judged alike.
     """
     learned = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
-    return language_id.identify(docs, learned, keep=list(docs.columns)).where(~F.col("rejected")).select(*docs.columns)
+    return language_id.clear_documents(docs, learned)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights: the documents that the budgets reach stay, once each."""
-    chosen = mixing.mix(docs, MIX).select(F.col("doc_id").alias("chosen_")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_")), "left_semi")
+    chosen = mixing.mix(docs, MIX).select("doc_id").distinct()
+    return docs.alias("d").join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi")
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
