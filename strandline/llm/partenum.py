@@ -39,7 +39,7 @@ class JoinConfig:
     num: int = 90
     den: int = 100
     #: Bound of a worker's memory of word hashes; it is emptied when full.
-    cached_words: int = 400_000
+    cached_words: int = 100_000
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -180,7 +180,7 @@ def _sets(batches: Iterator[pa.RecordBatch], config: JoinConfig) -> Iterator[pa.
 
 
 #: Shingles that are turned into signatures at once.
-AT_ONCE = 500_000
+AT_ONCE = 100_000
 
 
 #: Bits of the filter of shared signatures, and of one of the segments that it is made in.
