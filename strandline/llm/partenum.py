@@ -211,10 +211,35 @@ def _passes(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
 
 
+class _Sent:
+    """The smallest and the largest node that a task has sent for a signature, in a table of bounded size.
+
+    What lies between them tells nothing new about a signature's ends, so copies, and the many sets
+    that share a signature, are left out before they are shuffled.
+    """
+
+    def __init__(self, slots: int = 1 << 20):
+        self.slots = np.uint64(slots)
+        self.sig, self.lo, self.hi = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+
+    def new(self, sig: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Which rows are to be sent; they count as sent from now on."""
+        at = (sig % self.slots).astype(np.int64)
+        same = self.sig[at] == sig
+        give = ~(same & (self.lo[at] <= node) & (node <= self.hi[at]))
+        wider, other = give & same, give & ~same
+        np.minimum.at(self.lo, at[wider], node[wider])
+        np.maximum.at(self.hi, at[wider], node[wider])
+        for table, values in ((self.sig, sig), (self.lo, node), (self.hi, node)):
+            table[at[other]] = values[other]  # the last one of a slot, in all three
+        return give
+
+
 def _signed(batches: Iterator[pa.RecordBatch], config: JoinConfig, shared=None) -> Iterator[pa.RecordBatch]:
-    """(sig, node, band, need) of every text; with ``shared``, a broadcast filter, only the signatures
-    that it lets pass, of sets that have as many of them as they need in the band."""
-    bands = Bands(config)
+    """(sig, node, band, need) of every text, as far as it may be an end of its signature's nodes; with
+    ``shared``, a broadcast filter, all signatures that it lets pass, of sets that have as many of them
+    as they need in the band."""
+    bands, sent = Bands(config), _Sent()
 
     def give(sets: list[np.ndarray]) -> pa.RecordBatch:
         sig, stand, owner, band, need = signatures(sets, bands)
@@ -222,7 +247,9 @@ def _signed(batches: Iterator[pa.RecordBatch], config: JoinConfig, shared=None)
         if shared is not None:
             passes = _passes(sig, shared.value)
             passes &= (np.bincount(stand[passes], minlength=len(need)) >= need)[stand]
-            sig, stand = sig[passes], stand[passes]
+        else:
+            passes = sent.new(sig, nodes[owner[stand]])
+        sig, stand = sig[passes], stand[passes]
         return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[owner[stand]]), pa.array(band[stand].astype(np.int32)), pa.array(need[stand].astype(np.int32))], names=["sig", "node", "band", "need"])
 
     for batch in batches:
@@ -325,7 +352,8 @@ def _components(docs: DataFrame, config: JoinConfig) -> tuple[DataFrame, DataFra
     nodes = materialize(nodes, "nodes")
     kinds = "sig bigint, node bigint, band int, need int"
     signed = docs.select(text).mapInArrow(lambda it: _signed(it, config), kinds)
-    shared = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where(F.col("lo") != F.col("hi")).select("sig")
+    # Already aggregated in the tasks: hash tables of nearly as many signatures as rows would save nothing.
+    shared = signed.select("sig", "node").repartition("sig").groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where(F.col("lo") != F.col("hi")).select("sig")
     shared = materialize(shared, "shared-signatures")
     # Rows of equal sets are equal; only signatures that different sets share go on.
     passing = spark.sparkContext.broadcast(_filter(shared))
