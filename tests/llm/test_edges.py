@@ -119,7 +119,7 @@ def test_lm_score(spark, docs, none):
 
 
 def test_lm_learns_from_texts_beyond_the_sample(spark):
-    """Classes and weights come from all training texts, not from the sample that they start from."""
+    """Classes and weights come from chosen texts of all blocks, here all, not from the sample that they start from."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     r = np.random.default_rng(6)
     text = lambda words: " ".join(r.choice(words, 40)).encode()
@@ -127,7 +127,7 @@ def test_lm_learns_from_texts_beyond_the_sample(spark):
     training = spark.createDataFrame(rows, "doc_id bigint, text binary").withColumn("block", F.col("doc_id") % 5)
     once = spark.createDataFrame([(w.decode(), n) for w, n in Counter(w for _, t in rows for w in t.split() + [b"\n"]).items()], "word string, c bigint")
     assert AttentionConfig().hidden == 32 and AttentionConfig().initial + AttentionConfig().inner == 192
-    config = lm_score.ScoreConfig(attention=AttentionConfig(steps=20, batch=8, initial=10, inner=8, window=8, tune_batch=8, tune_rate=1e-2), sample_texts=1)
+    config = lm_score.ScoreConfig(attention=AttentionConfig(steps=20, batch=8, initial=10, inner=8, window=8, tune_batch=8, tune_rate=1e-2), sample_texts=1, learn_one_in=1)
     model = lm_score.train_attention(training, once, path, config)
     subwords = lm_score._subwords(path)
     for w in ("quantum", "zebra"):
@@ -151,14 +151,52 @@ def test_lm_scores_add_up():
     starts = np.array([0, 4, 35])
     table = lm_score.within_class(np.ones((12, 51)), model)
     assert np.allclose([np.bincount(model.classes.of, weights=np.exp(row), minlength=11).max() for row in table], 1, atol=1e-5)
-    hit, begins = score_streams(model, ids, starts)
-    assert len(hit) == len(ids) and (hit <= 1e-5).all() and (begins <= 1e-5).all()
+    within, kind = score_streams(model, ids, starts)
+    assert len(within) == len(ids) and (within <= 1e-5).all() and (kind <= 1e-5).all()
+    some = r.random(len(ids)) < 0.5  # what is not asked for changes nothing
+    assert np.allclose(score_streams(model, ids, starts, some), np.where(some, [within, kind], 0), atol=1e-5)
     # The same numbers one place at a time, from the same context.
     for k in (36, 44, 52):
         j = (k - 35) // 4 * 4
         before = np.concatenate([[model.classes.rows - 1], model.classes.row[ids[35 : k]]])[max(0, j - 4) : k - 35 + 1]
-        z = model._forward(before[None], 1)[10][0, 0]
-        assert hit[k] == pytest.approx(z[model.classes.of[ids[k]]] - np.log(np.exp(z).sum()), abs=1e-3)
+        y, z = model._forward(before[None], 1)[9][0, 0], model._forward(before[None], 1)[10][0, 0]
+        target, begins = model.classes.of[ids[k]], 1 / (1 + np.exp(-(y @ model.w["G"] + model.w["g"])[0]))
+        z = z[:6] if target < 6 else np.concatenate([np.full(6, -np.inf), z[6:]])
+        assert within[k] == pytest.approx(z[target] - np.log(np.exp(z).sum()), abs=1e-3)
+        assert kind[k] == pytest.approx(np.log(begins if target < 6 else 1 - begins), abs=1e-3)
+
+
+def test_lm_gradients_are_those_of_the_loss():
+    from strandline.llm.attention import Model, make_classes
+
+    r = np.random.default_rng(1)
+    c = AttentionConfig(width=4, hidden=5, initial=6, inner=5, window=8)
+    ids = r.integers(0, 51, 400)
+    model = Model(c, make_classes(ids, np.arange(51) < 20, 50, c))
+    model.init()
+    model.w = {k: (v + r.normal(size=v.shape) * 0.1).astype(np.float64) for k, v in model.w.items()}
+    rows, target = model.classes.row[ids[:24]].reshape(3, 8), model.classes.of[ids[1:25]].reshape(3, 8)
+    _, g = model._gradient(rows, target)
+    for k in model.w:
+        at = tuple(int(r.integers(0, n)) for n in model.w[k].shape) if k != "E" else (int(rows[1, 3]), 2)
+        losses = []
+        for step in (1e-4, -1e-4):
+            model.w[k][at] += step
+            losses.append(model._gradient(rows, target)[0])
+            model.w[k][at] -= step
+        assert g[k][at] == pytest.approx((losses[0] - losses[1]) / 2e-4, abs=2e-4), k
+
+
+def test_lm_score_beats_counts_on_held_out_texts(spark):
+    """Two languages with words of their own, and new words of their syllables: context tells more than counts."""
+    r = np.random.default_rng(8)
+    parts = [["ra", "ki", "to", "mun", "sel"], ["bla", "grö", "schi", "peng", "dorf"]]
+    words = [["".join(r.choice(p, r.integers(1, 4))) for _ in range(120)] for p in parts]
+    rows = [(i, " ".join(r.choice(words[i % 2], 60)) + (" " + "".join(r.choice(parts[i % 2], 4)) if i % 5 == 0 else "")) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    config = lm_score.ScoreConfig(attention=AttentionConfig(steps=250, batch=32, initial=24, inner=24, window=16))
+    got = lm_score.score(df, public_tokenizers.path("piece_bpe_32k.model"), config).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] / got[2] > got[1] / got[2] + 0.1
 
 
 def test_token_counts(spark, docs, none):
