@@ -126,6 +126,7 @@ def test_lm_learns_from_texts_beyond_the_sample(spark):
     rows = [(i, text(["the", "river", "and", "house"])) for i in range(20)] + [(i, text(["quantum", "zebra"])) for i in range(20, 200)]
     training = spark.createDataFrame(rows, "doc_id bigint, text binary").withColumn("block", F.col("doc_id") % 5)
     once = spark.createDataFrame([(w.decode(), n) for w, n in Counter(w for _, t in rows for w in t.split() + [b"\n"]).items()], "word string, c bigint")
+    once = lm_score.spell(once, path)
     assert AttentionConfig().hidden == 32 and AttentionConfig().initial + AttentionConfig().inner == 192
     config = lm_score.ScoreConfig(attention=AttentionConfig(steps=20, batch=8, initial=10, inner=8, window=8, tune_batch=8, tune_rate=1e-2), sample_texts=1, learn_one_in=1)
     model = lm_score.train_attention(training, once, path, config)
@@ -491,3 +492,17 @@ def test_ambiguous_repeats_keep_one(spark):
     rows = [(7, words, "b"), (7, words, "a"), (7, words.upper(), "c"), (8, words, "d")]
     kept = [partenum.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, name string").repartition(n)).collect() for n in (1, 4)]
     assert kept[0] == kept[1] and len(kept[0]) == 1 and kept[0][0]["doc_id"] == 7 and kept[0][0]["name"] in ("a", "c")
+
+
+def test_spellings_are_the_librarys():
+    """Words spelled together, from the cache and after it was emptied are spelled as the library does one by one."""
+    model = lm_score._subwords(public_tokenizers.path("piece_bpe_32k.model"))
+    words = ["the", "river", lm_score.END, "½", "ﬁn", "漢字", "the", "x▁y", "naïve", "\u200b"] + [f"w{k}" for k in range(50)]
+    before, lm_score.MOST_SPELLED = lm_score.MOST_SPELLED, 30
+    try:
+        for some in (words, words[::-1], words[:5], words):
+            ids, sizes = lm_score._spell(model, some)
+            want = [[model.get_piece_size()] if w == lm_score.END else model.encode(w) or [model.unk_id()] for w in some]
+            assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    finally:
+        lm_score.MOST_SPELLED = before
