@@ -3,8 +3,8 @@
 Equal vectors are one point with a count. Points are dealt into shards, each shard's points become
 a layered graph, and every point is searched in every shard. A search keeps a beam of the best
 points seen and goes on from every point over the threshold, however many there are. Of every block of
-queries some, chosen by hash, are audited against all points of the shard, and the beam is widened until
-each finds enough of its neighbours (a beam as wide as the shard is a full scan). Pairs found are checked by
+queries some, chosen by hash, are audited against all points of the shard, and the beam is widened while the
+audited ones have found too few of their neighbours so far (a beam as wide as the shard is a full scan). Pairs found are checked by
 cosine in double precision; links become components.
 """
 
@@ -34,12 +34,11 @@ class NearConfig:
     neighbours: int = 12
     build_beam: int = 40
     beam: int = 24
-    #: Audited queries of a block, of a shard's first one, and the share of their neighbours, themselves
-    #: left out, that they must find on average; none may find less than ``worst``.
+    #: Audited queries of a block, of a shard's first one, and the share of its neighbours, itself left
+    #: out, that an audited query with neighbours must find, as the mean over those of the shard so far.
     audit: int = 32
     first_audit: int = 100
     recall: float = 0.99
-    worst: float = 0.8
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -210,14 +209,14 @@ def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _task(batches: Iterator[pa.RecordBatch], config: NearConfig) -> Iterator[pa.RecordBatch]:
     """Rows of some (shard, part) keys in order; of each key first the shard's points, then queries."""
-    key, points, queries, graph, beam = None, [], [], None, config.beam
+    key, points, queries, graph, beam, audited = None, [], [], None, config.beam, (0.0, 0)
 
     def out(ids, counts, nodes, roots) -> pa.RecordBatch:
         kind = np.concatenate([np.zeros(len(ids), np.int64), np.ones(len(nodes), np.int64)])
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([ids, nodes])), pa.array(np.concatenate([counts, roots]))], names=["kind", "node", "value"])
 
     def search(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        nonlocal graph, beam
+        nonlocal graph, beam, audited
         if graph is None:
             at = _unit(np.stack([p[2] for p in points]).astype(np.float64))
             graph = (Graph(at, config), at, np.array([p[0] for p in points]), np.array([p[1] for p in points]))
@@ -230,12 +229,14 @@ def _task(batches: Iterator[pa.RecordBatch], config: NearConfig) -> Iterator[pa.
         some, own = q[:n].astype(np.float32), np.array([r[0] for r in rows[:n]])[:, None] == point_ids[None]
         near = (some @ made.x.T >= floor) & ~own
         true = near.sum(1)
-        while beam < len(made.x) and true.any():
+        while True:
             row, to = made.over(some, beam, floor)
             share = (np.bincount(row[near[row, to]], minlength=len(some)) / np.maximum(true, 1))[true > 0]
-            if share.mean() >= config.recall and share.min() >= config.worst:
+            found, asked = audited[0] + share.sum(), audited[1] + len(share)
+            if beam >= len(made.x) or found >= config.recall * asked:
                 break
             beam *= 2
+        audited = (found, asked)
         row, to = made.over(q.astype(np.float32), beam, floor)
         good = np.einsum("ij,ij->i", q[row], exact[to]) >= config.threshold
         ids = np.array([r[0] for r in rows])
@@ -252,7 +253,7 @@ def _task(batches: Iterator[pa.RecordBatch], config: NearConfig) -> Iterator[pa.
             if k != key:
                 if queries:
                     yield search(queries)
-                key, points, queries, graph, beam = k, [], [], None, -1
+                key, points, queries, graph, beam, audited = k, [], [], None, -1, (0.0, 0)
             if query:
                 if points:  # a shard may have no points of that length
                     queries.append((node, weight, np.array(v)))
