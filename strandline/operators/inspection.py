@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fuse import separated_top
+
 #: Metres a second from which a step is a speed violation, and from which on it is two people.
 VIOLATION, SPLIT = 14.0, 25.0
+#: Seconds between crops of a partition, and how many it has at most.
+CROP_GAP, CROPS = 0.45, 5
 
 
 def step_samples(points: DataFrame, violation: float = VIOLATION, split: float = SPLIT) -> DataFrame:
@@ -80,3 +84,51 @@ def observation_score(confidence: Column, w: Column, h: Column, reid_status: Col
     seen = F.greatest(zero, F.least(F.lit(1.0), F.coalesce(confidence, zero))) * F.least(F.lit(1.0), F.sqrt(area) / 180)
     read = F.when(number_status == "recognized", 0.45).when(number_status.isin("low-confidence", "ambiguous"), 0.18).otherwise(0.0)
     return seen + F.when(reid_status.isin("usable", "ready"), 0.25).otherwise(0.0) + F.when(F.coalesce(reid_usable, F.lit(False)), 0.25).otherwise(0.0) + read
+
+
+def partition_crops(points: DataFrame, ranges: DataFrame, gap: float = CROP_GAP, cap: int = CROPS) -> DataFrame:
+    """Crops of each track (track, id, frame, t, w, h, conf) for reading, apart in time within each split partition.
+
+    ``ranges``: number, track, s, e, half open; a point's partition is the list of its track's ranges that it
+    lies in, so points of no range are one too. Boxes without a finite positive size are left out. Adds
+    the quality; best first by it, then confidence, time, frame, id; one is taken if at least ``gap`` from
+    all taken, up to ``cap`` in a partition.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) & (F.col(c) > 0)
+    between = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    aspect = F.greatest(F.lit(0.0), 1 - F.abs(F.col("w") / F.greatest(F.lit(1.0), "h") - 0.42) / 0.42)
+    quality = between(0.5 * between(F.coalesce("conf", F.lit(0.0))) + 0.25 * F.least(F.lit(1.0), F.col("h") / 96) + 0.15 * F.least(F.lit(1.0), F.col("w") / 40) + 0.1 * aspect)
+    good = points.where(finite("w") & finite("h") & F.col("frame").isNotNull()).withColumn("quality", quality)
+    listed = ranges.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("number", "s", "e"))).alias("ranges"))
+    inside = F.transform(F.filter("ranges", lambda r: (r["s"] <= F.col("t")) & (F.col("t") < r["e"])), lambda r: r["number"])
+    rows = good.join(listed, "track", "left").withColumn("partition", F.concat_ws(",", inside)).drop("ranges")
+    order = Window.partitionBy("track", "partition").orderBy(F.desc("quality"), F.desc("conf"), "t", "frame", "id")
+    rows = rows.withColumn("k", F.row_number().over(order).cast("long"))
+    key = F.struct("track", "partition")
+    taken = separated_top(rows.select(key.alias("key"), F.col("quality").alias("conf"), F.col("k").alias("event_id"), "t"), "key", gap, cap)
+    chosen = taken.select("key.track", "key.partition", F.col("event_id").alias("k"))
+    return rows.join(chosen, ["track", "partition", "k"]).select("track", "partition", "id", "t", "quality")
+
+
+def model_comparison(scenes: DataFrame) -> DataFrame:
+    """Verdict on a new model for each scene: frames, unmatched observations inside of both models
+    (baseline_inside, candidate_inside), changes of outside detections and of stable tracks.
+
+    ``candidate`` where it gains observations at little cost, ``baseline`` where it loses them, else ``review``.
+    """
+    gain = F.col("candidate_inside") - F.col("baseline_inside")
+    enough = F.greatest(F.lit(3), F.bround(F.greatest(F.lit(1), "frames") * F.lit(0.15)))
+    better = (gain >= enough) & (F.col("outside_delta") <= enough) & (F.col("stable_delta") >= -1)
+    worse = (gain <= -enough) & (F.col("outside_delta") >= -enough) & (F.col("stable_delta") < 0)
+    return scenes.select("scene", gain.alias("gain"), F.when(better, "candidate").when(worse, "baseline").otherwise("review").alias("verdict"))
+
+
+def fenced(publications: DataFrame, jobs: DataFrame, statuses: list[str]) -> DataFrame:
+    """Publications (run_id, fingerprint, at) whose run still holds its fence: a job of the same run and
+    fingerprint (run_id, fingerprint, status, expires_at) in one of ``statuses`` whose lease ends after them.
+
+    All others are late and go, also those of an unknown run and those without a fingerprint.
+    """
+    held = jobs.where(F.col("status").isin(statuses)).select("run_id", "fingerprint", "expires_at").alias("j")
+    same = (F.col("p.run_id") == F.col("j.run_id")) & (F.col("p.fingerprint") == F.col("j.fingerprint")) & (F.col("j.expires_at") > F.col("p.at"))
+    return publications.alias("p").join(held, same, "left_semi")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import assign as A
 from ..operators import inspection as I
+from ..operators import joins as J
 from ..sources import proxies as P
 from .registry import query
 
@@ -57,3 +59,33 @@ def observation_scores(spark, sf):
     pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (F.col("frame") % n + 1).cast("int"))
     score = I.observation_score(F.col("score") * 8, F.col("x"), F.col("y") * 40 + 1, pick(3, "usable", "ready", "poor"), pick(2, True, None), pick(4, "recognized", "low-confidence", "ambiguous", None))
     return P.boxes(spark, sf).select("frame", "id", F.round(score, 6).alias("score"))
+
+
+@query()
+def split_partition_crops(spark, sf):
+    """Greedy in order of quality: tested against a plain version."""
+    points = P.points(spark, sf).select(F.col("track_id").alias("track"), F.col("event_id").alias("id"), F.col("event_id").alias("frame"), "t", (F.col("x") / 4).alias("w"), F.col("x").alias("h"), "conf")
+    ranges = P.intervals(spark, sf).select(F.col("owner").alias("track"), F.col("id").alias("number"), (F.col("id") % 600).cast("double").alias("s"), (F.col("id") % 600 + 100).cast("double").alias("e"))
+    return I.partition_crops(points, ranges)
+
+
+@query()
+def successor_links(spark, sf):
+    """Optimal assignment with no link as a choice: tested against all choices."""
+    edges = J.iou_pairs(P.boxes(spark, sf), 0.2).withColumn("iou", F.round("iou", 9))
+    return A.successors(edges, "frame", "g_id", "p_id", "iou", 0.47)
+
+
+@query("""SELECT scene, gain, CASE WHEN gain >= enough AND outside <= enough AND stable >= -1 THEN 'candidate' WHEN gain <= -enough AND outside >= -enough AND stable < 0 THEN 'baseline' ELSE 'review' END AS verdict
+  FROM (SELECT o_orderkey AS scene, o_orderkey % 23 - o_orderkey % 19 AS gain, o_custkey % 9 - 4 AS outside, o_orderkey % 5 - 3 AS stable, greatest(3, round_even(greatest(1, o_orderkey % 70) * 0.15::DOUBLE, 0)) AS enough FROM orders)""")
+def model_verdicts(spark, sf):
+    key = F.col("o_orderkey")
+    scenes = P.read(spark, sf, "orders").select(key.alias("scene"), (key % 70).alias("frames"), (key % 19).alias("baseline_inside"), (key % 23).alias("candidate_inside"), (F.col("o_custkey") % 9 - 4).alias("outside_delta"), (key % 5 - 3).alias("stable_delta"))
+    return I.model_comparison(scenes)
+
+
+@query("""SELECT l_orderkey AS run_id, l_linenumber AS line FROM lineitem l WHERE EXISTS (SELECT 1 FROM orders o WHERE o_orderkey = l_orderkey AND o_orderstatus IN ('O', 'P') AND o_custkey % 3 = l_suppkey % 3 AND o_orderkey % 50 > l_quantity)""")
+def published_within_fence(spark, sf):
+    jobs = P.read(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 3).alias("fingerprint"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 50).alias("expires_at"))
+    rows = P.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_suppkey") % 3).alias("fingerprint"), F.col("l_quantity").alias("at"), F.col("l_linenumber").alias("line"))
+    return I.fenced(rows, jobs, ["O", "P"]).select("run_id", "line")
