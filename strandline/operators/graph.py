@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .checkpoint import cut
+
 
 @dataclass(frozen=True)
 class EdgeConfig:
@@ -32,30 +34,20 @@ def demote_ambiguous(edges: DataFrame, config: EdgeConfig = EdgeConfig()) -> Dat
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): smallest node reachable, by rounds of smallest neighbours with shortcuts."""
-    spark = edges.sparkSession
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = _cut(spark, pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = _cut(spark, both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "labels")
+    both = cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
     while True:
         seen = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("m"))
         near = labels.join(seen, labels["node"] == seen["u"]).select("node", F.least("component", "m").alias("component"))
         up = near.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        new = _cut(spark, near.join(up, near["component"] == up["n2"], "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component")), "labels")
+        new = cut(near.join(up, near["component"] == up["n2"], "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component")))
         moved = new.join(labels.withColumnRenamed("component", "was"), "node").where(F.col("component") != F.col("was"))
         if moved.isEmpty():
             return new
         labels = new
 
 
-def _cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: checkpoint in the folder that the session names, or a new local one."""
-    import tempfile
-
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def components_with_veto(edges: DataFrame, nodes: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """Per scene: edges by score (then ends) join groups, unless the group would hold two different
     values of an attribute. The order decides, so each scene is folded in one call.
@@ -106,7 +98,7 @@ def terminal_targets(spark: SparkSession, merges: DataFrame) -> DataFrame:
         nxt = now.select(F.col("source").alias("s2"), F.col("target").alias("t2"))
         joined = now.join(nxt, now["target"] == nxt["s2"], "left")
         joined = joined.select("source", F.coalesce("t2", "target").alias("target"), F.col("t2").isNotNull().alias("moved"))
-        joined = _cut(spark, joined, "merges")
+        joined = cut(joined)
         if joined.where("moved").isEmpty():
             return joined.select("source", "target")
         if steps >= most:  # what moved goes on beyond ``steps`` merges

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .assign import hungarian
+from .checkpoint import cut
 
 
 def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -26,11 +27,13 @@ def percentile_grid(rows: DataFrame, by: list[str], value: str, shares: tuple[fl
 def precision_recall(rows: DataFrame) -> DataFrame:
     """Running precision and recall by falling score (then id), and the best precision from there on.
 
-    ``rows``: (id, truth, score). The order is global; scores are first cut into ranges, so running
-    sums inside a range start from the totals of the ranges before it.
+    ``rows``: (id, truth, score); those without a score are left out. The order is global: rows are dealt
+    to ranges of (score, id) of about equal size, whatever the scores, and written with their range's
+    number; running sums inside a range start from the totals of the ranges before it.
     """
     w = Window.partitionBy("part").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    parts = rows.withColumn("part", -F.floor(F.col("score") / 500.0).cast("long"))
+    scored = rows.select("id", "truth", "score").where(F.col("score").isNotNull())
+    parts = cut(scored.repartitionByRange(F.desc("score"), "id").withColumn("part", F.spark_partition_id()))
     sums = parts.groupBy("part").agg(F.count("*").alias("n"), F.sum("truth").alias("p"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.sum("p").over(Window.partitionBy()).alias("positives"))

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import assign, inspection
+from strandline.operators import assign, inspection, quality
 
 POINT = "track long, frame long, t double, x double, z double"
 
@@ -96,3 +96,20 @@ def test_late_publications_are_dropped(spark):
     rows = [("a", "x", 9.5), ("a", "y", 1.0), ("a", "x", 10.0), ("b", "x", 1.0), ("c", "x", 1.0), ("a", None, 1.0)]
     got = inspection.fenced(spark.createDataFrame(rows, "run_id string, fingerprint string, at double"), jobs, ["processing"]).collect()
     assert [tuple(r) for r in got] == [("a", "x", 9.5)]
+
+
+def test_precision_recall_over_many_ranges(spark):
+    """Scores between 0 and 1, a third of them tied, against a plain loop."""
+    draw = random.Random(7)
+    rows = [(i, int(draw.random() < 0.4), 0.5 if i % 3 == 0 else draw.random()) for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = quality.precision_recall(spark.createDataFrame([*rows, (900, 1, None)], "id long, truth int, score double")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    tp = list(itertools.accumulate(r[1] for r in order))
+    precision = [t / k for k, t in enumerate(tp, 1)]
+    envelope = list(itertools.accumulate(reversed(precision), max))[::-1]
+    want = {r[0]: (k + 1, tp[k], pytest.approx(precision[k]), pytest.approx(tp[k] / tp[-1]), pytest.approx(envelope[k])) for k, r in enumerate(order)}
+    assert {r.id: (r.rank, r.tp, r.precision, r.recall, r.envelope) for r in out} == want
