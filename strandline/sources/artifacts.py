@@ -41,10 +41,12 @@ def stored_records(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def fetch(spark: SparkSession, path: str, digests: list[str]) -> DataFrame:
-    """Records by address; one whose body does not have its address makes the job fail."""
+    """Records by address; one that is absent, or whose body does not have its address, makes the job fail."""
+    asked = spark.createDataFrame([(d,) for d in sorted(set(digests))], "digest string")
     found = spark.read.schema(RECORD).parquet(path).where(F.col("prefix").isin(sorted({d[:2] for d in digests})) & F.col("digest").isin(digests))
     good = F.sha2(F.col("body").cast("binary"), 256) == F.col("digest")
-    return found.select("kind", "digest", F.when(good, F.col("body")).otherwise(F.raise_error(F.concat(F.lit("corrupt record "), F.col("digest"))).cast("string")).alias("body"))
+    fail = F.raise_error(F.concat(F.when(F.col("body").isNull(), "absent").otherwise("corrupt"), F.lit(" record "), F.col("digest"))).cast("string")
+    return found.join(asked, "digest", "right").select("kind", "digest", F.when(good, F.col("body")).otherwise(fail).alias("body"))
 
 
 def append_journal(rows: DataFrame, path: str) -> None:

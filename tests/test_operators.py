@@ -214,6 +214,9 @@ def test_artifacts(spark, tmp_path):
     spark.createDataFrame([("points", "ab" * 32, "{}", "ab")], artifacts.RECORD).write.mode("append").partitionBy("prefix").parquet(path)
     with pytest.raises(PySparkException):
         artifacts.fetch(spark, path, ["ab" * 32]).collect()
+    assert [r["body"] for r in artifacts.fetch(spark, path, [digest]).collect()] == [made[0]["body"]]
+    with pytest.raises(PySparkException, match="absent record cd"):
+        artifacts.fetch(spark, path, [digest, "cd" * 32]).collect()
     frames = spark.createDataFrame([("s", i, i / 25) for i in range(26)], "scene string, frame int, t double")
     got = artifacts.sampled_frames(frames, "scene", 10.0).orderBy("tick").collect()
     assert [r["tick"] for r in got] == list(range(11)) and got[1]["frame"] in (2, 3)
