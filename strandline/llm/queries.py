@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, hnsw, language_id, lm_score, mixing, partenum, token_counts, token_store, toxicity
+from . import chat_format, decontaminate, hnsw, host_rules, language_id, lm_score, mixing, partenum, token_counts, token_store, toxicity, vector_codes, whitening
 from .common import table
 
 MIX = mixing.MixConfig(domain_weights={"d0": 4, "d1": 3, "d2": 2, "d3": 1}, lang_weights={"en": 1, "de": 2, "fr": 2, "es": 3})
@@ -79,6 +79,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 OP10_SQL = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -109,9 +123,65 @@ SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 3)),
+repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY r),
+m AS (
+  SELECT d.r, doc_id, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words FROM d LEFT JOIN covered ON covered.r = d.r),
+said AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    [n_words < 50, 100 * n_repeat_words > 50 * n_words, 100 * n_symbols > 10 * n_words, 100 * n_dup_lines > 30 * n_lines, word_chars < 2 * n_words OR word_chars > 15 * n_words] AS fails FROM m),
+rules AS (SELECT source, k, count(*) AS n, sum(fails[k]::BIGINT) AS f FROM said, (SELECT unnest(range(1, 6)) AS k) WHERE source IS NOT NULL GROUP BY source, k),
+prior AS (
+  SELECT k, p, (1 - c) / c AS strength FROM (
+    SELECT k, p, least(0.999, greatest(1e-4, CASE WHEN room > 0 THEN (between_ - p * (1 - p) * (h - 1)) / room ELSE 1e-4 END)) AS c FROM (
+      SELECT k, p, h, sum_ratio - p * all_f AS between_, p * (1 - p) * (total - squares / total - (h - 1)) AS room FROM (
+        SELECT k, count(*) AS h, sum(n)::DOUBLE AS total, sum(f)::DOUBLE AS all_f, sum(f)::DOUBLE / sum(n)::DOUBLE AS p, sum(n::DOUBLE * n) AS squares, sum(f::DOUBLE * f / n) AS sum_ratio FROM rules GROUP BY k)))),
+failing AS (
+  SELECT DISTINCT source FROM (SELECT source, n, strength, (f + p * strength) / (n + strength) AS rate FROM rules JOIN prior USING (k))
+  WHERE rate - 2 * sqrt(rate * (1 - rate) / (n + strength + 1)) > 0.5)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND source NOT IN (SELECT source FROM failing) IS NOT FALSE AS kept FROM said"""
+
+
+def vector_codes_sql(scale: int = 256, parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The codes and codebooks of operator 12 by full search, a pair of tables for each round."""
+    assigned = """a{r} AS (
+  SELECT id, p, e, err, q FROM (
+    SELECT v.id, v.p, b.e, v.q, list_sum(list_transform(range(1, len(v.q) + 1), lambda i: (v.q[i] - b.c[i]) * (v.q[i] - b.c[i])))::BIGINT AS err,
+      row_number() OVER (PARTITION BY v.id, v.p ORDER BY list_sum(list_transform(range(1, len(v.q) + 1), lambda i: (v.q[i] - b.c[i]) * (v.q[i] - b.c[i]))), b.e) AS place
+    FROM v JOIN b{r} b ON v.p = b.p) WHERE place = 1)"""
+    moved = """b{s} AS (
+  SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN (
+    SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, floor(sum(q[i]) / count(*))::BIGINT AS m FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(q)) + 1 FROM v))) AS i) GROUP BY p, e, i)
+    GROUP BY p, e) n USING (p, e))"""
+    steps = []
+    for r in range(rounds):
+        steps += [assigned.format(r=r), moved.format(r=r, s=r + 1)]
+    steps.append(assigned.format(r=rounds))
+    return f"""
+WITH x AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS id, vec_id, label, x FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda c: floor({scale} * c::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding))),
+v AS (SELECT id, p, x[p * (len(x) // {parts}) + 1:(p + 1) * (len(x) // {parts})] AS q FROM x, (SELECT unnest(range({parts})) AS p)),
+b0 AS (SELECT p, id - 1 AS e, q AS c FROM v WHERE id <= {entries}),
+{", ".join(steps)},
+done AS (SELECT id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(err)::BIGINT AS error FROM a{rounds} GROUP BY id),
+told AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM done JOIN x USING (id), told"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_lm_score, op4_token_counts, op5_language_id, op6_token_store, op7_toxicity, op8_embedding_near, op9_ngram_jaccard, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_lm_score, op4_token_counts, op5_language_id, op6_token_store, op7_toxicity, op8_embedding_near, op9_ngram_jaccard, op10_chat_format, op11_whiten_embeddings, op12_vector_codes, op13_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.mix_sql(MIX), "op2_decontaminate": OP2_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_mix_sources": mixing.mix_sql(MIX), "op2_decontaminate": OP2_SQL, "op10_chat_format": OP10_SQL, "op12_vector_codes": vector_codes_sql(), "op13_host_rules": OP13_SQL}
