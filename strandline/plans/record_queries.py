@@ -117,6 +117,18 @@ def best_candidate_paths(spark, sf):
     return V.solve_paths(frames, "track_id")
 
 
+@query()
+def second_order_paths(spark, sf):
+    from ..operators import paths as M
+
+    p = P.points(spark, sf)
+    frames = p.select(
+        "track_id", F.floor(F.col("t") / 8).cast("long").alias("frame"), F.when(F.col("kind") != "error", F.col("event_id")).alias("id"), (F.col("x") * 20).alias("x"), (F.col("z") * 10).alias("y"), "conf",
+        F.when(F.col("event_id") % 5 > 0, F.col("x") * 20 + 3).alias("sx"), (F.col("z") * 10 - 3).alias("sy"), F.when(F.col("event_id") % 3 > 0, F.col("x")).alias("px"), F.when(F.col("event_id") % 7 > 0, F.col("z")).alias("pz"),
+    ).withColumn("t", F.col("frame") * 0.2)
+    return M.solve_motion(frames, "track_id")
+
+
 @query()
 def warped_alignment(spark, sf):
     from ..operators import solve as V
