@@ -1,11 +1,15 @@
 """Embedding near-duplicates over one navigable small-world graph per shard.
 
-Equal vectors are one point with a count. Points are dealt into shards, each shard's points become
-a layered graph, and every point is searched in every shard. A search keeps a beam of the best
-points seen and goes on from every point over the threshold, however many there are. Of every block of
-queries some, chosen by hash, are audited against all points of the shard, and the beam is widened while the
-audited ones have found too few of their neighbours so far (a beam as wide as the shard is a full scan). Pairs found are checked by
-cosine in double precision; links become components.
+Equal vectors are one point with a count. Points are dealt into shards, and each shard's points become a
+layered graph. A point within the threshold of one in the graph is no node of its own but hangs on that
+one, its leader, so a group of copies however large takes one place in the beams. Of two shards the queries
+of one are searched in the graph of the other, so every shard meets every query, once for each pair of
+points. A search keeps a beam of the best nodes seen and goes on from every node that may lead to a link,
+however many there are; what hangs on those is compared point by point. Of every block of queries some,
+chosen by hash, are audited against all points of the shard; where one of them has found too few of its
+neighbours the beam is widened and the shard's earlier blocks are searched again (a beam as wide as the
+shard is a full scan). Pairs found are checked by cosine in double precision and count for both ends;
+links become components.
 """
 
 from __future__ import annotations
@@ -30,15 +34,16 @@ class NearConfig:
     shard_points: int = 200_000
     #: Points of one query block, and query points of one task.
     block: int = 512
-    part_points: int = 1_000_000
+    part_points: int = 250_000
     neighbours: int = 12
     build_beam: int = 40
     beam: int = 24
-    #: Audited queries of a block, of a shard's first one, and the share of its neighbours, itself left
-    #: out, that an audited query with neighbours must find, as the mean over those of the shard so far.
+    #: Audited queries of a block and of a shard's first one; the share of its neighbours, itself left
+    #: out, that those with neighbours must find: on average in each block, and every single one.
     audit: int = 32
     first_audit: int = 100
     recall: float = 0.99
+    worst: float = 0.8
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -48,10 +53,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Graph:
-    """A layered navigable small-world graph of unit vectors."""
+    """A layered navigable small-world graph of unit vectors; ``x`` are its nodes, the leaders."""
 
     def __init__(self, points: np.ndarray, config: NearConfig):
-        self.config, self.x = config, points.astype(np.float32)
+        self.config, self.all = config, points.astype(np.float32)
         n = len(points)
         r = np.random.default_rng(7)
         self.level = np.minimum((-np.log(r.random(n) + 1e-300) / np.log(config.neighbours)).astype(int), 6)
@@ -59,15 +64,21 @@ class Graph:
             self.level[0] = max(1, self.level.max())  # the first point is the entry, on every layer
         self.width = 2 * config.neighbours
         self.near = [np.full((n, self.width), -1, dtype=np.int32) for _ in range(int(self.level.max(initial=0)) + 1)]
-        done = min(n, 32)
-        for layer in range(len(self.near)):
-            for i in range(done):
-                if self.level[i] >= layer:
-                    others = np.array([j for j in range(done) if j != i and self.level[j] >= layer], dtype=np.int64)
-                    self._set(layer, i, others)
+        self.x, self.lead, self.size = np.empty_like(self.all), np.full(n, -1), 0
+        leader = np.full(n, -1)
+        done = 0
         while done < n:  # a batch is placed at once, by searching what stands already
-            self._place(np.arange(done, min(n, 2 * done, done + 1024)))
-            done = min(n, 2 * done, done + 1024)
+            batch = np.arange(done, min(n, max(32, 2 * done), done + 1024))
+            self._place(batch, leader)
+            done = int(batch[-1]) + 1
+        self.x, self.lead = self.x[: self.size], self.lead[: self.size]
+        # What hangs on each leader, in one list.
+        hung = np.setdiff1d(np.arange(n), self.lead)
+        self.hung = hung[np.argsort(leader[hung], kind="stable")]
+        self.start = np.searchsorted(leader[self.hung], np.arange(self.size + 1))
+        # Twice the angle of the threshold: no point that hangs on a leader further off is in reach.
+        far = 2 * config.threshold**2 - 1
+        self.floor = np.where(np.diff(self.start) > 0, np.float32(far - 1e-4), np.float32(config.threshold - 1e-4))
 
     def _set(self, layer: int, i: int, others: np.ndarray) -> None:
         """Neighbours of a point: near ones, but none nearer to a chosen one than to the point."""
@@ -87,41 +98,64 @@ class Graph:
         self.near[layer][i] = -1
         self.near[layer][i, : len(others)] = others
 
-    def _place(self, new: np.ndarray) -> None:
-        top = len(self.near) - 1
-        entry = np.zeros(len(new), dtype=np.int64)
+    def _place(self, batch: np.ndarray, leader: np.ndarray) -> None:
+        """Hang points on leaders in reach; the others become leaders and nodes of the graph."""
+        q, top = self.all[batch], len(self.near) - 1
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        if self.size:
+            entry = np.zeros(len(batch), dtype=np.int64)
+            for layer in range(top, -1, -1):
+                ids, sims, _, _ = self._search(q, entry, self.config.build_beam, layer)
+                found[layer], entry = (ids, sims), ids[:, 0]
+            near = found[0][1][:, 0] >= self.config.threshold
+            leader[batch[near]] = found[0][0][near, 0]
+        new: list[int] = []
+        among = q @ q.T >= self.config.threshold
+        for i in np.flatnonzero(leader[batch] < 0).tolist():
+            if leader[batch[i]] < 0:  # not taken by one before it in the batch
+                leader[batch[among[i] & (leader[batch] < 0)]] = self.size + len(new)
+                new.append(i)
+        at = np.arange(self.size, self.size + len(new))
+        self.x[at], self.lead[at] = q[new], batch[new]
+        self.size += len(new)
+        if not found:
+            for layer in range(top + 1):
+                mine = at[self.level[at] >= layer]
+                for i in mine.tolist():
+                    self._set(layer, i, mine[mine != i])
+            return
         for layer in range(top, -1, -1):
-            ids, sims, _, _ = self._search(self.x[new], entry, self.config.build_beam if layer == 0 or (self.level[new] >= layer).any() else 1, layer)
-            entry = ids[:, 0]
-            on = np.flatnonzero(self.level[new] >= layer)
-            if not len(on):
-                continue
-            cand, sim = ids[on], sims[on]
-            v = self.x[np.maximum(cand, 0)]
-            among = v @ v.transpose(0, 2, 1)
-            best = np.full(cand.shape, -2.0, dtype=np.float32)  # nearest chosen one of each candidate
-            chosen = np.zeros(cand.shape, dtype=bool)
-            for k in range(cand.shape[1]):
-                take = (cand[:, k] >= 0) & (best[:, k] < sim[:, k]) & (chosen.sum(1) < self.config.neighbours)
-                chosen[take, k] = True
-                best[take] = np.maximum(best[take], among[take, k])
-            back: dict[int, list[int]] = {}
-            for row, i in enumerate(new[on].tolist()):
-                mine = cand[row][chosen[row]]
-                if len(mine) < self.config.neighbours:  # near ones fill up
-                    rest = cand[row][~chosen[row] & (cand[row] >= 0)][: self.config.neighbours - len(mine)]
-                    mine = np.concatenate([mine, rest])
-                self.near[layer][i, : len(mine)] = mine
-                for j in mine.tolist():
-                    back.setdefault(j, []).append(i)
-            for j, more in back.items():
-                old = self.near[layer][j]
-                self._set(layer, j, np.concatenate([old[old >= 0], np.array(more, dtype=np.int64)]))
-
-    def _search(self, q: np.ndarray, entry: np.ndarray, beam: int, layer: int, floor: float | None = None):
-        """Beams of all queries at once: ids and similarities, best first, and all pairs over ``floor``."""
+            on = np.flatnonzero(self.level[at] >= layer)
+            if len(on):
+                self._link(layer, at[on], found[layer][0][new][on], found[layer][1][new][on])
+
+    def _link(self, layer: int, at: np.ndarray, cand: np.ndarray, sim: np.ndarray) -> None:
+        """Links of new nodes with the candidates of their searches, in both directions."""
+        v = self.x[np.maximum(cand, 0)]
+        among = v @ v.transpose(0, 2, 1)
+        best = np.full(cand.shape, -2.0, dtype=np.float32)  # nearest chosen one of each candidate
+        chosen = np.zeros(cand.shape, dtype=bool)
+        for k in range(cand.shape[1]):
+            take = (cand[:, k] >= 0) & (best[:, k] < sim[:, k]) & (chosen.sum(1) < self.config.neighbours)
+            chosen[take, k] = True
+            best[take] = np.maximum(best[take], among[take, k])
+        back: dict[int, list[int]] = {}
+        for row, i in enumerate(at.tolist()):
+            mine = cand[row][chosen[row]]
+            if len(mine) < self.config.neighbours:  # near ones fill up
+                rest = cand[row][~chosen[row] & (cand[row] >= 0)][: self.config.neighbours - len(mine)]
+                mine = np.concatenate([mine, rest])
+            self.near[layer][i, : len(mine)] = mine
+            for j in mine.tolist():
+                back.setdefault(j, []).append(i)
+        for j, more in back.items():
+            old = self.near[layer][j]
+            self._set(layer, j, np.concatenate([old[old >= 0], np.array(more, dtype=np.int64)]))
+
+    def _search(self, q: np.ndarray, entry: np.ndarray, beam: int, layer: int, floor: np.ndarray | None = None):
+        """Beams of all queries at once: nodes and similarities, best first, and all pairs over the nodes' ``floor``."""
         x, near, rows = self.x, self.near[layer], np.arange(len(q))
-        seen = np.zeros((len(q), len(x)), dtype=bool)
+        seen = np.zeros((len(q), self.size), dtype=bool)
         seen[rows, entry] = True
         ids = np.full((len(q), beam), -1, dtype=np.int64)
         sims = np.full((len(q), beam), -np.inf, dtype=np.float32)
@@ -129,7 +163,7 @@ class Graph:
         ids[:, 0], sims[:, 0], open_[:, 0] = entry, (q * x[entry]).sum(1), True
         hits: list[tuple[np.ndarray, np.ndarray]] = []
         if floor is not None:
-            over = sims[:, 0] >= floor
+            over = sims[:, 0] >= floor[entry]
             hits.append((rows[over], entry[over]))
         extra_row, extra_id = np.zeros(0, np.int64), np.zeros(0, np.int64)  # over the floor, outside the beam
         while True:
@@ -147,13 +181,13 @@ class Graph:
             keep = to >= 0
             row, to = row[keep], to[keep]
             keep = ~seen[row, to]
-            cell = np.unique(row[keep] * len(x) + to[keep])
-            row, to = cell // len(x), cell % len(x)
+            cell = np.unique(row[keep] * self.size + to[keep])
+            row, to = cell // self.size, cell % self.size
             seen[row, to] = True
             sim = np.einsum("ij,ij->i", q[row], x[to])
             over = np.zeros(len(row), dtype=bool)
             if floor is not None:
-                over = sim >= floor
+                over = sim >= floor[to]
                 hits.append((row[over], to[over]))
             extra_row, extra_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if not len(row):
@@ -171,22 +205,34 @@ class Graph:
             order = np.argsort(-all_sims, axis=1, kind="stable")
             if floor is not None:  # what falls out of the beam is gone on from nevertheless, if over the floor
                 out = order[:, beam:]
-                lost = np.take_along_axis(all_open, out, 1) & (np.take_along_axis(all_sims, out, 1) >= floor)
+                lost = np.take_along_axis(all_open, out, 1) & (np.take_along_axis(all_sims, out, 1) >= floor[np.take_along_axis(all_ids, out, 1)])
                 extra_row, extra_id = np.repeat(touched, out.shape[1])[lost.reshape(-1)], np.take_along_axis(all_ids, out, 1)[lost]
             order = order[:, :beam]
             ids[touched] = np.take_along_axis(all_ids, order, 1)
             sims[touched] = np.take_along_axis(all_sims, order, 1)
             open_[touched] = np.take_along_axis(all_open, order, 1)
 
-    def over(self, q: np.ndarray, beam: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, point) of similarity ``floor`` or more that the search comes across."""
-        if beam >= len(self.x):
-            return np.nonzero(q @ self.x.T >= floor)
+    def over(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, point) of about the threshold or more that the search comes across."""
+        least = np.float32(self.config.threshold - 1e-4)
+        if beam >= self.size:
+            return np.nonzero(q @ self.all.T >= least)
         entry = np.zeros(len(q), dtype=np.int64)
         for layer in range(len(self.near) - 1, 0, -1):
             entry = self._search(q, entry, 1, layer)[0][:, 0]
-        _, _, row, to = self._search(q, entry, beam, 0, floor)
-        return row, to
+        _, _, row, node = self._search(q, entry, beam, 0, self.floor)
+        near = np.einsum("ij,ij->i", q[row], self.x[node]) >= least
+        out = [(row[near], self.lead[node[near]])]
+        row, node = (a[self.start[node + 1] > self.start[node]] for a in (row, node))
+        order = np.argsort(node, kind="stable")
+        row, node = row[order], node[order]
+        for some in np.split(np.arange(len(node)), np.flatnonzero(np.diff(node)) + 1):
+            if len(some):  # the queries that came across one leader, with all that hangs on it
+                hung = self.hung[self.start[node[some[0]]] : self.start[node[some[0]] + 1]]
+                for at in range(0, len(hung), 8192):
+                    r, c = np.nonzero(q[row[some]] @ self.all[hung[at : at + 8192]].T >= least)
+                    out.append((row[some][r], hung[at : at + 8192][c]))
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
 def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,68 +253,114 @@ def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _task(batches: Iterator[pa.RecordBatch], config: NearConfig) -> Iterator[pa.RecordBatch]:
-    """Rows of some (shard, part) keys in order; of each key first the shard's points, then queries."""
-    key, points, queries, graph, beam, audited = None, [], [], None, config.beam, (0.0, 0)
-
-    def out(ids, counts, nodes, roots) -> pa.RecordBatch:
-        kind = np.concatenate([np.zeros(len(ids), np.int64), np.ones(len(nodes), np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([ids, nodes])), pa.array(np.concatenate([counts, roots]))], names=["kind", "node", "value"])
-
-    def search(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        nonlocal graph, beam, audited
-        if graph is None:
-            at = _unit(np.stack([p[2] for p in points]).astype(np.float64))
-            graph = (Graph(at, config), at, np.array([p[0] for p in points]), np.array([p[1] for p in points]))
-        made, exact, point_ids, weights = graph
-        q = _unit(np.stack([r[2] for r in rows]).astype(np.float64))
-        floor = np.float32(config.threshold - 1e-4)
-        # Audit: rows come in the order of a hash, so the first are a fair sample of all.
-        n = config.first_audit if beam < 0 else config.audit
-        beam = max(beam, config.beam)
-        some, own = q[:n].astype(np.float32), np.array([r[0] for r in rows[:n]])[:, None] == point_ids[None]
-        near = (some @ made.x.T >= floor) & ~own
-        true = near.sum(1)
+class _Shard:
+    """One shard's graph and what the queries of one part have found in it so far."""
+
+    def __init__(self, points: list[tuple[int, int, np.ndarray]], config: NearConfig):
+        self.config = config
+        self.exact = _unit(np.stack([p[2] for p in points]).astype(np.float64))
+        self.ids, self.weights = np.array([p[0] for p in points]), np.array([p[1] for p in points])
+        self.graph, self.beam = Graph(self.exact, config), config.beam
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.asked, self.share, self.least = 0, 0.0, 1.0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.counts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.gained = np.zeros(len(self.ids), dtype=np.int64)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def search(self, rows: list[tuple[int, int, np.ndarray]]) -> None:
+        """One block of queries: audit, widen if asked for, then find its links."""
+        ids, weights, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), _unit(np.stack([r[2] for r in rows]).astype(np.float64))
+        # Rows come in the order of a hash, so the first are a fair sample of the block.
+        n = self.config.audit if self.blocks else self.config.first_audit
+        some = q[:n].astype(np.float32)
+        near = (some @ self.graph.all.T >= np.float32(self.config.threshold - 1e-4)) & (ids[:n, None] != self.ids[None])
+        true, before = near.sum(1), self.beam
         while True:
-            row, to = made.over(some, beam, floor)
+            row, to = self.graph.over(some, self.beam)
             share = (np.bincount(row[near[row, to]], minlength=len(some)) / np.maximum(true, 1))[true > 0]
-            found, asked = audited[0] + share.sum(), audited[1] + len(share)
-            if beam >= len(made.x) or found >= config.recall * asked:
+            if self.beam >= self.graph.size or not len(share) or (share.mean() >= self.config.recall and share.min() >= self.config.worst):
                 break
-            beam *= 2
-        audited = (found, asked)
-        row, to = made.over(q.astype(np.float32), beam, floor)
-        good = np.einsum("ij,ij->i", q[row], exact[to]) >= config.threshold
-        ids = np.array([r[0] for r in rows])
+            self.beam *= 2
+        self.asked, self.share, self.least = self.asked + len(share), self.share + share.sum(), min(self.least, share.min(initial=1.0))
+        if self.beam > before and self.blocks:  # a narrower beam may have missed links of the blocks before
+            self._forget()
+            for block in self.blocks:
+                self._find(*block)
+        self.blocks.append((ids, weights, q))
+        self._find(ids, weights, q)
+
+    def _find(self, ids: np.ndarray, weights: np.ndarray, q: np.ndarray) -> None:
+        row, to = self.graph.over(q.astype(np.float32), self.beam)
+        good = np.zeros(len(row), dtype=bool)
+        for at in range(0, len(row), 100_000):
+            s = slice(at, at + 100_000)
+            good[s] = np.einsum("ij,ij->i", q[row[s]], self.exact[to[s]]) >= self.config.threshold
+        # In its own shard a pair comes across from both ends; it counts from the smaller one.
+        own = np.isin(ids, self.ids)
+        good &= np.where(own[row], ids[row] < self.ids[to], True)
         row, to = row[good], to[good]
-        other = ids[row] != point_ids[to]
-        row, to = row[other], to[other]
-        counts = np.bincount(row, weights=weights[to], minlength=len(rows)).astype(np.int64)
-        nodes, roots = _labels(ids[row], point_ids[to]) if len(row) else (ids[:0], ids[:0])
-        return out(ids[counts > 0], counts[counts > 0], nodes, roots)
+        counts = np.bincount(row, weights=self.weights[to], minlength=len(ids)).astype(np.int64)
+        self.counts.append((ids[counts > 0], counts[counts > 0]))
+        self.gained += np.bincount(to, weights=weights[row], minlength=len(self.ids)).astype(np.int64)
+        if len(row):
+            self.links.append(_labels(ids[row], self.ids[to]))
+            self.waiting += len(self.links[-1][0])
+            if self.waiting > 2_000_000:
+                self.links = [_labels(*(np.concatenate([x[i] for x in self.links]) for i in (0, 1)))]
+                self.waiting = len(self.links[0][0])
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        """Rows (kind, node, value, share): 0 links of a node, 1 a link of components, 2 audited queries with what they found."""
+        kept = np.flatnonzero(self.gained)
+        parts = [(0, ids, counts) for ids, counts in self.counts] + [(0, self.ids[kept], self.gained[kept])] + [(1, a, b) for a, b in self.links]
+        for kind, node, value in parts:
+            if len(node):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), kind)), pa.array(node), pa.array(value), pa.nulls(len(node), pa.float64()), pa.nulls(len(node), pa.float64())], names=["kind", "node", "value", "share", "least"])
+        yield pa.RecordBatch.from_arrays([pa.array([2]), pa.nulls(1, pa.int64()), pa.array([self.asked]), pa.array([float(self.share)]), pa.array([float(self.least)])], names=["kind", "node", "value", "share", "least"])
+
+
+def _task(batches: Iterator[pa.RecordBatch], config: NearConfig) -> Iterator[pa.RecordBatch]:
+    """Rows of some (shard, part) keys in order; of each key first the shard's points, then queries."""
+    key, points, queries = None, [], []
+    shard: _Shard | None = None
+
+    def search() -> None:
+        nonlocal shard, queries
+        if queries:
+            shard = shard or _Shard(points, config)
+            shard.search(queries)
+            queries = []
 
     for batch in batches:
         vectors = batch.column(4).to_pylist()
         for k, query, node, weight, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), vectors):
             if k != key:
-                if queries:
-                    yield search(queries)
-                key, points, queries, graph, beam, audited = k, [], [], None, -1, (0.0, 0)
+                search()
+                if shard:
+                    yield from shard.out()
+                key, points, shard = k, [], None
             if query:
                 if points:  # a shard may have no points of that length
                     queries.append((node, weight, np.array(v)))
                 # Memory of what was seen grows with points times queries.
                 if len(queries) >= max(16, min(config.block, 32_000_000 // max(1, len(points)))):
-                    yield search(queries)
-                    queries = []
+                    search()
             else:
                 points.append((node, weight, np.array(v)))
-    if queries:
-        yield search(queries)
+    search()
+    if shard:
+        yield from shard.out()
 
 
 def near_duplicates(vectors: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
+    """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept, audit_recall, audit_worst.
+
+    The last two are the same in all rows: the share of their neighbours that audited queries found, as the
+    mean, and the least of a single one (null where no audited query had a neighbour).
 
     A vector that is null, empty, zero or has a null or non-finite component links with nothing and
     is its own component. Only vectors of one length are compared. Equal vectors link with each other.
@@ -287,12 +379,19 @@ def near_duplicates(vectors: DataFrame, config: NearConfig = NearConfig()) -> Da
     of_node = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(n))
     # Key: the vectors' length, shard and part of the queries. A part's task holds one shard at a time.
     stored = points.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(F.size("v").alias("d"), of_node(shards, 1).alias("shard"), F.col("part").cast("long").alias("part"), F.lit(False).alias("query"), "node", "weight", "v")
-    asked = points.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(F.size("v").alias("d"), F.col("shard").cast("long").alias("shard"), of_node(parts, 2).alias("part"), F.lit(True).alias("query"), "node", "weight", "v")
+    # Of two shards the queries of one meet the graph of the other: which one goes by the parity of their sum.
+    own = of_node(shards, 1)
+    meets = lambda j: (j == own) | ((own < j) == ((own + j) % 2 == 1))
+    asked = points.withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), meets))).select(F.size("v").alias("d"), F.col("shard").cast("long").alias("shard"), of_node(parts, 2).alias("part"), F.lit(True).alias("query"), "node", "weight", "v")
     keyed = stored.unionByName(asked).select(((F.col("d").cast("long") * shards + F.col("shard")) * parts + F.col("part")).alias("key"), "query", "node", "weight", "v")
     dealt = keyed.repartitionByRange(shards * parts, "key").sortWithinPartitions("key", "query", F.xxhash64("node", F.lit(3)), "node")
-    found = materialize(dealt.mapInArrow(lambda it: _task(it, config), "kind bigint, node bigint, value bigint"), "links")
+    found = materialize(dealt.mapInArrow(lambda it: _task(it, config), "kind bigint, node bigint, value bigint, share double, least double"), "links")
     counts = found.where(F.col("kind") == 0).groupBy("node").agg(F.sum("value").alias("found"))
     comp = components(found.where(F.col("kind") == 1).select(F.col("node").alias("a"), F.col("value").alias("b")))
     of_point = points.join(counts, "node", "left").join(comp, "node", "left").select("v", (F.coalesce("found", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
-    done = rows.join(of_point, "v", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return done.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    # Vectors that link with nothing need no join; they would all meet under null.
+    linked = rows.where(F.col("v").isNotNull()).join(of_point, "v").select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    alone = rows.where(F.col("v").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    audit = found.where("kind = 2 AND value > 0").agg((F.sum("share") / F.sum("value")).alias("mean"), F.min("least").alias("least")).first()
+    done = linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return done.withColumns({"audit_recall": F.lit(audit["mean"]).cast("double"), "audit_worst": F.lit(audit["least"]).cast("double")})
