@@ -44,9 +44,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: the documents that the budgets reach stay, once each."""
-    chosen = mixing.mix(docs, MIX).select("doc_id").distinct()
-    return docs.alias("d").join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi")
+    """Mixing to target weights: the rows that the budgets reach stay, once each; rows without an id count one by one."""
+    return mixing.chosen_documents(docs, MIX)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ class DecontaminateConfig:
     #: A document is contaminated from this share of hit words on: hit * share_den >= words * share_num.
     share_num: int = 1
     share_den: int = 20
-    #: Most benchmark words in one broadcast (about 100 bytes each in a task's memory).
+    #: Most benchmark words in one broadcast. A window takes 72 bytes in a task's memory (its words' numbers,
+    #: hash and owners), and every distinct word about 110 more.
     max_words: int = 1_000_000
 
 
@@ -45,27 +47,35 @@ class WindowSet:
 
     def __init__(self, items: list[tuple[object, bytes | None]], window: int):
         self.number: dict[bytes, int] = {}
-        lengths: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        self.names: list[str] = []
+        rows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)], dtype=np.uint32)
             n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                owners = lengths.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set())
-                if item is not None:
-                    owners.add(str(item))
+            if n:
+                rows.setdefault(n, []).append(np.lib.stride_tricks.sliding_window_view(ids, n))
+                owners.setdefault(n, []).append(np.full(len(ids) - n + 1, -1 if item is None else len(self.names), dtype=np.int32))
+                self.names += [] if item is None else [str(item)]
+        # By length: hashes in order, their windows, and the owners of each in one list.
         self.by_length = []
-        for n, windows in sorted(lengths.items()):
-            words = np.array(list(windows), dtype=np.uint64).reshape(-1, n)
+        for n in sorted(rows):
+            words, window_of = np.unique(np.concatenate(rows[n]), axis=0, return_inverse=True)
             hashes = self._hash(words)
             order = np.argsort(hashes, kind="stable")
-            owners = list(windows.values())
-            self.by_length.append((n, hashes[order], words[order], [owners[i] for i in order]))
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            owner = np.concatenate(owners[n])
+            named = owner >= 0
+            pairs = np.unique(place[window_of.reshape(-1)][named] * max(1, len(self.names)) + owner[named])
+            starts = np.searchsorted(pairs, np.arange(len(order) + 1) * max(1, len(self.names)))
+            self.by_length.append((n, hashes[order], words[order], starts, (pairs % max(1, len(self.names))).astype(np.int32)))
 
     @staticmethod
     def _hash(words: np.ndarray) -> np.ndarray:
         h = np.zeros(len(words), dtype=np.uint64)
         for k in range(words.shape[1]):
-            h = h * _BASE + words[:, k]
+            h = h * _BASE + words[:, k].astype(np.uint64)
         return h
 
     def scan(self, texts: list[bytes | None]) -> list[tuple[int, np.ndarray, set[str], list[tuple[int, int]]]]:
@@ -81,7 +91,7 @@ class WindowSet:
         edge = np.zeros(len(flat) + 1, dtype=np.int64)
         items: dict[int, set[str]] = {}
         found: dict[int, list[tuple[int, int]]] = {}
-        for n, hashes, words, owners in self.by_length:
+        for n, hashes, words, of, owners in self.by_length:
             if len(flat) < n:
                 continue
             at = np.flatnonzero(known[n:] - known[:-n] == n)
@@ -98,7 +108,7 @@ class WindowSet:
                         edge[p] += 1
                         edge[p + n] -= 1
                         doc = int(np.searchsorted(starts, p, side="right")) - 1
-                        items.setdefault(doc, set()).update(owners[r])
+                        items.setdefault(doc, set()).update(self.names[o] for o in owners[of[r] : of[r + 1]])
                         found.setdefault(doc, []).append((p - int(starts[doc]), n))
                         break
                     r += 1
@@ -210,6 +220,21 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, config: Decontaminate
     return _judged(docs, benchmark, config, list(docs.columns)).where(~F.col("contaminated")).select("key.*")
 
 
+def without_spans(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConfig = DecontaminateConfig()) -> DataFrame:
+    """All rows of ``docs`` with their columns; ``text`` is without the words inside benchmark windows.
+
+    Other texts come out as they went in, null ones too.
+    """
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([remove_spans(t, [(s["start"], s["stop"]) for s in of]) for t, of in zip(texts, spans)], dtype=object)
+
+    judged = _judged(docs, benchmark, config, list(docs.columns))
+    clean = F.when(F.size("hit_spans") > 0, cut("key.text", "hit_spans")).otherwise(F.col("key.text"))
+    return judged.select(F.col("key").withField("text", clean).alias("key")).select("key.*")
+
+
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """``text`` without the hit words, from the first word's start to the last one's end."""
     if text is None or not spans:

@@ -81,8 +81,9 @@ def leaf_budgets(leaves: DataFrame, total: DataFrame, config: MixConfig) -> Data
     return low.select("domain", "lang", "source", "tokens", "budget")
 
 
-def mix(docs: DataFrame, config: MixConfig = MixConfig(), domain: Column | None = None) -> DataFrame:
-    """The chosen rows: doc_id, domain, lang, source, n_tokens, copies (how many epochs hold it).
+def mix(docs: DataFrame, config: MixConfig = MixConfig(), domain: Column | None = None, row: str | None = None) -> DataFrame:
+    """The chosen rows: doc_id, domain, lang, source, n_tokens, copies (how many epochs hold it), and the
+    column ``row`` where one is named; it settles ties between rows with one id.
 
     Tokens are words without ASCII white space; null text has none. Null lang or source counts
     as ''. Repeated rows each count. Budgets are rounded down to whole tokens, and a prefix ends
@@ -95,6 +96,7 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), domain: Column | None
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SPACED_WORD)).cast("long").alias("n_tokens"),
+        *([] if row is None else [F.col(row)]),
     )
     narrow = materialize(narrow, "mix-narrow")
     leaf = ["domain", "lang", "source"]
@@ -119,15 +121,27 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), domain: Column | None
         ends = materialize(ends, "mix-ends")
     placed = dealt.join(ends, leaf, "left").withColumn("range", F.substring("key", 1, DIGITS * LEVELS))
     whole = placed.where(F.col("cut").isNull() | (F.col("range") != F.col("cut"))).withColumn("more", (F.col("cut").isNull() | (F.col("range") < F.col("cut"))).cast("long"))
-    run = Window.partitionBy(*leaf).orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*leaf).orderBy("key", "doc_id", "n_tokens", *([] if row is None else [row])).rowsBetween(Window.unboundedPreceding, 0)
     edge = placed.where(F.col("range") == F.col("cut")).withColumn("more", (F.col("cut_before") + F.sum("n_tokens").over(run) <= F.col("rest")).cast("long"))
     return (
         whole.unionByName(edge)
-        .select("doc_id", *leaf, "n_tokens", (F.col("epochs") + F.col("more")).alias("copies"))
+        .select("doc_id", *leaf, "n_tokens", (F.col("epochs") + F.col("more")).alias("copies"), *([] if row is None else [row]))
         .where(F.col("copies") > 0)
     )
 
 
+def chosen_documents(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` chooses, once each, with all their columns.
+
+    Rows are numbered by their place in the table and joined back by that, so rows without an id and rows
+    that share one are chosen one by one. ``docs`` must give its rows in the same partitions each time that
+    it is read, as a written table does.
+    """
+    inside = docs.select(F.struct("*").alias("row_"), F.monotonically_increasing_id().alias("place_"))
+    chosen = mix(inside.select("row_.*", F.col("place_").alias("mix_place_")), config, row="mix_place_").select(F.col("mix_place_").alias("place_"))
+    return inside.join(chosen, "place_", "left_semi").select("row_.*")
+
+
 def mix_sql(config: MixConfig, documents: str = "documents") -> str:
     """The same as one DuckDB query."""
 

@@ -33,6 +33,8 @@ class ToxicityConfig:
     l2: float = 1e-3
     steps: int = 300
     threshold: float = 0.5
+    #: Labelled ids that may be broadcast, to make the words of labelled documents only.
+    broadcast_labels: int = 1_000_000
 
 
 def words_of(text: str | None) -> set[bytes]:
@@ -158,6 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], config: Tox
     one = texts.select("doc_id", "t").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"))
     found = texts.join(F.broadcast(one), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"])
     labelled = materialize(found.join(F.broadcast(chosen), "doc_id"), "labelled")  # as many rows as the sample at most
+    ids = materialize(labels.select("doc_id").distinct(), "labelled-ids")
+    if ids.count() <= config.broadcast_labels:  # else the words of all documents are made and joined
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     words = docs.select("doc_id", "text").mapInArrow(_distinct, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
     features = choose_features(words.join(labels.select("doc_id", *categories), "doc_id"), categories, config)
     ratios = np.array(list(features.values())).reshape(len(features), len(categories))
@@ -184,6 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], config: Tox
         unseen = np.zeros(x.n)
         for k in range(config.folds):
             w = fit_one(x, extra, y, (fold != k).astype(np.float64), size, config)
+            w[:size][rare] = ratios[rare, number]  # as in the final model, so that later categories learn from its scale
             z = x.dot(w[:size]) + extra @ w[size:-1] + w[-1]
             unseen[fold == k] = np.clip(z, -30, 30)[fold == k]
         w = fit_one(x, extra, y, np.ones(x.n), size, config)
