@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once, however often ``of`` names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: of(v)), 1)
+
+
 def finite(value: Column) -> Column:
     """The number, or null if it is no number, NaN or infinite."""
     v = value.try_cast("double")

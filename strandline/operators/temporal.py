@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import multiply, project
+from ..functions.numeric import hypot, let
 from .scoring import hypothesis_score, hypothesis_uncertainty
 
 
@@ -63,15 +64,11 @@ def hypotheses(frames: DataFrame, anchors: DataFrame, edges: DataFrame, c: Propa
 
 def disagreement(a: Column, b: Column, c: PropagateConfig) -> Column:
     """Median distance on the pitch between two calibrations over a 5 x 4 grid of the image."""
-    gaps = []
-    for i in range(5):
-        for j in range(4):
-            x, y = F.lit(c.width * (i + 0.5) / 5), F.lit(c.height * (j + 0.5) / 4)
-            p, q = project(a, x, y), project(b, x, y)
-            gaps.append(F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])))
-    s = F.array_sort(F.array_compact(F.array(*gaps)))
-    n = F.size(s)
-    return F.when(n > 0, (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2).cast("int") + 1)) / 2)
+    grid = F.array(*(F.struct(F.lit(c.width * (i + 0.5) / 5).alias("x"), F.lit(c.height * (j + 0.5) / 4).alias("y")) for i in range(5) for j in range(4)))
+    sides = F.transform(grid, lambda g: F.struct(project(a, g["x"], g["y"]).alias("p"), project(b, g["x"], g["y"]).alias("q")))
+    gaps = F.transform(sides, lambda s: hypot(s["p"]["x"] - s["q"]["x"], s["p"]["y"] - s["q"]["y"]))
+    middle = lambda s: (F.element_at(s, F.floor((F.size(s) + 1) / 2).cast("int")) + F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)) / 2
+    return let(F.array_sort(F.array_compact(gaps)), lambda s: F.when(F.size(s) > 0, middle(s)))
 
 
 def propagate(found: DataFrame, c: PropagateConfig = PropagateConfig()) -> DataFrame:
