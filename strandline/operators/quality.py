@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .assign import hungarian
 from .checkpoint import cut
+from .groups import each_group
 
 
 def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -171,3 +172,43 @@ def pair_distances(vectors: DataFrame, block: int = 1000) -> DataFrame:
 
     found = dealt.groupBy("low", "high").applyInPandas(compare, "same boolean, d double, n bigint")
     return found.groupBy("same", "d").agg(F.sum("n").alias("n"))
+
+
+def greedy_truths(pairs: DataFrame, least: float) -> DataFrame:
+    """(frame, p_id, g_id): predictions that find a truth, by falling score, then id.
+
+    ``pairs``: frame, g_id, p_id, score, iou. Each prediction takes the truth of its frame that it overlaps
+    most (the larger id on a tie) of those that are free, if by ``least``; else it finds none and takes none.
+    Pairs that meet no other pair are settled in place; only frames with others are folded.
+    """
+    near = pairs.where(F.col("iou") >= least)
+    alone = lambda side: F.count("*").over(Window.partitionBy("frame", side)) == 1
+    near = near.withColumn("alone", alone("g_id") & alone("p_id"))
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("frame", "p_id", "g_id")}
+
+    def fold(rows: list[dict]) -> list[tuple]:
+        used, done, out = set(), set(), []
+        for r in rows:  # of one prediction the best overlap first
+            if r["p_id"] not in done and r["g_id"] not in used:
+                used.add(r["g_id"])
+                done.add(r["p_id"])
+                out.append((r["frame"], r["p_id"], r["g_id"]))
+        return out
+
+    folded = each_group(near.where(~F.col("alone")), ["frame"], [F.desc("score"), "p_id", F.desc("iou"), F.desc("g_id")], fold, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    return near.where("alone").select("frame", "p_id", "g_id").unionByName(folded)
+
+
+def detection_average_precision(boxes: DataFrame, pairs: DataFrame, least: float = 0.5) -> DataFrame:
+    """Average precision of detections over all frames, and its counts: one row (average_precision, truths, predictions, found).
+
+    ``boxes``: frame, id, score, side (gt or pred); ``pairs`` as for ``greedy_truths``. Recall counts all truths,
+    also of frames without a prediction; null without truths, 0 without predictions.
+    """
+    hits = greedy_truths(pairs, least).select("frame", F.col("p_id").alias("id"), F.lit(1).alias("hit"))
+    preds = boxes.where("side = 'pred'").select("frame", "id", "score").join(hits, ["frame", "id"], "left")
+    key = F.struct("frame", "id")
+    run = precision_recall(preds.select(key.alias("id"), F.coalesce("hit", F.lit(0)).alias("truth"), "score"))
+    sums = run.agg(F.coalesce(F.sum(F.when(F.col("truth") == 1, F.col("envelope"))), F.lit(0.0)).alias("area"), F.count("*").alias("predictions"), F.coalesce(F.sum("truth"), F.lit(0)).alias("found"))
+    truths = boxes.where("side = 'gt'").agg(F.count("*").alias("truths"))
+    return sums.crossJoin(truths).select(F.try_divide("area", F.col("truths").cast("double")).alias("average_precision"), "truths", "predictions", "found")  # one row each
