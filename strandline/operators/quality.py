@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,20 +90,24 @@ def identity_f1(rows: DataFrame, by: str = "seq") -> DataFrame:
     """
     kept = rows.where(F.col("gt").isNotNull() | F.col("pred").isNotNull()).select(by, "t", F.col("gt").cast("string").alias("gt"), F.col("pred").cast("string").alias("pred")).distinct()
     bad = kept.where(F.col("gt").isNotNull()).groupBy(by, "t", "gt").agg(F.countDistinct("pred").alias("k")).where("k > 1").select(by).distinct().withColumn("invalid", F.lit(True))
-    table = kept.groupBy(by, "gt", "pred").count()
+    table = cut(kept.groupBy(by, "gt", "pred").count())
     kind = rows.schema[by].dataType.simpleString()
-
-    def solve(f: pd.DataFrame) -> pd.DataFrame:
-        both = f.dropna(subset=["gt", "pred"])
-        grid = both.pivot_table(index="gt", columns="pred", values="count", aggfunc="sum", fill_value=0).sort_index().sort_index(axis=1) if len(both) else None
-        tp = 0
-        if grid is not None:
-            v = grid.to_numpy(dtype=float)
-            tp = int(sum(v[i, j] for i, j in hungarian(-v)))
-        n_gt, n_pred = int(f.loc[f["gt"].notna(), "count"].sum()), int(f.loc[f["pred"].notna(), "count"].sum())
-        return pd.DataFrame([(f[by].iloc[0], tp, n_pred - tp, n_gt - tp, 2 * tp / (n_gt + n_pred) if n_gt + n_pred else None)], columns=[by, "idtp", "idfp", "idfn", "idf1"])
-
-    scores = table.groupBy(by).applyInPandas(solve, f"{by} {kind}, idtp bigint, idfp bigint, idfn bigint, idf1 double")
+    both = table.where(F.col("gt").isNotNull() & F.col("pred").isNotNull())
+    # With one truth or one prediction the best map is its most frequent pair; Python gets the others only.
+    sides = both.groupBy(by).agg(F.countDistinct("gt").alias("n_gt"), F.countDistinct("pred").alias("n_pred"), F.max("count").alias("most"))
+    trivial = sides.where((F.col("n_gt") == 1) | (F.col("n_pred") == 1)).select(by, F.col("most").alias("tp"))
+
+    def solve(found: list[dict]) -> list[tuple]:
+        left, right = sorted({r["gt"] for r in found}), sorted({r["pred"] for r in found})
+        v = np.zeros((len(left), len(right)))
+        for r in found:
+            v[left.index(r["gt"]), right.index(r["pred"])] = r["count"]
+        return [(found[0][by], int(sum(v[i, j] for i, j in hungarian(-v))))]
+
+    solved = each_group(both.join(sides.where((F.col("n_gt") > 1) & (F.col("n_pred") > 1)).select(by), by, "left_semi"), [by], ["gt", "pred"], solve, f"{by} {kind}, tp bigint")
+    sums = table.groupBy(by).agg(F.coalesce(F.sum(F.when(F.col("gt").isNotNull(), F.col("count"))), F.lit(0)).alias("n_gt"), F.coalesce(F.sum(F.when(F.col("pred").isNotNull(), F.col("count"))), F.lit(0)).alias("n_pred"))
+    scores = sums.join(trivial.unionByName(solved), by, "left").withColumn("idtp", F.coalesce("tp", F.lit(0)).cast("long"))
+    scores = scores.select(by, "idtp", (F.col("n_pred") - F.col("idtp")).alias("idfp"), (F.col("n_gt") - F.col("idtp")).alias("idfn"), F.try_divide(2.0 * F.col("idtp"), F.col("n_gt") + F.col("n_pred")).alias("idf1"))
     return scores.join(bad, by, "left").select(by, "idtp", "idfp", "idfn", F.when(F.col("invalid"), None).otherwise(F.col("idf1")).alias("idf1"), F.when(F.col("invalid"), "invalid").otherwise("valid").alias("status"))
 
 

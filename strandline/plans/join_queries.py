@@ -220,14 +220,6 @@ def mutual_best_margin(spark, sf):
     return A.mutual_best(_vector_pairs(spark, sf).withColumn("sim", F.round("sim", 6)), "person", "pred", "succ", "sim", 0.02)
 
 
-@query("""WITH RECURSIVE m AS (SELECT o_orderkey AS source, o_orderkey + 1 + o_orderkey % 5 AS target FROM orders WHERE o_orderkey % 16 < 11), f AS (SELECT source, target FROM m UNION ALL SELECT f.source, m.target FROM f JOIN m ON f.target = m.source)
-  SELECT source, max(target) AS target FROM f GROUP BY source""")
-def merge_terminals(spark, sf):
-    o = F.col("o_orderkey")
-    merges = P.read(spark, sf, "orders").where(o % 16 < 11).select(o.alias("source"), (o + 1 + o % 5).alias("target"))
-    return G.terminal_targets(spark, merges)
-
-
 @query("""SELECT source, last AS target FROM (SELECT o_orderkey AS source, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM orders) WHERE source <> last""")
 def merge_terminals_whole(spark, sf):
     # Every order merges into its customer's next one: whole chains, no residue filter.

@@ -8,7 +8,6 @@ from ..operators import assign as A
 from ..operators import joins as J
 from ..operators import quality as Q
 from ..operators import series as S
-from ..functions.vector import dot
 from ..sources import proxies as P
 from .join_queries import _IOU, _PAIRS, _candidates, _vector_pairs
 from .registry import query
@@ -86,18 +85,6 @@ def contingency_idf1(spark, sf):
     return Q.identity_f1(P.assign_rows(spark, sf)).withColumn("idf1", F.round("idf1", 6))
 
 
-@query(f"""SELECT same, round(quantile_cont(d, 0.05), 6) AS p05, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.95), 6) AS p95, count(*) AS n FROM (
-  SELECT a.person = b.person AS same, least(2.0, greatest(0.0, 1 - list_dot_product(a.v, b.v))) AS d FROM {P.VECTORS} a JOIN {P.VECTORS} b ON a.id % 10 = b.id % 10 AND a.id < b.id) GROUP BY same""")
-def same_diff_distance(spark, sf):
-    v = P.vectors(spark, sf).withColumn("g", F.col("id") % 10)
-    a, b = (v.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "person", "v")]) for s in "ab")
-    pairs = a.join(b, "g").where(F.col("id_a") < F.col("id_b"))
-    d = F.least(F.lit(2.0), F.greatest(F.lit(0.0), 1 - dot("v_a", "v_b")))
-    rows = pairs.select((F.col("person_a") == F.col("person_b")).alias("same"), d.alias("d"))
-    grid = rows.groupBy("same").agg(*[F.percentile("d", F.lit(q)).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))], F.count("*").alias("n"))
-    return grid.select("same", *[F.round(c, 6).alias(c) for c in ("p05", "p50", "p95")], "n")
-
-
 @query()
 def same_diff_distance_whole(spark, sf):
     # All pairs; distances are counted at six decimals. The sampled query above keeps its SQL.

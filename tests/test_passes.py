@@ -1,5 +1,7 @@
 """Replays, fused passes and greedy matching against plain versions."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +111,21 @@ def test_greedy_average_precision(spark):
     assert got["average_precision"] == pytest.approx(area) and (got["truths"], got["found"]) == (sum(x[3] == "gt" for x in boxes), len(found))
     none = Q.detection_average_precision(b.where("side = 'pred'"), p.limit(0)).first()
     assert none["average_precision"] is None and Q.detection_average_precision(b.where("side = 'gt'"), p.limit(0)).first()["average_precision"] == 0
+
+
+def test_identity_maps_of_several_truths_are_the_best_of_all(spark):
+    r = np.random.default_rng(12)
+    rows = [(seq, t, None if r.random() < 0.1 else f"g{r.integers(0, 1 + seq % 4)}", None if r.random() < 0.15 else f"p{r.integers(0, 1 + seq % 3)}") for seq in range(25) for t in range(20)]
+    got = {x["seq"]: x for x in Q.identity_f1(spark.createDataFrame(rows, "seq bigint, t bigint, gt string, pred string")).collect()}
+    solved = 0
+    for seq in range(25):
+        mine = {x for x in rows if x[0] == seq and (x[2] or x[3])}
+        truths, preds = sorted({x[2] for x in mine if x[2]}), sorted({x[3] for x in mine if x[3]})
+        n = max(len(truths), len(preds))
+        best = max(sum(any(a == x[2] and b == x[3] for a, b in zip(p, preds)) for x in mine if x[2] and x[3]) for p in itertools.permutations([*truths, *[None] * n], len(preds))) if preds else 0
+        n_gt, n_pred = sum(bool(x[2]) for x in mine), sum(bool(x[3]) for x in mine)
+        assert (got[seq]["idtp"], got[seq]["idfp"], got[seq]["idfn"]) == (best, n_pred - best, n_gt - best)
+        solved += len(truths) > 1 and len(preds) > 1
+    assert solved > 5
+    double = spark.createDataFrame([(1, 0, "g", "p"), (1, 0, "g", "q"), (2, 0, "g", None)], "seq bigint, t bigint, gt string, pred string")
+    assert sorted((x["seq"], x["status"], x["idf1"]) for x in Q.identity_f1(double).collect()) == [(1, "invalid", None), (2, "valid", 0.0)]
