@@ -180,10 +180,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch], path: str, number: np.ndarray
 
 
 def corpus_classes(texts: DataFrame, spelled: DataFrame, path: str, config: AttentionConfig) -> tuple[Classes, np.ndarray]:
-    """Classes from the counts and neighbours in all training texts, and the subwords beyond the
-    frequent ones that have a class by their neighbours.
+    """Classes from the counts in all training texts and the neighbours in ``texts``, and the subwords
+    beyond the frequent ones that have a class by their neighbours.
 
-    ``texts``: texts of training rows; ``spelled``: ids and c, each training word's subwords and count. What
+    ``texts``: those texts of training rows that the layer learns from (one in ``learn_one_in``); ``spelled``: ids and c, each training word's subwords and count. What
     comes to the driver is bounded by the subwords; those beyond the frequent ones are put into classes in tasks.
     """
     spark = texts.sparkSession
