@@ -158,7 +158,7 @@ class Model:
         u = last + mixed @ w["P"]
         hidden = np.maximum(u @ w["A"] + w["a"], 0)
         y = u + hidden @ w["B"]
-        return x, last, q, k, v, a, mixed, u, hidden, y, y @ w["O"] + w["o"], distance
+        return x, last, q, k, v, a, mixed, u, hidden, y, distance
 
     def places(self) -> tuple[np.ndarray, np.ndarray]:
         """For each row of the embedding table: itself and its query; its key and its value as the layer adds it."""
@@ -243,42 +243,52 @@ class Model:
 
     def tune(self, stream: np.ndarray) -> np.ndarray:
         """Adam over the whole stream, each subword the target once; how often each row was before one."""
-        c = self.config
-        rows = np.where(stream == self.classes.end, self.classes.rows - 1, self.classes.row[stream])[:-1]
-        targets, n = self.classes.of[stream][1:], c.window
-        whole = len(rows) // n
+        c, classes, n = self.config, self.classes, self.config.window
+        row_of = lambda ids: np.where(ids == classes.end, classes.rows - 1, classes.row[ids])
+        known = max(0, len(stream) - 1)
+        whole = known // n
         order = np.random.default_rng(c.seed + 2).permutation(whole)
-        batches = [(rows[: whole * n].reshape(-1, n)[at], targets[: whole * n].reshape(-1, n)[at]) for at in (order[k : k + c.tune_batch] for k in range(0, whole, c.tune_batch))]
-        if len(rows) > whole * n:
-            batches.append((rows[None, whole * n :], targets[None, whole * n :]))
+        spans = [order[k : k + c.tune_batch, None] * n + np.arange(n)[None] for k in range(0, whole, c.tune_batch)]
+        if known > whole * n:
+            spans.append(np.arange(whole * n, known)[None])
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        for step, (before, target) in enumerate(batches, 1):
-            rate = c.tune_rate * min(1.0, step / 10) * (1 - (step - 1) / len(batches)) * min(1.0, before.size / (c.tune_batch * n))
-            for k, grad in self._gradient(before, target)[1].items():
+        for step, at in enumerate(spans, 1):
+            rate = c.tune_rate * min(1.0, step / 10) * (1 - (step - 1) / len(spans)) * min(1.0, at.size / (c.tune_batch * n))
+            for k, grad in self._gradient(row_of(stream[at]), classes.of[stream[at + 1]])[1].items():
                 m[k] += 0.1 * (grad - m[k])
                 s[k] += 0.01 * (grad * grad - s[k])
                 self.w[k] -= F32(rate / (1 - 0.9**step)) * m[k] / (np.sqrt(s[k] * F32(1 / (1 - 0.99**step))) + F32(1e-8))
-        return np.bincount(rows, minlength=self.classes.rows)
+        return np.bincount(row_of(stream[:-1]), minlength=classes.rows)
 
     def _gradient(self, rows: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        w, n = self.w, rows.shape[1]
-        x, last, q, k, v, a, mixed, u, hidden, y, z, distance = self._forward(rows, n)
-        initial = target < self.classes.initial
-        z = np.where(initial[..., None] == (np.arange(self.classes.count) < self.classes.initial), z, F32(-1e9))
-        p = z - z.max(-1, keepdims=True)
-        p = np.exp(p)
-        p /= p.sum(-1, keepdims=True)
-        size = rows.size
-        begins = 1 / (1 + np.exp(-np.clip(y @ w["G"] + w["g"], -30, 30)))
-        right = np.where(initial[..., None], begins, 1 - begins)
-        loss = -float(np.log(np.take_along_axis(p, target[..., None], -1) + 1e-30).mean()) - float(np.log(right).mean())
-        db = ((begins - initial[..., None]) / F32(size)).astype(F32)
-        np.put_along_axis(p, target[..., None], np.take_along_axis(p, target[..., None], -1) - 1, -1)
-        dz = p / F32(size)
+        w, c, n = self.w, self.classes, rows.shape[1]
+        x, last, q, k, v, a, mixed, u, hidden, y, distance = self._forward(rows, n)
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"O": flat(y).T @ flat(dz), "o": flat(dz).sum(0), "G": flat(y).T @ flat(db), "g": flat(db).sum(0)}
-        dy = dz @ w["O"].T + db @ w["G"].T
+        told, at, size = flat(y), target.reshape(-1), rows.size
+        initial = at < c.initial
+        begins = 1 / (1 + np.exp(-np.clip(told @ w["G"] + w["g"], -30, 30)))
+        loss = -float(np.log(np.where(initial[:, None], begins, 1 - begins)).mean())
+        db = ((begins - initial[:, None]) / F32(size)).astype(F32)
+        dy = db @ w["G"].T
+        g = {"O": np.zeros_like(w["O"]), "o": np.zeros_like(w["o"]), "G": told.T @ db, "g": db.sum(0)}
+        # A class is told among those of its kind, so the other kind's logits are not needed.
+        for some, first, stop in ((np.flatnonzero(initial), 0, c.initial), (np.flatnonzero(~initial), c.initial, c.count)):
+            if len(some) == 0:
+                continue
+            mine, out = told[some], w["O"][:, first:stop]
+            p = mine @ out
+            p += w["o"][first:stop]
+            p -= p.max(-1, keepdims=True)
+            np.exp(p, out=p)
+            p /= p.sum(-1, keepdims=True)
+            here = (np.arange(len(some)), at[some] - first)
+            loss -= float(np.log(p[here] + 1e-30).sum()) / size
+            p[here] -= 1
+            p /= F32(size)
+            g["O"][:, first:stop], g["o"][first:stop] = mine.T @ p, p.sum(0)
+            dy[some] += p @ out.T
+        dy = dy.reshape(y.shape)
         dh = (dy @ w["B"].T) * (hidden > 0)
         g |= {"B": flat(hidden).T @ flat(dy), "A": flat(u).T @ flat(dh), "a": flat(dh).sum(0)}
         du = dy + dh @ w["A"].T

@@ -35,12 +35,10 @@ END = "\n"
 class ScoreConfig:
     attention: AttentionConfig = AttentionConfig()
     #: Bound of the sample that the attention model starts from: texts with the smallest hash of
-    #: their id, whole, until so many subwords. After that every block learns on from one in
-    #: ``learn_one_in`` of its texts, chosen by hash and whole, which also tell the classes, so what is
-    #: learned from grows with the corpus. Counts come from all training texts.
+    #: their id, whole, until so many subwords. After that every block learns on from all its training
+    #: texts, which also tell the classes and the counts.
     sample_texts: int = 1000
     sample_subwords: int = 600_000
-    learn_one_in: int = 16
     #: Text bytes of a block.
     block_bytes: int = 8_000_000
 
@@ -180,10 +178,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch], path: str, number: np.ndarray
 
 
 def corpus_classes(texts: DataFrame, spelled: DataFrame, path: str, config: AttentionConfig) -> tuple[Classes, np.ndarray]:
-    """Classes from the counts in all training texts and the neighbours in ``texts``, and the subwords
-    beyond the frequent ones that have a class by their neighbours.
+    """Classes from the counts and the neighbours in all training texts, and the subwords beyond the
+    frequent ones that have a class by their neighbours.
 
-    ``texts``: those texts of training rows that the layer learns from (one in ``learn_one_in``); ``spelled``: ids and c, each training word's subwords and count. What
+    ``texts``: the training rows' texts; ``spelled``: ids and c, each training word's subwords and count. What
     comes to the driver is bounded by the subwords; those beyond the frequent ones are put into classes in tasks.
     """
     spark = texts.sparkSession
@@ -230,10 +228,9 @@ def corpus_classes(texts: DataFrame, spelled: DataFrame, path: str, config: Atte
 def train_attention(dealt: DataFrame, spelled: DataFrame, path: str, config: ScoreConfig) -> Model:
     """The model; ``dealt``: doc_id, text, block of training rows, ``spelled``: ids, c of training words.
 
-    It starts from a bounded sample. Then every block learns on from there over its chosen texts, and
+    It starts from a bounded sample. Then every block learns on from there over all its texts, and
     the blocks' weights are averaged: by subwords learned from, an embedding by its own number.
     """
-    chosen_texts = dealt.where(F.pmod(F.xxhash64("text", F.lit("learn")), F.lit(config.learn_one_in)) == 0)
     # Chosen by hash without their texts; the bounded list of hashes is broadcast to fetch those.
     rows = dealt.select("doc_id", "text")
     key = F.xxhash64("doc_id").alias("h")
@@ -247,7 +244,7 @@ def train_attention(dealt: DataFrame, spelled: DataFrame, path: str, config: Sco
             break
         stream.append(_stream([r["text"]], subwords)[1:])
         n += len(stream[-1])
-    classes, others = corpus_classes(chosen_texts.select("text").unionByName(found.select("text")), spelled, path, config.attention)
+    classes, others = corpus_classes(dealt.select("text"), spelled, path, config.attention)
     model = Model(config.attention, classes)
     if not stream:
         model.init()
@@ -262,14 +259,15 @@ def train_attention(dealt: DataFrame, spelled: DataFrame, path: str, config: Sco
     def learn(rows: pa.Table) -> pa.Table:
         start: Model = shared.value
         own = Model(start.config, start.classes, {k: v.copy() for k, v in start.w.items()})
-        count = own.tune(_stream(sorted(rows.column("text").to_pylist(), key=lambda t: t or b""), _subwords(path))).astype(np.float64)
+        stream = _stream(sorted(rows.column("text").to_pylist(), key=lambda t: t or b""), _subwords(path)).astype(np.int32)
+        count = own.tune(stream).astype(np.float64)
         parts = [count, (own.w["E"] * count[:, None]).reshape(-1), [count.sum()], *(own.w[k].reshape(-1) * count.sum() for k in names)]
         return pa.table({"sums": pa.array([np.concatenate(parts).tobytes()], pa.binary())})
 
-    learned = chosen_texts.select("block", "text").groupBy("block").applyInArrow(learn, "sums binary")
+    learned = dealt.select("block", "text").groupBy("block").applyInArrow(learn, "sums binary")
     sums = learned.rdd.map(lambda r: np.frombuffer(r["sums"])).treeAggregate(np.zeros(1), np.add, np.add)
     e = model.w["E"]
-    if len(sums) == 1 or not sums[len(e) + e.size]:  # no text was chosen
+    if len(sums) == 1 or not sums[len(e) + e.size]:  # no subword stands before another
         return model
     count, of_e, rest = np.split(sums, [len(e), len(e) + e.size])
     model.w["E"] = np.where(count[:, None] > 0, of_e.reshape(e.shape) / np.maximum(count, 1)[:, None], e).astype(np.float32)
