@@ -9,7 +9,7 @@ from ..operators import assign as A
 from ..operators import graph as G
 from ..operators import joins as J
 from ..sources import proxies as P
-from .registry import query
+from .registry import greedy_sql, query
 
 #: "Now" of the queue queries, in epoch days, and the states that count as active.
 NOW, ACTIVE, PROCESSING = 10_300.0, ["P", "O"], "P"
@@ -118,7 +118,7 @@ def _candidates(spark, sf):
     return J.iou_pairs(P.boxes(spark, sf), 0.5).withColumn("iou", F.round("iou", 9))
 
 
-@query()
+@query(f"""WITH {greedy_sql(f"SELECT frame, g_id AS a, p_id AS b, round(iou, 9) AS iou FROM {_IOU} WHERE iou > 0.5", "iou DESC")} SELECT m.frame, m.a AS g_id, m.b AS p_id, pr.iou FROM m JOIN pr USING (frame, a, b)""")
 def iou_greedy_match(spark, sf):
     return A.greedy_matches(_candidates(spark, sf), "frame", "g_id", "p_id", "iou")
 

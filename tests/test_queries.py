@@ -16,7 +16,7 @@ from strandline.sources import proxies
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: These solve one small problem per frame in Python; at this size a few thousand frames.
-SLOW = {"box_suppression", "roster_assignment_abstain", "iou_greedy_match", "iou_optimal_match_counts", "detection_prf"}
+SLOW = {"box_suppression", "roster_assignment_abstain", "iou_optimal_match_counts", "detection_prf"}
 
 
 @pytest.fixture(scope="module")
