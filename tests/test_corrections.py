@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from strandline.operators import corrections as C
+from strandline.plans import correction_queries as Q
 
 SPLITS = "scene bigint, id string, source string, produced string, start double, stop double"
 
@@ -81,6 +82,21 @@ def test_the_log_is_optimistic_and_undo_restores(spark):
     assert {v[0] for v in want.values()} == {"accepted", "conflict", "nothing-to-undo"}
 
 
+def log_of_lines(spark, folder, query, rows):
+    """What a query of the log gives for lines of one part (order, number, supplier, quantity) that stand so in their file."""
+    spark.createDataFrame([(1, *r) for r in rows], "l_partkey bigint, l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_quantity double").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    return sorted(tuple(r) for r in query(spark, str(folder)).collect())
+
+
+#: Two lines of one order and number: whichever is numbered first was written by one who saw revision 0.
+TIED = [(5, 2, 3, 1.0), (5, 2, 4, 10.0), (6, 1, 8, 3.0)]
+
+
+def test_lines_of_one_order_and_number_are_numbered_alike_however_they_stand(spark, tmp_path):
+    both = [log_of_lines(spark, tmp_path / str(k), Q.correction_log, rows) for k, rows in enumerate((TIED, TIED[::-1]))]
+    assert both[0] == both[1] == [(1, 52, "accepted", 1, 3), (1, 52, "accepted", 2, None), (1, 61, "accepted", 3, 8)]
+
+
 def decided(spark, *rows):
     log = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "scene bigint, seq bigint, person string, op string, player string")
     return [(r["verdict"], r["state"], r["player"]) for r in sorted(C.roster_log(log.repartition(3)).collect(), key=lambda r: r["seq"])]
