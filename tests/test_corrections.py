@@ -97,6 +97,11 @@ def test_lines_of_one_order_and_number_are_numbered_alike_however_they_stand(spa
     assert both[0] == both[1] == [(1, 52, "accepted", 1, 3), (1, 52, "accepted", 2, None), (1, 61, "accepted", 3, 8)]
 
 
+def test_the_state_does_not_hang_on_how_lines_stand(spark, tmp_path):
+    both = [log_of_lines(spark, tmp_path / str(k), Q.correction_state, rows) for k, rows in enumerate((TIED, TIED[::-1]))]
+    assert both[0] == both[1] == [(1, 3, 8)]
+
+
 def decided(spark, *rows):
     log = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "scene bigint, seq bigint, person string, op string, player string")
     return [(r["verdict"], r["state"], r["player"]) for r in sorted(C.roster_log(log.repartition(3)).collect(), key=lambda r: r["seq"])]
