@@ -15,6 +15,7 @@ import json
 import struct
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,16 +55,20 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        then = np.empty_like(now)
         planes, zeros, ranks = [], [], []
         for k in range(bits - 1, -1, -1):
-            b = (now >> k) & 1 != 0
+            b = now & now.dtype.type(1 << k) != 0
             packed = np.packbits(b, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), dtype=np.uint8)])
             planes.append(packed)
             ranks.append(cls._sampled(packed))
-            one, zero = np.flatnonzero(b), np.flatnonzero(~b)
+            one, zero = np.flatnonzero(b), np.flatnonzero(np.logical_not(b, out=b))
             zeros.append(len(zero))
-            now = np.concatenate([now[zero], now[one]])
+            # "clip" lets numpy write into the given array at once; no place is out of range.
+            now.take(zero, out=then[: len(zero)], mode="clip")
+            now.take(one, out=then[len(zero) :], mode="clip")
+            now, then = then, now
         return cls(len(ids), planes, zeros, ranks)
 
     @staticmethod
@@ -198,11 +203,12 @@ class _Cache(dict):
         return made
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """The letter that stands for each byte in the vocabulary: printable Latin-1 characters for
     themselves, the other bytes in order for the characters from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(other)) for b in range(256))
 
 
 class Encoder:
@@ -210,13 +216,16 @@ class Encoder:
 
     The tokenizer splits a text into parts before it merges: a plain space between two characters
     that are not white space always begins one. So texts are cut there, a cut piece is split into
-    parts by the tokenizer's own pattern, and the library's model merges each part. Pieces that begin
-    or end in white space (runs of it) and texts that hold an added token go to the library whole.
+    parts by the tokenizer's own pattern, and the library's model merges each part. A single line end
+    between two such characters begins a part as well, so texts are cut there, too; a piece after one
+    begins with it, any other stands after a space. Texts with pieces that begin or end in other white
+    space (runs of it), and texts that hold an added token, go to the library whole.
     """
 
     #: Beyond this the pattern's letter classes may differ between libraries.
     KNOWN = "ɏ"
     LETTERS = _byte_letters()
+    SPACE = LETTERS[0x20]
 
     def __init__(self, path: str, config: TokenStoreConfig):
         import public_tokenizers
@@ -233,26 +242,35 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        return self._merged(part.encode().decode("latin-1").translate(self.LETTERS))
+        if part[0] == " " and part[1:].isalpha():
+            return self.by_piece[part[1:]]
+        return self._merged(charmap_decode(part.encode(), "strict", self.LETTERS)[0])
 
     def _merged(self, letters: str) -> bytes:
         return array("I", [t.id for t in self.merge(letters)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
+        if piece.isalpha():  # one part
+            if piece.isascii():
+                return self._merged(self.SPACE + piece)
+            if max(piece) <= self.KNOWN:
+                return self._merged(self.SPACE + charmap_decode(piece.encode(), "strict", self.LETTERS)[0])
+        line = piece[:1] == "\n"
+        if not piece[line:] or piece[line].isspace() or piece[-1].isspace():
             raise _Loose
+        given = piece if line else " " + piece
         if max(piece) > self.KNOWN:
-            return self.whole(" " + piece)
-        if piece.isalpha():  # one part, and no other piece has it
-            return self._merged(self.LETTERS[0x20] + piece) if piece.isascii() else self._part(" " + piece)
+            return self.whole(given)
         if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
             return self.by_piece[piece[:-1]] + self.by_part[piece[-1]]
-        return b"".join(map(self.by_part.__getitem__, self.parts.findall(" " + piece)))
+        return b"".join(map(self.by_part.__getitem__, self.parts.findall(given)))
 
     def encode(self, text: str) -> bytes:
         if any(t in text for t in self.added):
             return self.whole(text)
-        first, *rest = text.split(" ")
+        if " \n" in text:
+            return self.whole(text)
+        first, *rest = text.split(" ") if "\n\n" in text else text.replace("\n", " \n").split(" ")
         if not rest:
             return self.whole(text)
         if not first or first[-1].isspace():

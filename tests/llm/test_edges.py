@@ -507,3 +507,10 @@ def test_spellings_are_the_librarys():
             assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
     finally:
         lm_score.MOST_SPELLED = before
+
+
+def test_encoder_cuts_at_single_line_ends():
+    e = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"), token_store.TokenStoreConfig())
+    for text in ("one two.\nThe three.\nÉté two.\nThe end.", "a two.\n\nThe b", "a two. \nThe b", "a two.\n The b", "a two.\t\nThe b", "a two.\n", "\nThe two", "a 中\n中 b", "a \n"):
+        assert e.encode(text) == e.whole(text)
+    assert {"two.", "\nThe"} <= set(e.by_piece) and "two.\nThe" not in e.by_piece
