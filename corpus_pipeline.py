@@ -16,6 +16,9 @@ from strandline.llm.common import materialize, table
 #: Nine tenths of the tokens that are left, no document twice; within a domain by language.
 MIX = mixing.MixConfig(domain_weights={"d0": 4, "d1": 3, "d2": 2, "d3": 1}, lang_weights={"en": 1, "de": 2, "fr": 2, "es": 3}, budget_num=9, budget_den=10, max_epochs=1)
 
+#: The workers hold what earlier stages left as well, so they keep fewer encoded words than elsewhere.
+STORE = token_store.TokenStoreConfig(cached_words=200_000)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a clear language go.
@@ -50,7 +53,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token output: ids in shard files, read back: doc_id, start, n_tokens, ids_crc32."""
-    return token_store.read(token_store.write(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return token_store.read(token_store.write(docs, public_tokenizers.path("byte_bpe_50k.json"), STORE))
 
 
 STAGES = [

@@ -98,3 +98,11 @@ def test_empty_tables(spark, folder, tmp_path):
     spark.read.parquet(f"{out}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert decontaminate.WindowSet([], 13).by_length == []
+
+
+def test_the_pipeline_keeps_fewer_encoded_words_than_the_store_alone(monkeypatch):
+    given = []
+    monkeypatch.setattr(corpus_pipeline.token_store, "write", lambda docs, path, config=corpus_pipeline.token_store.TokenStoreConfig(): given.append(config))
+    monkeypatch.setattr(corpus_pipeline.token_store, "read", lambda shards: shards)
+    corpus_pipeline.token_shards(None, None, "")
+    assert given[0].cached_words * 2 <= corpus_pipeline.token_store.TokenStoreConfig().cached_words
