@@ -102,6 +102,14 @@ def test_the_state_does_not_hang_on_how_lines_stand(spark, tmp_path):
     assert both[0] == both[1] == [(1, 3, 8)]
 
 
+def test_the_state_is_that_after_the_last_of_several_entries_with_one_seq(spark):
+    log = spark.createDataFrame([(1, 1, "set", 0, "a"), (1, 2, "set", 1, "b"), (1, 2, "set", 2, "c"), (1, 2, "set", 9, "d")], "id bigint, seq bigint, op string, expected bigint, value string")
+    rows = [tuple(r) for r in C.log_verdicts(log, ["id"]).collect()]
+    for given in (rows, rows[::-1]):
+        verdicts = spark.createDataFrame(given, "id bigint, seq bigint, verdict string, revision bigint, value string").coalesce(1)
+        assert [tuple(r) for r in C.log_state(verdicts, ["id"]).collect()] == [(1, 3, "c")]
+
+
 def decided(spark, *rows):
     log = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "scene bigint, seq bigint, person string, op string, player string")
     return [(r["verdict"], r["state"], r["player"]) for r in sorted(C.roster_log(log.repartition(3)).collect(), key=lambda r: r["seq"])]
