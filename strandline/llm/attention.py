@@ -117,13 +117,14 @@ def make_classes(stream: np.ndarray, starts: np.ndarray, size: int, config: Atte
 class Room:
     """Arrays that are used again: getting fresh memory takes longer than small arithmetic."""
 
-    def __init__(self) -> None:
+    def __init__(self, dtype: np.dtype = np.dtype(F32)) -> None:
+        self.dtype = dtype
         self.have: dict[str, np.ndarray] = {}
 
     def take(self, name: str, *shape: int) -> np.ndarray:
         size = math.prod(shape)
         if name not in self.have or self.have[name].size < size:
-            self.have[name] = np.empty(size, F32)
+            self.have[name] = np.empty(size, self.dtype)
         return self.have[name][:size].reshape(shape)
 
 
@@ -143,22 +144,29 @@ class Model:
         distance = np.arange(inputs - scored, inputs)[:, None] - np.arange(inputs)[None]
         return distance, np.where(distance >= 0, self.w["D"][np.clip(distance, 0, None)], F32(-1e9)).astype(F32)
 
-    def _forward(self, rows: np.ndarray, scored: int):
-        w, n = self.w, rows.shape[1]
+    def _forward(self, rows: np.ndarray, scored: int, room: Room | None = None):
+        w, (m, n), d = self.w, rows.shape, self.config.width
+        room = room or Room(w["E"].dtype)
         x = w["E"][rows]
         last = x[:, n - scored :]
-        q, k, v = last @ w["Q"], x @ w["K"], x @ w["V"]
+        # All places laid end to end: one large product is faster than one for each window.
+        q, k, v = (t.reshape(m, n, d) for t in np.split(x.reshape(-1, d) @ np.concatenate([w["Q"], w["K"], w["V"]], axis=1), 3, axis=1))
+        q = q[:, n - scored :]
         distance, bias = self._bias(n, scored)
-        a = q @ k.transpose(0, 2, 1)
+        a = np.matmul(q, k.transpose(0, 2, 1), out=room.take("a", m, scored, n))
         a += bias
-        a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        mixed = a @ v
-        u = last + mixed @ w["P"]
-        hidden = np.maximum(u @ w["A"] + w["a"], 0)
-        y = u + hidden @ w["B"]
-        return x, last, q, k, v, a, mixed, u, hidden, y, distance
+        a, each = self._exp(a.reshape(-1, n), room, "attention")
+        a /= each[:, None]
+        a = a.reshape(m, scored, n)
+        mixed = (a @ v).reshape(-1, d)
+        u = mixed @ w["P"]
+        u += last.reshape(-1, d)
+        hidden = np.matmul(u, w["A"], out=room.take("hidden", len(u), w["A"].shape[1]))
+        hidden += w["a"]
+        np.maximum(hidden, 0, out=hidden)
+        y = hidden @ w["B"]
+        y += u
+        return x, last, q, k, v, a, mixed, u, hidden, y.reshape(m, scored, d), distance
 
     def places(self) -> tuple[np.ndarray, np.ndarray]:
         """For each row of the embedding table: itself and its query; its key and its value as the layer adds it."""
@@ -197,10 +205,10 @@ class Model:
         return within, kind
 
     @staticmethod
-    def _exp(z: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    def _exp(z: np.ndarray, room: Room, name: str = "exp") -> tuple[np.ndarray, np.ndarray]:
         """exp of rows, each up to a factor, and the rows' sums; the largest is taken out only where it matters."""
         with np.errstate(over="ignore", invalid="ignore"):
-            e = np.exp(z, out=room.take("exp", *z.shape))
+            e = np.exp(z, out=room.take(name, *z.shape))
             sums = e @ np.ones(z.shape[1], F32)
         far = np.flatnonzero(~((sums > 1e-20) & (sums < 1e30)))
         if len(far):
@@ -220,10 +228,10 @@ class Model:
         rows = np.where(stream == self.classes.end, self.classes.rows - 1, rows)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        losses = []
+        losses, room = [], Room()
         for step in range(1, c.steps + 1):
             at = r.integers(0, len(stream) - n - 1, c.batch)[:, None] + np.arange(n)[None]
-            loss, g = self._gradient(rows[at], classes[at + 1])
+            loss, g = self._gradient(rows[at], classes[at + 1], room)
             losses.append(loss)
             rate = c.rate * min(1.0, step / 30) * (1 - 0.9 * step / c.steps)
             for k, grad in g.items():
@@ -253,57 +261,60 @@ class Model:
             spans.append(np.arange(whole * n, known)[None])
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
+        room = Room()
         for step, at in enumerate(spans, 1):
             rate = c.tune_rate * min(1.0, step / 10) * (1 - (step - 1) / len(spans)) * min(1.0, at.size / (c.tune_batch * n))
-            for k, grad in self._gradient(row_of(stream[at]), classes.of[stream[at + 1]])[1].items():
+            for k, grad in self._gradient(row_of(stream[at]), classes.of[stream[at + 1]], room)[1].items():
                 m[k] += 0.1 * (grad - m[k])
                 s[k] += 0.01 * (grad * grad - s[k])
                 self.w[k] -= F32(rate / (1 - 0.9**step)) * m[k] / (np.sqrt(s[k] * F32(1 / (1 - 0.99**step))) + F32(1e-8))
         return np.bincount(row_of(stream[:-1]), minlength=classes.rows)
 
-    def _gradient(self, rows: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        w, c, n = self.w, self.classes, rows.shape[1]
-        x, last, q, k, v, a, mixed, u, hidden, y, distance = self._forward(rows, n)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        told, at, size = flat(y), target.reshape(-1), rows.size
+    def _gradient(self, rows: np.ndarray, target: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        w, c, (m, n), d = self.w, self.classes, rows.shape, self.config.width
+        room = room or Room(w["E"].dtype)
+        x, _, q, k, v, a, mixed, u, hidden, y, distance = self._forward(rows, n, room)
+        x, y = x.reshape(-1, d), y.reshape(-1, d)
+        at, size = target.reshape(-1), rows.size
         initial = at < c.initial
-        begins = 1 / (1 + np.exp(-np.clip(told @ w["G"] + w["g"], -30, 30)))
+        begins = 1 / (1 + np.exp(-np.clip(y @ w["G"] + w["g"], -30, 30)))
         loss = -float(np.log(np.where(initial[:, None], begins, 1 - begins)).mean())
         db = ((begins - initial[:, None]) / F32(size)).astype(F32)
-        dy = db @ w["G"].T
-        g = {"O": np.zeros_like(w["O"]), "o": np.zeros_like(w["o"]), "G": told.T @ db, "g": db.sum(0)}
+        dy = db * w["G"].T
+        g = {"O": np.zeros_like(w["O"]), "o": np.zeros_like(w["o"]), "G": y.T @ db, "g": db.sum(0)}
         # A class is told among those of its kind, so the other kind's logits are not needed.
         for some, first, stop in ((np.flatnonzero(initial), 0, c.initial), (np.flatnonzero(~initial), c.initial, c.count)):
             if len(some) == 0:
                 continue
-            mine, out = told[some], w["O"][:, first:stop]
-            p = mine @ out
-            p += w["o"][first:stop]
-            p -= p.max(-1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(-1, keepdims=True)
+            mine, out = y.take(some, axis=0), w["O"][:, first:stop]
+            z = np.matmul(mine, out, out=room.take("z", len(some), stop - first))
+            z += w["o"][first:stop]
+            p, each = self._exp(z, room)
             here = (np.arange(len(some)), at[some] - first)
-            loss -= float(np.log(p[here] + 1e-30).sum()) / size
-            p[here] -= 1
-            p /= F32(size)
-            g["O"][:, first:stop], g["o"][first:stop] = mine.T @ p, p.sum(0)
+            loss -= float((np.log(p[here] + F32(1e-30)) - np.log(each)).sum()) / size
+            p *= (1 / (each * F32(size)))[:, None]
+            p[here] -= F32(1 / size)
+            g["O"][:, first:stop], g["o"][first:stop] = mine.T @ p, np.ones(len(some), F32) @ p
             dy[some] += p @ out.T
-        dy = dy.reshape(y.shape)
-        dh = (dy @ w["B"].T) * (hidden > 0)
-        g |= {"B": flat(hidden).T @ flat(dy), "A": flat(u).T @ flat(dh), "a": flat(dh).sum(0)}
-        du = dy + dh @ w["A"].T
-        g["P"] = flat(mixed).T @ flat(du)
-        dm = du @ w["P"].T
-        da = dm @ v.transpose(0, 2, 1)
+        dh = np.matmul(dy, w["B"].T, out=room.take("dh", *hidden.shape))
+        dh *= hidden > 0
+        g |= {"B": hidden.T @ dy, "A": u.T @ dh, "a": dh.sum(0)}
+        du = dh @ w["A"].T
+        du += dy
+        g["P"] = mixed.T @ du
+        dm = (du @ w["P"].T).reshape(m, n, d)
+        da = np.matmul(dm, v.transpose(0, 2, 1), out=room.take("da", m, n, n))
         dv = a.transpose(0, 2, 1) @ dm
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
+        # Each row's sum of a * da is what it mixed, times what that should change by.
+        da -= np.einsum("ij,ij->i", mixed, dm.reshape(-1, d)).reshape(m, n, 1)
+        da *= a
         keep = distance >= 0
-        g["D"] = np.bincount(distance[keep], weights=ds.sum(0)[keep], minlength=len(w["D"])).astype(F32)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g |= {"Q": flat(last).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv)}
-        dx = du + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
-        each, count = flat(dx), len(w["E"])
-        g["E"] = np.stack([np.bincount(rows.reshape(-1), weights=each[:, j], minlength=count) for j in range(each.shape[1])], axis=1).astype(F32)
+        g["D"] = np.bincount(distance[keep], weights=(np.ones(m, F32) @ da.reshape(m, -1)).reshape(n, n)[keep], minlength=len(w["D"])).astype(F32)
+        each = np.concatenate([(da @ k).reshape(-1, d), (da.transpose(0, 2, 1) @ q).reshape(-1, d), dv.reshape(-1, d)], axis=1)
+        g |= dict(zip("QKV", np.split(x.T @ each, 3, axis=1)))
+        dx = each @ np.concatenate([w["Q"], w["K"], w["V"]], axis=1).T
+        dx += du
+        g["E"] = np.stack([np.bincount(rows.reshape(-1), weights=dx[:, j], minlength=len(w["E"])) for j in range(d)], axis=1).astype(F32)
         return loss, g
 
 

@@ -147,13 +147,42 @@ def _subword_counts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].astype(np.int64))], names=["id", "n"])
 
 
-#: Text bytes whose neighbours are counted at once, and counts that a task holds before it sends them.
+#: Text bytes that are spelled at once, and counts of neighbours that a task holds before it sends them.
 AT_ONCE, MOST_CELLS = 2_000_000, 2_000_000
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], path: str, number: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(id, before, n): how often a frequent subword, or any other, stands before each subword."""
+def _id_type(size: int) -> type:
+    """The type in which ids up to ``size`` are kept."""
+    return np.uint16 if size < 1 << 16 else np.int32
+
+
+def _streams(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """(block, ids): subword ids of each text, and an end."""
     subwords = _subwords(path)
+    size = subwords.get_piece_size()
+    kind = np.dtype(_id_type(size))
+
+    for batch in batches:
+        some, n, first = [], 0, 0
+        texts = batch.column(1)
+        for k in range(len(texts)):
+            some.append(texts[k].as_py())
+            n += len(some[-1] or b"")
+            if n >= AT_ONCE or k == len(texts) - 1:
+                stream = _stream(some, subwords)[1:].astype(kind)
+                stops = (np.flatnonzero(stream == size) + 1) * kind.itemsize
+                ids = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.concatenate([[0], stops]).astype(np.int32)), pa.py_buffer(stream)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first : k + 1], ids], names=["block", "ids"])
+                some, n, first = [], 0, k + 1
+
+
+def _joined(rows: list[bytes], size: int) -> np.ndarray:
+    """Streams of texts end to end, after an end."""
+    return np.concatenate([[size], np.frombuffer(b"".join(rows), _id_type(size))]).astype(np.int32)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], number: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(id, before, n): how often a frequent subword, or any other, stands before each subword."""
     cells, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def give() -> pa.RecordBatch:
@@ -161,13 +190,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch], path: str, number: np.ndarray
 
     for batch in batches:
         some, n = [], 0
-        texts = batch.column(0)
-        for k in range(len(texts)):
-            some.append(texts[k].as_py())
-            n += len(some[-1] or b"")
-            if n >= AT_ONCE or k == len(texts) - 1:
-                stream = _stream(some, subwords)
-                found, often = np.unique(stream[1:] * len(number) + number[stream[:-1]], return_counts=True)
+        streams = batch.column(0)
+        for k in range(len(streams)):
+            some.append(streams[k].as_py())
+            n += len(some[-1])
+            if n >= AT_ONCE or k == len(streams) - 1:
+                stream = _joined(some, len(number) - 1)
+                found, often = np.unique(stream[1:].astype(np.int64) * len(number) + number[stream[:-1]], return_counts=True)
                 cells, place = np.unique(np.concatenate([cells, found]), return_inverse=True)
                 counts = np.bincount(place, weights=np.concatenate([counts, often]), minlength=len(cells)).astype(np.int64)
                 some, n = [], 0
@@ -177,14 +206,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch], path: str, number: np.ndarray
     yield give()
 
 
-def corpus_classes(texts: DataFrame, spelled: DataFrame, path: str, config: AttentionConfig) -> tuple[Classes, np.ndarray]:
+def corpus_classes(streams: DataFrame, spelled: DataFrame, path: str, config: AttentionConfig) -> tuple[Classes, np.ndarray]:
     """Classes from the counts and the neighbours in all training texts, and the subwords beyond the
     frequent ones that have a class by their neighbours.
 
-    ``texts``: the training rows' texts; ``spelled``: ids and c, each training word's subwords and count. What
+    ``streams``: ids, the training rows' subwords; ``spelled``: ids and c, each training word's subwords and count. What
     comes to the driver is bounded by the subwords; those beyond the frequent ones are put into classes in tasks.
     """
-    spark = texts.sparkSession
+    spark = streams.sparkSession
     subwords = _subwords(path)
     size = subwords.get_piece_size()
     counts = np.zeros(size + 1)
@@ -194,7 +223,7 @@ def corpus_classes(texts: DataFrame, spelled: DataFrame, path: str, config: Atte
     number = np.full(size + 1, len(seen), dtype=np.int64)
     number[seen] = np.arange(len(seen))
     known = spark.sparkContext.broadcast(number)
-    pairs = texts.mapInArrow(lambda it: _neighbours(it, path, known.value), "id bigint, before bigint, n bigint").groupBy("id", "before").agg(F.sum("n").alias("n"))
+    pairs = streams.select("ids").mapInArrow(lambda it: _neighbours(it, known.value), "id bigint, before bigint, n bigint").groupBy("id", "before").agg(F.sum("n").alias("n"))
     pairs = materialize(pairs, "neighbours")
     is_seen = F.col("id").isin(seen.tolist())
     table = np.zeros((len(seen), len(seen) + 1))
@@ -244,7 +273,8 @@ def train_attention(dealt: DataFrame, spelled: DataFrame, path: str, config: Sco
             break
         stream.append(_stream([r["text"]], subwords)[1:])
         n += len(stream[-1])
-    classes, others = corpus_classes(dealt.select("text"), spelled, path, config.attention)
+    streams = materialize(dealt.select("block", "text").mapInArrow(lambda it: _streams(it, path), "block bigint, ids binary"), "streams")  # spelled once, read twice
+    classes, others = corpus_classes(streams, spelled, path, config.attention)
     model = Model(config.attention, classes)
     if not stream:
         model.init()
@@ -259,12 +289,12 @@ def train_attention(dealt: DataFrame, spelled: DataFrame, path: str, config: Sco
     def learn(rows: pa.Table) -> pa.Table:
         start: Model = shared.value
         own = Model(start.config, start.classes, {k: v.copy() for k, v in start.w.items()})
-        stream = _stream(sorted(rows.column("text").to_pylist(), key=lambda t: t or b""), _subwords(path)).astype(np.int32)
+        stream = _joined(sorted(rows.column("ids").to_pylist()), start.classes.end)
         count = own.tune(stream).astype(np.float64)
         parts = [count, (own.w["E"] * count[:, None]).reshape(-1), [count.sum()], *(own.w[k].reshape(-1) * count.sum() for k in names)]
         return pa.table({"sums": pa.array([np.concatenate(parts).tobytes()], pa.binary())})
 
-    learned = dealt.select("block", "text").groupBy("block").applyInArrow(learn, "sums binary")
+    learned = streams.groupBy("block").applyInArrow(learn, "sums binary")
     sums = learned.rdd.map(lambda r: np.frombuffer(r["sums"])).treeAggregate(np.zeros(1), np.add, np.add)
     e = model.w["E"]
     if len(sums) == 1 or not sums[len(e) + e.size]:  # no subword stands before another

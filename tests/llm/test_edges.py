@@ -509,6 +509,25 @@ def test_spellings_are_the_librarys():
         lm_score.MOST_SPELLED = before
 
 
+def test_lm_streams_are_spelled_once_and_joined():
+    """Each text's subwords and an end, kept with its block; joined they are the texts' stream."""
+    import pyarrow as pa
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts, subwords = [b"The River", None, b"", b"zebra \xe6\xbc\xa2 river"], lm_score._subwords(path)
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 4, 5, 6]), pa.array(texts, pa.binary())], names=["block", "text"])
+    before = lm_score.AT_ONCE
+    try:
+        for lm_score.AT_ONCE in (1, 12, 1000):
+            made = pa.Table.from_batches(lm_score._streams(iter([batch]), path))
+            assert made.column("block").to_pylist() == [4, 4, 5, 6]
+            rows = made.column("ids").to_pylist()
+            assert lm_score._joined(rows, subwords.get_piece_size()).tolist() == lm_score._stream(texts, subwords).tolist()
+            assert lm_score._joined(rows[3:], subwords.get_piece_size()).tolist() == lm_score._stream(texts[3:], subwords).tolist()
+    finally:
+        lm_score.AT_ONCE = before
+
+
 def test_encoder_cuts_at_single_line_ends():
     e = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"), token_store.TokenStoreConfig())
     for text in ("one two.\nThe three.\nÉté two.\nThe end.", "a two.\n\nThe b", "a two. \nThe b", "a two.\n The b", "a two.\t\nThe b", "a two.\n", "\nThe two", "a 中\n中 b", "a \n"):
