@@ -32,6 +32,8 @@ from .common import materialize
 MAGIC = b"WMX1"
 #: Bits of a plane per sampled rank.
 BLOCK = 512
+#: Places that are parted at once, so that their numbers stay in a core's cache.
+NEAR = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -63,11 +65,15 @@ class WaveletMatrix:
             packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), dtype=np.uint8)])
             planes.append(packed)
             ranks.append(cls._sampled(packed))
-            one, zero = np.flatnonzero(b), np.flatnonzero(np.logical_not(b, out=b))
-            zeros.append(len(zero))
-            # "clip" lets numpy write into the given array at once; no place is out of range.
-            now.take(zero, out=then[: len(zero)], mode="clip")
-            now.take(one, out=then[len(zero) :], mode="clip")
+            zeros.append(len(now) - int(ranks[-1][-1]))
+            z, o = 0, zeros[-1]
+            for at in range(0, len(now), NEAR):
+                some = b[at : at + NEAR]
+                one, zero = np.flatnonzero(some), np.flatnonzero(np.logical_not(some, out=some))
+                # "clip" lets numpy write into the given array at once; no place is out of range.
+                now[at : at + NEAR].take(zero, out=then[z : z + len(zero)], mode="clip")
+                now[at : at + NEAR].take(one, out=then[o : o + len(one)], mode="clip")
+                z, o = z + len(zero), o + len(one)
             now, then = then, now
         return cls(len(ids), planes, zeros, ranks)
 
@@ -135,12 +141,16 @@ class WaveletMatrix:
     def decode(self) -> np.ndarray:
         """The whole sequence."""
         now = np.zeros(self.size, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
+        up = np.empty_like(now)
         for k, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
-            b = np.unpackbits(plane, count=self.size, bitorder="little").view(bool)
-            up = np.empty_like(now)
-            up[np.flatnonzero(~b)] = now[:zeros]
-            up[np.flatnonzero(b)] = now[zeros:] | now.dtype.type(1 << k)
-            now = up
+            z, o = 0, zeros
+            for at in range(0, self.size, NEAR):
+                b = np.unpackbits(plane[at // 8 : (at + NEAR) // 8], count=min(NEAR, self.size - at), bitorder="little").view(bool)
+                one, zero = np.flatnonzero(b), np.flatnonzero(np.logical_not(b, out=b))
+                up[at : at + NEAR][zero] = now[z : z + len(zero)]
+                up[at : at + NEAR][one] = now[o : o + len(one)] | now.dtype.type(1 << k)
+                z, o = z + len(zero), o + len(one)
+            now, up = up, now
         return now
 
 

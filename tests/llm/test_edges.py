@@ -528,6 +528,13 @@ def test_lm_streams_are_spelled_once_and_joined():
         lm_score.AT_ONCE = before
 
 
+def test_wavelet_matrix_over_many_runs():
+    ids = np.random.default_rng(4).integers(0, 50_257, 2 * token_store.NEAR + 77).astype(np.uint32)
+    m = token_store.WaveletMatrix.build(ids)
+    assert (m.decode() == ids).all() and m.access(token_store.NEAR) == ids[token_store.NEAR]
+    assert m.occurrences(int(ids[-1])) == np.flatnonzero(ids == ids[-1]).tolist()
+
+
 def test_encoder_cuts_at_single_line_ends():
     e = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"), token_store.TokenStoreConfig())
     for text in ("one two.\nThe three.\nÉté two.\nThe end.", "a two.\n\nThe b", "a two. \nThe b", "a two.\n The b", "a two.\t\nThe b", "a two.\n", "\nThe two", "a 中\n中 b", "a \n"):
