@@ -266,13 +266,16 @@ class Encoder:
             if max(piece) <= self.KNOWN:
                 return self._merged(self.SPACE + charmap_decode(piece.encode(), "strict", self.LETTERS)[0])
         line = piece[:1] == "\n"
-        if not piece[line:] or piece[line].isspace() or piece[-1].isspace():
+        rest = piece[line:]
+        if not rest or rest[0].isspace() or rest[-1].isspace():
             raise _Loose
         given = piece if line else " " + piece
-        if max(piece) > self.KNOWN:
+        if not piece.isascii() and max(piece) > self.KNOWN:
             return self.whole(given)
-        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-            return self.by_piece[piece[:-1]] + self.by_part[piece[-1]]
+        stop = rest[-1] if rest[-1] in ".,;:!?" else ""
+        word = rest[:-1] if stop else rest
+        if word.isalpha():
+            return (self.by_part["\n"] + self.by_part[word] if line else self.by_piece[word]) + (self.by_part[stop] if stop else b"")
         return b"".join(map(self.by_part.__getitem__, self.parts.findall(given)))
 
     def encode(self, text: str) -> bytes:
@@ -286,7 +289,7 @@ class Encoder:
         if not first or first[-1].isspace():
             return self.whole(text)
         try:
-            return self.whole(first) + b"".join(map(self.by_piece.__getitem__, rest))
+            return (self.by_part[first] if first.isascii() and first.isalpha() else self.whole(first)) + b"".join(map(self.by_piece.__getitem__, rest))
         except _Loose:
             return self.whole(text)
 

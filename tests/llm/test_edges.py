@@ -528,6 +528,15 @@ def test_lm_streams_are_spelled_once_and_joined():
         lm_score.AT_ONCE = before
 
 
+def test_plain_texts_do_not_go_to_the_library_whole(monkeypatch):
+    """Neither their first word nor words after line ends."""
+    e = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"), token_store.TokenStoreConfig())
+    texts = ["The one.\nThe two.\nÉté, then +1 (716) x-y.", "the end\nEnd", "A b."]
+    want = [e.whole(t) for t in texts]
+    monkeypatch.setattr(e, "whole", lambda text: pytest.fail(text))
+    assert [e.encode(t) for t in texts] == want
+
+
 def test_wavelet_matrix_over_many_runs():
     ids = np.random.default_rng(4).integers(0, 50_257, 2 * token_store.NEAR + 77).astype(np.uint32)
     m = token_store.WaveletMatrix.build(ids)
