@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 
@@ -128,6 +129,15 @@ class Room:
         return self.have[name][:size].reshape(shape)
 
 
+@cache
+def _distances(inputs: int, scored: int) -> np.ndarray:
+    return np.arange(inputs - scored, inputs)[:, None] - np.arange(inputs)[None]
+
+
+#: Places whose classes are told at once in learning: what they take stays in a core's cache.
+AT_ONCE = 512
+
+
 @dataclass
 class Model:
     config: AttentionConfig
@@ -141,67 +151,81 @@ class Model:
         self.w = {"E": (r.normal(size=(self.classes.rows, d)) * 0.5).astype(F32), "Q": make(d, d), "K": make(d, d), "V": make(d, d), "P": make(d, d), "A": make(d, c.hidden), "a": np.zeros(c.hidden, F32), "B": make(c.hidden, d), "O": make(d, self.classes.count), "o": np.zeros(self.classes.count, F32), "G": make(d, 1), "g": np.zeros(1, F32), "D": np.zeros(c.window, F32)}
 
     def _bias(self, inputs: int, scored: int) -> tuple[np.ndarray, np.ndarray]:
-        distance = np.arange(inputs - scored, inputs)[:, None] - np.arange(inputs)[None]
-        return distance, np.where(distance >= 0, self.w["D"][np.clip(distance, 0, None)], F32(-1e9)).astype(F32)
+        distance = _distances(inputs, scored)
+        return distance, np.where(distance >= 0, self.w["D"].take(distance, mode="clip"), F32(-1e9)).astype(F32, copy=False)
+
+    def _products(self) -> np.ndarray:
+        """What makes of an embedding its query, as it meets other embeddings, and its value as the layer adds it."""
+        w = self.w
+        return np.concatenate([w["Q"] @ w["K"].T, w["V"] @ w["P"]], axis=1)
 
     def _forward(self, rows: np.ndarray, scored: int, room: Room | None = None):
+        # A row for each feature, all places of all windows side by side: arithmetic runs along the places.
         w, (m, n), d = self.w, rows.shape, self.config.width
         room = room or Room(w["E"].dtype)
-        x = w["E"][rows]
-        last = x[:, n - scored :]
-        # All places laid end to end: one large product is faster than one for each window.
-        q, k, v = (t.reshape(m, n, d) for t in np.split(x.reshape(-1, d) @ np.concatenate([w["Q"], w["K"], w["V"]], axis=1), 3, axis=1))
-        q = q[:, n - scored :]
+        x = room.take("x", d, m * n)
+        x[:] = w["E"].take(rows.reshape(-1), axis=0, out=room.take("rows", m * n, d), mode="clip").T
+        last = x.reshape(d, m, n)[:, :, n - scored :].reshape(d, -1)
+        made = np.matmul(self._products().T, x, out=room.take("made", 2 * d, m * n)).reshape(2 * d, m, n)
+        q, v = made[:d, :, n - scored :], made[d:]
         distance, bias = self._bias(n, scored)
-        a = np.matmul(q, k.transpose(0, 2, 1), out=room.take("a", m, scored, n))
+        a = np.matmul(q.transpose(1, 2, 0), x.reshape(d, m, n).transpose(1, 0, 2), out=room.take("a", m, scored, n))
         a += bias
+        # Weights up to the factor 1 / each.
         a, each = self._exp(a.reshape(-1, n), room, "attention")
-        a /= each[:, None]
+        each = 1 / each
         a = a.reshape(m, scored, n)
-        mixed = (a @ v).reshape(-1, d)
-        u = mixed @ w["P"]
-        u += last.reshape(-1, d)
-        hidden = np.matmul(u, w["A"], out=room.take("hidden", len(u), w["A"].shape[1]))
-        hidden += w["a"]
+        mixed = room.take("mixed", d, m, scored)
+        np.matmul(v.transpose(1, 0, 2), a.transpose(0, 2, 1), out=mixed.transpose(1, 0, 2))
+        mixed = mixed.reshape(d, -1)
+        mixed *= each
+        # With a row of ones, so that products with them hold the added weights too.
+        u = room.take("u", d + 1, m * scored)
+        u[d] = 1
+        np.add(mixed, last, out=u[:d])
+        hidden = np.matmul(np.concatenate([w["A"], w["a"][None]]).T, u, out=room.take("hidden", w["A"].shape[1], m * scored))
         np.maximum(hidden, 0, out=hidden)
-        y = hidden @ w["B"]
-        y += u
-        return x, last, q, k, v, a, mixed, u, hidden, y.reshape(m, scored, d), distance
+        y = np.matmul(w["B"].T, hidden, out=room.take("y", d, m * scored))
+        y += u[:d]
+        return x, q, v, a, each, mixed, u, hidden, distance, y.reshape(d, m, scored).transpose(1, 2, 0)
 
-    def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of the embedding table: itself and its query; its key and its value as the layer adds it."""
-        w = self.w
-        e = w["E"]
-        return np.concatenate([e, e @ w["Q"]], axis=1), np.concatenate([e @ w["K"], e @ (w["V"] @ w["P"])], axis=1)
+    def places(self) -> np.ndarray:
+        """For each row of the embedding table: itself, its query as it meets other embeddings, and its value as the layer adds it."""
+        e = self.w["E"]
+        return np.concatenate([e, e @ self._products()], axis=1)
 
-    def class_logs(self, own: np.ndarray, seen: np.ndarray, target: np.ndarray, wanted: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logs at the ``wanted`` places: of the target class among its kind, and of its kind.
+    def class_logs(self, runs: np.ndarray, first: np.ndarray, target: np.ndarray, at: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs at the places ``at`` of all runs but the first: of the target class among its kind, and of its kind.
 
-        ``own``: embeddings and queries of the scored places; ``seen``: keys and values of these and of
-        their context before them; ``target``: the wanted places' classes.
+        ``runs``: what ``places`` has for each place of runs that stand in a row; ``first``: which of them, without
+        the first, begin a text, so what stands before them is not seen; ``target``: the classes at ``at``.
         """
         w, c, d = self.w, self.classes, self.config.width
-        (n, scored), inputs = own.shape[:2], seen.shape[1]
-        a = np.matmul(own[:, :, d:], seen[:, :, :d].transpose(0, 2, 1), out=room.take("a", n, scored, inputs))
-        a += self._bias(inputs, scored)[1]
-        e, each = self._exp(a.reshape(-1, inputs), room)
-        at = np.flatnonzero(wanted)
-        u = np.matmul(e.reshape(a.shape), seen[:, :, d:], out=room.take("u", n, scored, d)).reshape(-1, d).take(at, axis=0)
+        n, scored = len(runs) - 1, runs.shape[1]
+        # Each run beside the one before it, without a copy.
+        seen = np.lib.stride_tricks.as_strided(runs, (n, 2 * scored, 3 * d), runs.strides, writeable=False)
+        a = np.matmul(runs[1:, :, d : 2 * d], seen[:, :, :d].transpose(0, 2, 1), out=room.take("a", n, scored, 2 * scored))
+        a += self._bias(2 * scored, scored)[1]
+        a[first, :, :scored] = -1e9
+        e, each = self._exp(a.reshape(-1, 2 * scored), room)
+        u = np.matmul(e.reshape(a.shape), seen[:, :, 2 * d :], out=room.take("u", n, scored, d)).reshape(-1, d).take(at, axis=0)
         u /= each.take(at)[:, None]
-        u += own[:, :, :d].reshape(-1, d).take(at, axis=0)
+        u += runs[1:].reshape(-1, 3 * d)[:, :d].take(at, axis=0)
         hidden = np.matmul(u, w["A"], out=room.take("hidden", len(u), w["A"].shape[1]))
         hidden += w["a"]
         np.maximum(hidden, 0, out=hidden)
         u += hidden @ w["B"]
         initial = target < c.initial
-        kind = -np.logaddexp(0, np.where(initial, F32(-1), F32(1)) * (u @ w["G"] + w["g"])[:, 0])
+        gate = u @ w["G"][:, 0] + w["g"]
+        np.negative(gate, out=gate, where=initial)
+        kind = -np.maximum(gate, 0) - np.log(1 + np.exp(-np.abs(gate)))
         within = np.zeros(len(u), F32)
-        for some, first, stop in ((np.flatnonzero(initial), 0, c.initial), (np.flatnonzero(~initial), c.initial, c.count)):
+        for some, start, stop in ((np.flatnonzero(initial), 0, c.initial), (np.flatnonzero(~initial), c.initial, c.count)):
             if len(some):
-                z = np.matmul(u.take(some, axis=0), w["O"][:, first:stop], out=room.take("z", len(some), stop - first))
-                z += w["o"][first:stop]
+                z = np.matmul(u.take(some, axis=0), w["O"][:, start:stop], out=room.take("z", len(some), stop - start))
+                z += w["o"][start:stop]
                 e, each = self._exp(z, room)
-                within[some] = np.log(e[np.arange(len(e)), target[some] - first] + F32(1e-30)) - np.log(each)
+                within[some] = np.log(e[np.arange(len(e)), target[some] - start] + F32(1e-30)) - np.log(each)
         return within, kind
 
     @staticmethod
@@ -226,18 +250,12 @@ class Model:
         rows, classes = self.classes.row[stream], self.classes.of[stream]
         # What follows an end begins a text.
         rows = np.where(stream == self.classes.end, self.classes.rows - 1, rows)
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        losses, room = [], Room()
+        losses, room, adam = [], Room(), Adam(self.w)
         for step in range(1, c.steps + 1):
             at = r.integers(0, len(stream) - n - 1, c.batch)[:, None] + np.arange(n)[None]
             loss, g = self._gradient(rows[at], classes[at + 1], room)
             losses.append(loss)
-            rate = c.rate * min(1.0, step / 30) * (1 - 0.9 * step / c.steps)
-            for k, grad in g.items():
-                m[k] += 0.1 * (grad - m[k])
-                s[k] += 0.01 * (grad * grad - s[k])
-                self.w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(F32)
+            adam.step(g, c.rate * min(1.0, step / 30) * (1 - 0.9 * step / c.steps))
         return float(np.mean(losses[-50:]))
 
     def own_rows(self, ids: np.ndarray) -> None:
@@ -252,73 +270,138 @@ class Model:
     def tune(self, stream: np.ndarray) -> np.ndarray:
         """Adam over the whole stream, each subword the target once; how often each row was before one."""
         c, classes, n = self.config, self.classes, self.config.window
-        row_of = lambda ids: np.where(ids == classes.end, classes.rows - 1, classes.row[ids])
+        rows_of = classes.row.astype(np.int64)
+        rows_of[classes.end] = classes.rows - 1
+        rows, target = rows_of[stream[:-1]], classes.of[stream[1:]]
         known = max(0, len(stream) - 1)
         whole = known // n
         order = np.random.default_rng(c.seed + 2).permutation(whole)
         spans = [order[k : k + c.tune_batch, None] * n + np.arange(n)[None] for k in range(0, whole, c.tune_batch)]
         if known > whole * n:
             spans.append(np.arange(whole * n, known)[None])
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        room = Room()
+        room, adam = Room(), Adam(self.w)
         for step, at in enumerate(spans, 1):
             rate = c.tune_rate * min(1.0, step / 10) * (1 - (step - 1) / len(spans)) * min(1.0, at.size / (c.tune_batch * n))
-            for k, grad in self._gradient(row_of(stream[at]), classes.of[stream[at + 1]], room)[1].items():
-                m[k] += 0.1 * (grad - m[k])
-                s[k] += 0.01 * (grad * grad - s[k])
-                self.w[k] -= F32(rate / (1 - 0.9**step)) * m[k] / (np.sqrt(s[k] * F32(1 / (1 - 0.99**step))) + F32(1e-8))
-        return np.bincount(row_of(stream[:-1]), minlength=classes.rows)
+            adam.step(self._gradient(rows[at], target[at], room, with_loss=False)[1], rate)
+        return np.bincount(rows, minlength=classes.rows)
 
-    def _gradient(self, rows: np.ndarray, target: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    def _gradient(self, rows: np.ndarray, target: np.ndarray, room: Room | None = None, with_loss: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean loss (0 where it is not wanted) and its gradient."""
         w, c, (m, n), d = self.w, self.classes, rows.shape, self.config.width
         room = room or Room(w["E"].dtype)
-        x, _, q, k, v, a, mixed, u, hidden, y, distance = self._forward(rows, n, room)
-        x, y = x.reshape(-1, d), y.reshape(-1, d)
-        at, size = target.reshape(-1), rows.size
+        x, q, v, a, each, mixed, u, hidden, distance, y = self._forward(rows, n, room)
+        at, size, kind = target.reshape(-1), rows.size, w["E"].dtype.type
+        # Places whose next subword begins a word come first: a class is told among those of its kind, so the other kind's logits are not needed.
         initial = at < c.initial
-        begins = 1 / (1 + np.exp(-np.clip(y @ w["G"] + w["g"], -30, 30)))
-        loss = -float(np.log(np.where(initial[:, None], begins, 1 - begins)).mean())
-        db = ((begins - initial[:, None]) / F32(size)).astype(F32)
-        dy = db * w["G"].T
-        g = {"O": np.zeros_like(w["O"]), "o": np.zeros_like(w["o"]), "G": y.T @ db, "g": db.sum(0)}
-        # A class is told among those of its kind, so the other kind's logits are not needed.
-        for some, first, stop in ((np.flatnonzero(initial), 0, c.initial), (np.flatnonzero(~initial), c.initial, c.count)):
-            if len(some) == 0:
-                continue
-            mine, out = y.take(some, axis=0), w["O"][:, first:stop]
-            z = np.matmul(mine, out, out=room.take("z", len(some), stop - first))
-            z += w["o"][first:stop]
-            p, each = self._exp(z, room)
-            here = (np.arange(len(some)), at[some] - first)
-            loss -= float((np.log(p[here] + F32(1e-30)) - np.log(each)).sum()) / size
-            p *= (1 / (each * F32(size)))[:, None]
-            p[here] -= F32(1 / size)
-            g["O"][:, first:stop], g["o"][first:stop] = mine.T @ p, np.ones(len(some), F32) @ p
-            dy[some] += p @ out.T
-        dh = np.matmul(dy, w["B"].T, out=room.take("dh", *hidden.shape))
+        order = np.concatenate([np.flatnonzero(initial), np.flatnonzero(~initial)])
+        back = np.empty(size, np.int64)
+        back[order] = np.arange(size)
+        first = int(np.count_nonzero(initial))
+        ys = room.take("ys", d + 1, size)
+        ys[d] = 1
+        y.transpose(2, 0, 1).reshape(d, size).take(order, axis=1, out=ys[:d], mode="clip")
+        at = at.take(order)
+        # The gate: is it one that begins a word.
+        begins = 1 / (1 + np.exp(-np.clip(np.append(w["G"][:, 0], w["g"]) @ ys, -30, 30)))
+        loss = -float(np.log(begins[:first]).sum() + np.log(1 - begins[first:]).sum()) / size if with_loss else 0.0
+        begins[:first] -= 1
+        begins *= kind(1 / size)
+        of_gate = ys @ begins
+        dys = room.take("dys", d, size)
+        out = np.concatenate([w["O"], w["o"][None]])
+        of_out = np.zeros_like(out.T)
+        for start, end, low, high in ((0, first, 0, c.initial), (first, size, c.initial, c.count)):
+            some = np.ascontiguousarray(out[:, low:high].T)
+            weights = np.ascontiguousarray(out[:d, low:high])
+            for begin in range(start, end, AT_ONCE):  # what stands in a core's cache
+                part = slice(begin, min(begin + AT_ONCE, end))
+                mine = ys[:, part]
+                p, sums = self._exp_columns(np.matmul(some, mine, out=room.take("z", high - low, mine.shape[1])), room)
+                here = (at[part] - low) * mine.shape[1] + np.arange(mine.shape[1])
+                flat = p.reshape(-1)
+                if with_loss:
+                    loss -= float((np.log(flat[here] + kind(1e-30)) - np.log(sums)).sum()) / size
+                # Up to the factor 1 / (sums * size) what the logits should change by.
+                flat[here] -= sums
+                scale = kind(1 / size) / sums
+                of_out[low:high] += p @ (mine * scale).T
+                np.multiply(weights @ p, scale, out=dys[:, part])
+        dys += w["G"] * begins
+        dy = dys.take(back, axis=1, out=room.take("dy", d, size), mode="clip")
+        dh = np.matmul(w["B"], dy, out=room.take("dh", *hidden.shape))
         dh *= hidden > 0
-        g |= {"B": hidden.T @ dy, "A": u.T @ dh, "a": dh.sum(0)}
-        du = dh @ w["A"].T
+        of_a = u @ dh.T
+        g = {"O": of_out[:, :d].T, "o": of_out[:, d], "G": of_gate[:d, None], "g": of_gate[d:], "B": hidden @ dy.T, "A": of_a[:d], "a": of_a[d]}
+        du = np.matmul(w["A"], dh, out=room.take("du", d, size))
         du += dy
-        g["P"] = mixed.T @ du
-        dm = (du @ w["P"].T).reshape(m, n, d)
-        da = np.matmul(dm, v.transpose(0, 2, 1), out=room.take("da", m, n, n))
-        dv = a.transpose(0, 2, 1) @ dm
-        # Each row's sum of a * da is what it mixed, times what that should change by.
-        da -= np.einsum("ij,ij->i", mixed, dm.reshape(-1, d)).reshape(m, n, 1)
+        # From here on what weights up to a factor meet is scaled by it.
+        dm = np.multiply(du, each, out=room.take("dm", d, size))
+        scaled = dm.reshape(d, m, n)
+        da = np.matmul(scaled.transpose(1, 2, 0), v.transpose(1, 0, 2), out=room.take("da", m, n, n))
+        # Each row's sum of its weights' changes is what it mixed, times what that should change by.
+        mixed *= dm
+        da -= mixed.sum(0).reshape(m, n, 1)
         da *= a
         keep = distance >= 0
-        g["D"] = np.bincount(distance[keep], weights=(np.ones(m, F32) @ da.reshape(m, -1)).reshape(n, n)[keep], minlength=len(w["D"])).astype(F32)
-        each = np.concatenate([(da @ k).reshape(-1, d), (da.transpose(0, 2, 1) @ q).reshape(-1, d), dv.reshape(-1, d)], axis=1)
-        g |= dict(zip("QKV", np.split(x.T @ each, 3, axis=1)))
-        dx = each @ np.concatenate([w["Q"], w["K"], w["V"]], axis=1).T
-        dx += du
-        g["E"] = np.stack([np.bincount(rows.reshape(-1), weights=dx[:, j], minlength=len(w["E"])) for j in range(d)], axis=1).astype(F32)
+        g["D"] = np.bincount(distance[keep], weights=(np.ones(m, kind) @ da.reshape(m, -1)).reshape(n, n)[keep], minlength=len(w["D"])).astype(kind)
+        made = room.take("of made", 2 * d, m, n)
+        np.matmul(x.reshape(d, m, n).transpose(1, 0, 2), da.transpose(0, 2, 1), out=made[:d].transpose(1, 0, 2))
+        np.matmul(scaled.transpose(1, 0, 2), a, out=made[d:].transpose(1, 0, 2))
+        made = made.reshape(2 * d, size)
+        of_q, of_v = np.split(x @ made.T, 2, axis=1)
+        g |= {"Q": of_q @ w["K"], "K": of_q.T @ w["Q"], "V": of_v @ w["P"].T, "P": w["V"].T @ of_v}
+        keys = room.take("keys", d, m, n)
+        np.matmul(q.transpose(1, 0, 2), da, out=keys.transpose(1, 0, 2))
+        du += keys.reshape(d, size)
+        du += np.matmul(self._products(), made, out=room.take("dx", d, size))
+        rows = rows.reshape(-1)
+        g["E"] = np.stack([np.bincount(rows, weights=row, minlength=len(w["E"])) for row in du], axis=1).astype(kind)
         return loss, g
 
+    @staticmethod
+    def _exp_columns(z: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_exp``, of columns."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            e = np.exp(z, out=room.take("exp", *z.shape))
+            sums = np.ones(len(z), z.dtype) @ e
+        far = np.flatnonzero(~((sums > 1e-20) & (sums < 1e30)))
+        if len(far):
+            e[:, far] = np.exp(z[:, far] - z[:, far].max(0))
+            sums[far] = e[:, far].sum(0)
+        return e, sums
+
 
-def score_streams(model: Model, ids: np.ndarray, starts: np.ndarray, wanted: np.ndarray | None = None, places: tuple[np.ndarray, np.ndarray] | None = None, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+class Adam:
+    """Adam over all weights laid end to end; they are changed in place."""
+
+    def __init__(self, w: dict[str, np.ndarray]) -> None:
+        self.names = list(w)
+        self.w = np.concatenate([v.reshape(-1) for v in w.values()])
+        self.m, self.s, self.g, self.t = (np.zeros_like(self.w) for _ in range(4))
+        self.steps, at = 0, 0
+        for k, v in list(w.items()):
+            w[k] = self.w[at : at + v.size].reshape(v.shape)
+            at += v.size
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        kind, now, t = self.w.dtype.type, self.g, self.t
+        np.concatenate([g[k].reshape(-1) for k in self.names], out=now)
+        self.m *= kind(0.9)
+        self.m += np.multiply(now, kind(0.1), out=t)
+        self.s *= kind(0.99)
+        now *= now
+        now *= kind(0.01)
+        self.s += now
+        np.multiply(self.s, kind(1 / (1 - 0.99**self.steps)), out=t)
+        np.sqrt(t, out=t)
+        t += kind(1e-8)
+        np.divide(self.m, t, out=t)
+        t *= kind(rate / (1 - 0.9**self.steps))
+        self.w -= t
+
+
+def score_streams(model: Model, ids: np.ndarray, starts: np.ndarray, wanted: np.ndarray | None = None, places: np.ndarray | None = None, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Logs of each subword's class among its kind, and of its kind, in many texts laid end to end; 0
     where ``wanted`` (all) is false.
 
@@ -328,34 +411,26 @@ def score_streams(model: Model, ids: np.ndarray, starts: np.ndarray, wanted: np.
     before it (less at a text's beginning).
     """
     half = model.config.window // 2
-    own, seen = places or model.places()
+    table = model.places() if places is None else places
     lengths = np.diff(np.concatenate([starts, [len(ids)]]))
     runs = -(-lengths // half)
     base = np.concatenate([[0], np.cumsum(runs)])
-    # Texts padded to whole runs; rows: what stands before each subword.
-    place = np.repeat(base[:-1] * half - starts, lengths) + np.arange(len(ids))
+    # Texts padded to whole runs, after a run of none; before: rows of what stands before each subword.
+    place = np.repeat((base[:-1] + 1) * half - starts, lengths) + np.arange(len(ids))
     total = int(base[-1])
-    before = np.full(total * half, model.classes.rows - 1, dtype=np.int64)
-    target = np.zeros(total * half, dtype=np.int64)
-    target[place] = model.classes.of[ids]
-    shifted = np.concatenate([[0], model.classes.row[ids[:-1]]])
-    shifted[starts] = model.classes.rows - 1
-    before[place] = shifted
-    asked = np.zeros(total * half, dtype=bool)
-    asked[place] = True if wanted is None else wanted
-    before, asked = before.reshape(total, half), asked.reshape(total, half)
+    before = np.full((total + 1) * half, model.classes.rows - 1, dtype=np.int64)
+    before[place[1:]] = model.classes.row[ids[:-1]]
+    before[(base[:-1] + 1) * half] = model.classes.rows - 1
     first = np.zeros(total, dtype=bool)
     first[base[:-1]] = True
-    within, kind = np.zeros(total * half, F32), np.zeros(total * half, F32)
+    at = np.arange(len(ids)) if wanted is None else np.flatnonzero(wanted)
+    where = place[at] - half
+    target = model.classes.of[ids[at]]
+    within, kind = np.zeros(len(ids), F32), np.zeros(len(ids), F32)
     room = Room()
-    for some, with_context in ((np.flatnonzero(first), False), (np.flatnonzero(~first), True)):
-        for k in range(0, len(some), at_once):
-            at = some[k : k + at_once]
-            rows, want = before[at], asked[at]
-            run, column = np.nonzero(want)
-            to = at[run] * half + column
-            context = np.concatenate([before[at - 1], rows], axis=1) if with_context else rows
-            each_own = own.take(rows, axis=0, out=room.take("own", *rows.shape, own.shape[1]), mode="clip")
-            each_seen = seen.take(context, axis=0, out=room.take("seen", *context.shape, seen.shape[1]), mode="clip")
-            within[to], kind[to] = model.class_logs(each_own, each_seen, target[to], want, room)
-    return within[place], kind[place]
+    cuts = np.searchsorted(where, np.arange(0, total + at_once, at_once) * half)
+    for k, low, high in zip(range(0, total, at_once), cuts, cuts[1:]):
+        rows = before[k * half : (k + at_once + 1) * half]
+        some = table.take(rows, axis=0, out=room.take("runs", len(rows), table.shape[1]), mode="clip").reshape(-1, half, table.shape[1])
+        within[at[low:high]], kind[at[low:high]] = model.class_logs(some, first[k : k + at_once], target[low:high], where[low:high] - k * half, room)
+    return within, kind

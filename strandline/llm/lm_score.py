@@ -7,20 +7,22 @@ spelled in subwords that the attention model predicts, each from those before it
 get in all is estimated by the words that the corpus has once (Good and Turing).
 
 The counts are gathered block by block: texts are dealt into blocks of bounded size, each block
-sends its distinct words once, a word's counts are summed over the blocks and go back to the
-blocks that hold it. No task or driver holds the corpus's vocabulary.
+sends its distinct words once, a word's counts are summed over the blocks, it is spelled, and both go
+back to the blocks that hold it, by the word's place among the block's words. So texts become subwords
+once, for learning and for scoring. No task or driver holds the corpus's vocabulary.
 """
 
 from __future__ import annotations
 
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,29 +49,68 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
 
 
+def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts, the place among them of each word of each text, and the texts' numbers of words.
+
+    The last distinct word is the end, and the last word of each text.
+    """
+    texts = texts.take(pa.array(np.arange(len(texts))))  # a copy: Arrow's splitting takes wrong bytes of a slice
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").cast(pa.large_string())))
+    stops = lists.offsets.to_numpy()
+    lists = lists.flatten().dictionary_encode()
+    words, at = lists.dictionary.cast(pa.large_binary()), lists.indices.to_numpy()
+    none = pc.index(words, pa.scalar(b"", pa.large_binary())).as_py()  # beside white space at either end of a text
+    real = at != none
+    kept = np.concatenate([[0], np.cumsum(real)])[stops - stops[0]]
+    n = np.diff(kept) + 1
+    codes = np.full(int(n.sum()), len(words), np.int32)
+    inside = np.ones(len(codes), bool)
+    inside[np.cumsum(n) - 1] = False
+    codes[inside] = at[real]
+    words = pa.concat_arrays([words, pa.array([END.encode()], pa.large_binary())])
+    if none >= 0:
+        words = pa.concat_arrays([words[:none], words[none + 1 :]])
+        codes -= codes > none
+    return words, codes, n
+
+
+def _ranks(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the words, and the place of each in it."""
+    order = pc.sort_indices(words).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return order, rank
+
+
 def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word, n): how often training texts of the block have the word; 0: only others do."""
-    now, counts = None, Counter()
+    """(block, k, word, n): how often training texts of the block have the word (0: only others do), k: its place among the block's words."""
+    now, parts = None, []
+
+    def merged() -> pa.Table:
+        both = pa.concat_tables(parts)
+        return both.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]) if len(parts) > 1 else both
 
-    def give(block: int, counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), block, np.int64)), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["block", "word", "n"])
+    def give() -> pa.RecordBatch:
+        found = merged().combine_chunks()
+        words = found.column("word").chunk(0)
+        order, _ = _ranks(words)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(order), now, np.int64)), pa.array(np.arange(len(order), dtype=np.int32)), words.take(pa.array(order)).cast(pa.string()), found.column("n").chunk(0).take(pa.array(order))], names=["block", "k", "word", "n"])
 
     for batch in batches:
-        for block, text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if block != now:
-                if counts:
-                    yield give(now, counts)
-                now, counts = block, Counter()
-            words = words_of(text)
-            if held:
-                for w in set(words):
-                    counts.setdefault(w, 0)
-                counts.setdefault(END.encode(), 0)
-            else:
-                counts.update(words)
-                counts[END.encode()] += 1
-    if counts:
-        yield give(now, counts)
+        blocks = batch.column(0).to_numpy()
+        starts = np.flatnonzero(np.diff(blocks, prepend=-1))
+        for first, stop in zip(starts, [*starts[1:], len(blocks)]):
+            if blocks[first] != now:
+                if parts:
+                    yield give()
+                now, parts = int(blocks[first]), []
+            words, codes, n = _coded(batch.column(1)[first:stop])
+            trained = np.repeat(~batch.column(2)[first:stop].to_numpy(zero_copy_only=False), n)
+            parts.append(pa.table({"word": words, "n": pa.array(np.bincount(codes[trained], minlength=len(words)))}))
+            if len(parts) > 8:
+                parts = [merged()]
+    if parts:
+        yield give()
 
 
 _LOADED: dict[str, object] = {}
@@ -132,16 +173,46 @@ def _spellings(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([lists, batch.column(1)], names=["ids", "c"])
 
 
-def _ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Subword ids of a batch of spellings end to end, their numbers, and the words' counts."""
+def _ids_of(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subword ids of a batch of spellings (lists, or bytes as for ``_spelled_words``) end to end, their numbers, and the words' counts."""
     lists = batch.column(0)
-    return lists.flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()).astype(np.int64), batch.column(1).to_numpy()
+    if pa.types.is_list(lists.type):
+        ids, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    else:
+        ids, sizes = _bytes_of(lists, _id_type(size))
+    return ids.astype(np.int64), sizes.astype(np.int64), batch.column(1).to_numpy()
+
+
+def _bytes_of(rows: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are kept as bytes, of all rows end to end, and how many each row has."""
+    offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1] // np.dtype(kind).itemsize
+    data = rows.buffers()[2]
+    return (np.frombuffer(data, kind, offsets[-1])[offsets[0] :] if data is not None and offsets[-1] else np.zeros(0, kind)), np.diff(offsets)
+
+
+def _as_bytes(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """``ids`` as one row of bytes for each of ``sizes``."""
+    stops = (np.concatenate([[0], np.cumsum(sizes)]) * ids.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(stops), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
+def _spelled_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """(block, k, c, first, ids) of rows with a word; equal words stand side by side and are spelled once."""
+    subwords = _subwords(path)
+    size = subwords.get_piece_size()
+    for batch in batches:
+        words = batch.column(0).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        spelled = [[size] if w == END else ids or [subwords.unk_id()] for w, ids in zip(distinct, subwords.encode(distinct, num_threads=1))]
+        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        rows = _as_bytes(np.fromiter(chain.from_iterable(spelled), _id_type(size), int(sizes.sum())), sizes)
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], rows.take(words.indices)], names=["block", "k", "c", "first", "ids"])
 
 
 def _subword_counts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     table = np.zeros(size + 1)
     for batch in batches:
-        ids, sizes, counts = _ids_of(batch)
+        ids, sizes, counts = _ids_of(batch, size)
         table += np.bincount(ids, weights=np.repeat(counts, sizes), minlength=len(table))
     at = np.flatnonzero(table)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].astype(np.int64))], names=["id", "n"])
@@ -152,8 +223,13 @@ AT_ONCE, MOST_CELLS = 2_000_000, 2_000_000
 
 
 def _id_type(size: int) -> type:
-    """The type in which ids up to ``size`` are kept."""
-    return np.uint16 if size < 1 << 16 else np.int32
+    """The type in which ids up to ``size`` are kept, with a bit to spare."""
+    return np.uint16 if size < 1 << 15 else np.int32
+
+
+def _begins(size: int) -> int:
+    """The bit that marks the first subword of a word, beside ids up to ``size``."""
+    return 1 << 15 if size < 1 << 15 else 1 << 30
 
 
 def _streams(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -177,8 +253,8 @@ def _streams(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 
 def _joined(rows: list[bytes], size: int) -> np.ndarray:
-    """Streams of texts end to end, after an end."""
-    return np.concatenate([[size], np.frombuffer(b"".join(rows), _id_type(size))]).astype(np.int32)
+    """Streams of texts end to end, after an end, without marks of words' first subwords."""
+    return np.concatenate([[size], np.frombuffer(b"".join(rows), _id_type(size)) & (_begins(size) - 1)]).astype(np.int32)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], number: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -254,8 +330,9 @@ def corpus_classes(streams: DataFrame, spelled: DataFrame, path: str, config: At
     return classes, others
 
 
-def train_attention(dealt: DataFrame, spelled: DataFrame, path: str, config: ScoreConfig) -> Model:
-    """The model; ``dealt``: doc_id, text, block of training rows, ``spelled``: ids, c of training words.
+def train_attention(dealt: DataFrame, spelled: DataFrame, path: str, config: ScoreConfig, streams: DataFrame | None = None) -> Model:
+    """The model; ``dealt``: doc_id, text, block of training rows, ``spelled``: ids, c of training words,
+    ``streams``: block, ids of all training rows where they are spelled already.
 
     It starts from a bounded sample. Then every block learns on from there over all its texts, and
     the blocks' weights are averaged: by subwords learned from, an embedding by its own number.
@@ -273,7 +350,8 @@ def train_attention(dealt: DataFrame, spelled: DataFrame, path: str, config: Sco
             break
         stream.append(_stream([r["text"]], subwords)[1:])
         n += len(stream[-1])
-    streams = materialize(dealt.select("block", "text").mapInArrow(lambda it: _streams(it, path), "block bigint, ids binary"), "streams")  # spelled once, read twice
+    if streams is None:
+        streams = materialize(dealt.select("block", "text").mapInArrow(lambda it: _streams(it, path), "block bigint, ids binary"), "streams")  # spelled once, read twice
     classes, others = corpus_classes(streams, spelled, path, config.attention)
     model = Model(config.attention, classes)
     if not stream:
@@ -314,7 +392,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Recor
     width = len(classes.of)
     table = np.zeros((classes.count + 1) * width)
     for batch in batches:
-        ids, sizes, counts = _ids_of(batch)
+        ids, sizes, counts = _ids_of(batch, classes.end)
         weight = np.repeat(counts, sizes)
         before = _previous(classes.of[ids], sizes, classes.count)
         table += np.bincount(before * width + ids, weights=weight, minlength=len(table))
@@ -345,57 +423,101 @@ class Scorer:
     distinct: int
     #: Share of tokens that are new words, estimated by those that the corpus has once.
     new_share: float
-    path: str
     #: Log of the words' count by the class of their first subword.
     of_class: np.ndarray
 
     @cached_property
-    def places(self) -> tuple[np.ndarray, np.ndarray]:
+    def places(self) -> np.ndarray:
         return self.model.places()
 
-    def score(self, texts: list[bytes | None], count_of: dict[bytes, int]) -> list[tuple[int, int, float, float]]:
-        """n_tokens, n_known, base and model log10 probabilities of each text."""
-        subwords = _subwords(self.path)
-        words = list(count_of)
-        number = {w: i for i, w in enumerate(words)}
-        counts = np.fromiter(count_of.values(), np.float64, len(words))
-        ids, sizes = _spell(subwords, [w.decode() for w in words])
-        first = np.cumsum(sizes) - sizes
+    def score(self, marked: np.ndarray, sizes: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of texts, without the logs of their known words' counts.
+
+        ``marked``: subword ids of the texts end to end, marked where a word begins; ``sizes``: each text's number of
+        them; ``new``: where new words begin.
+        """
         classes = self.model.classes
-        inside = self.table[_previous(classes.of[ids], sizes, classes.count), ids].astype(np.float64)
-        base = np.log10((counts + 1) / (self.tokens + self.distinct + 1))
-        with np.errstate(divide="ignore"):
-            listed = np.log(counts) - self.of_class[classes.of[ids[first]]] + np.log(1 - self.new_share)
-        new, out, some, n = counts == 0, [], [], 0
-        lists = (np.fromiter(map(number.__getitem__, [*words_of(t), END.encode()]), np.int64) for t in texts)
-
-        def give() -> None:
-            sizes_of = np.fromiter(map(len, some), np.int64, len(some))
-            at = np.concatenate(some)
-            each = sizes[at]
-            begin = np.cumsum(each) - each
-            pick = np.repeat(first[at] - begin, each) + np.arange(int(each.sum()))
-            text_at = np.cumsum(sizes_of) - sizes_of
-            # A known word is told by its first subword, a new one by all.
-            asked = np.repeat(new[at], each)
-            asked[begin] = True
-            within, kind = (x.astype(np.float64) for x in score_streams(self.model, ids[pick], begin[text_at], asked, self.places))
-            spelled = np.add.reduceat(np.where(asked, within + kind + inside[pick], 0.0), begin) - kind[begin] + np.log(self.new_share)
+        mark = _begins(classes.end)
+        ids = (marked & (mark - 1)).astype(np.int64)
+        begin = np.flatnonzero(marked & mark)
+        text_at = np.cumsum(sizes) - sizes
+        # A known word is told by its first subword, a new one by all.
+        asked = np.zeros(len(ids), bool)
+        asked[begin] = True
+        word = np.searchsorted(begin, new)
+        each = np.append(begin, len(ids))[word + 1] - new
+        first = np.cumsum(each) - each
+        place = np.repeat(new - first, each) + np.arange(int(each.sum()))
+        asked[place] = True
+        within, kind = score_streams(self.model, ids, text_at, asked, self.places)
+        known = np.delete(begin, word)
+        value = np.zeros(len(ids))
+        value[known] = within[known] - self.of_class[classes.of[ids[known]]] + np.log(1 - self.new_share)
+        if len(new):
+            inside = self.table[_previous(classes.of[ids[place]], each, classes.count), ids[place]]
+            spelled = np.add.reduceat(within[place].astype(np.float64) + kind[place] + inside, first) - kind[new] + np.log(self.new_share)
             # A spelled word ends where the next begins; the end of the text ends by itself.
-            follows = np.concatenate([kind[begin[1:]], [0.0]])
-            follows[np.cumsum(sizes_of) - 1] = 0.0
-            both = np.where(new[at], spelled + follows, within[begin] + listed[at]) / np.log(10)
-            out.extend(zip(sizes_of.tolist(), np.add.reduceat((counts[at] > 0).astype(np.int64), text_at).tolist(), np.add.reduceat(base[at], text_at).tolist(), np.add.reduceat(both, text_at).tolist()))
-
-        for s in lists:
-            some.append(s)
-            n += len(s)
-            if n >= 50_000:
-                give()
+            value[new] = spelled + np.where(ids[new] == classes.end, 0.0, np.append(kind, 0.0)[new + each])
+        return np.add.reduceat(value, text_at)
+
+
+def _encoded(left: pa.Table, right: pa.Table, path: str) -> pa.Table:
+    """A block's rows as marked subword ids, with the numbers of their words; ``right``: k, c, ids of the block's words."""
+    size = _subwords(path).get_piece_size()
+    kind = _id_type(size)
+    texts = left.column("text").combine_chunks()
+    texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
+    words, codes, n = _coded(texts)
+    right = right.combine_chunks().sort_by("k")
+    if right.num_rows != len(words):
+        raise ValueError("a block's words are not those that it sent")
+    counts = right.column("c").to_numpy()
+    flat, lengths = _bytes_of(pa.concat_arrays(right.column("ids").chunks), kind)
+    at = _ranks(words)[1][codes]
+    marked = flat.copy()
+    start = np.cumsum(lengths) - lengths
+    marked[start] |= np.array(_begins(size), kind)
+    each = lengths[at]
+    begin = np.cumsum(each) - each
+    ids = marked[np.repeat(start[at] - begin, each) + np.arange(int(each.sum()))]
+    word_at = np.cumsum(n) - n
+    sizes = np.add.reduceat(each, word_at)
+    text_at = np.cumsum(sizes) - sizes
+    c = counts[at]
+    unknown = np.flatnonzero(c == 0)
+    text_of = np.repeat(np.arange(len(n)), n)[unknown]
+    sums = lambda v: np.add.reduceat(v[at], word_at)
+    return pa.table({
+        "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "block": left.column("block"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(sums((counts > 0).astype(np.int64))),
+        "log_more": pa.array(sums(np.log10(counts + 1.0))), "log_known": pa.array(sums(np.log(np.maximum(counts, 1)))),
+        "ids": _as_bytes(ids, sizes), "new": _as_bytes((begin[unknown] - text_at[text_of]).astype(np.int32), np.bincount(text_of, minlength=len(n))),
+    })
+
+
+#: Subwords that are scored at once.
+SCORED_AT_ONCE = 200_000
+
+
+def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    scorer: Scorer = shared.value
+    kind = _id_type(scorer.model.classes.end)
+    for batch in batches:
+        ids, new = (batch.column(k).to_pylist() for k in (5, 6))
+        place: dict[tuple[bytes, bytes], int] = {}
+        which = [place.setdefault(x, len(place)) for x in zip(ids, new)]  # equal texts are scored once
+        logs, some, n = [], [], 0
+        for k, (i, w) in enumerate(place):
+            some.append((np.frombuffer(i, kind), np.frombuffer(w, np.int32)))
+            n += len(some[-1][0])
+            if n >= SCORED_AT_ONCE or k == len(place) - 1:
+                sizes = np.array([len(i) for i, _ in some])
+                begin = np.cumsum(sizes) - sizes
+                logs.append(scorer.score(np.concatenate([i for i, _ in some]), sizes, np.concatenate([w + b for (_, w), b in zip(some, begin)])))
                 some, n = [], 0
-        if some:
-            give()
-        return out
+        score = (np.concatenate(logs)[which] if logs else np.zeros(0)) + batch.column(8).to_numpy()
+        tokens = batch.column(2).to_numpy()
+        base = batch.column(7).to_numpy() - tokens * np.log10(scorer.tokens + scorer.distinct + 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.full(len(tokens), scorer.tokens, np.int64)), pa.array(base), pa.array(score / np.log(10))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def spell(once: DataFrame, path: str) -> DataFrame:
@@ -418,16 +540,20 @@ def score(docs: DataFrame, path: str, config: ScoreConfig = ScoreConfig()) -> Da
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // config.block_bytes))
-    dealt = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
-    pairs = dealt.sortWithinPartitions("block").select("block", "text", "held_out").mapInArrow(_block_words, "block bigint, word string, n bigint")
+    given = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    dealt = given.repartition(blocks, "block")
+    pairs = dealt.sortWithinPartitions("block").select("block", "text", "held_out").mapInArrow(_block_words, "block bigint, k int, word string, n bigint")
     of_word = Window.partitionBy("word")  # one row per block and word
-    counted = pairs.select("block", "word", F.sum("n").over(of_word).alias("c"), (F.min("block").over(of_word) == F.col("block")).alias("first"))
-    counted = materialize(counted, "word-counts")
+    counted = pairs.select("word", "block", "k", F.sum("n").over(of_word).alias("c"), (F.min("block").over(of_word) == F.col("block")).alias("first"))
+    counted = materialize(counted.mapInArrow(lambda it: _spelled_words(it, path), "block bigint, k int, c bigint, first boolean, ids binary"), "word-counts")
     once = counted.where(F.col("first") & (F.col("c") > 0))
     sums = once.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
-    training = given.where(~F.col("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    spelled = materialize(spell(once, path), "spelled")
-    model = train_attention(training, spelled, path, config)
+    spelled = once.select("ids", "c")
+    schema = "doc_id bigint, held_out boolean, block bigint, n_tokens bigint, n_known bigint, log_more double, log_known double, ids binary, new binary"
+    encoded = dealt.groupBy("block").cogroup(counted.select("block", "k", "c", "ids").groupBy("block")).applyInArrow(lambda left, right: _encoded(left, right, path), schema)
+    encoded = materialize(encoded, "encoded")
+    training = ~F.col("held_out")
+    model = train_attention(given.where(training), spelled, path, config, encoded.where(training).select("block", "ids"))
     shared = spark.sparkContext.broadcast(model)
     cells = spelled.mapInArrow(lambda it: _class_counts(it, shared), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     table = np.zeros((model.classes.count + 1, len(model.classes.of)))
@@ -435,16 +561,6 @@ def score(docs: DataFrame, path: str, config: ScoreConfig = ScoreConfig()) -> Da
         table.flat[r["cell"]] = r["n"]
     first = np.bincount(model.classes.of, weights=table[-1], minlength=model.classes.count)  # words by their first subword
     new_share = (sums["once"] + 1) / (sums["n"] + 2)
-    scorer = spark.sparkContext.broadcast(Scorer(model, within_class(table, model), int(sums["n"]), int(sums["v"]), new_share, path, np.log(np.maximum(first, 1))))
-
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        count_of = dict(zip(right.column("word").cast(pa.binary()).to_pylist(), right.column("c").to_pylist()))
-        texts = left.column("text").to_pylist()
-        place = {t: i for i, t in enumerate(dict.fromkeys(texts))}  # equal texts are scored once
-        each = scorer.value.score(list(place), count_of)
-        rows = [each[place[t]] for t in texts]
-        n, known, base, model_score = zip(*rows) if rows else ((), (), (), ())
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([scorer.value.tokens] * len(rows), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(model_score, pa.float64())})
-
+    scorer = spark.sparkContext.broadcast(Scorer(model, within_class(table, model), int(sums["n"]), int(sums["v"]), new_share, np.log(np.maximum(first, 1))))
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return dealt.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(scored, schema)
+    return encoded.select("doc_id", "held_out", "n_tokens", "n_known", "block", "ids", "new", "log_more", "log_known").mapInArrow(lambda it: _scored(it, scorer), schema)

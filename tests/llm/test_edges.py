@@ -8,6 +8,8 @@ from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from strandline.llm import chat_format, decontaminate, hnsw, language_id, lm_score, mixing, partenum, token_counts, token_store, toxicity
@@ -549,3 +551,67 @@ def test_encoder_cuts_at_single_line_ends():
     for text in ("one two.\nThe three.\nÉté two.\nThe end.", "a two.\n\nThe b", "a two. \nThe b", "a two.\n The b", "a two.\t\nThe b", "a two.\n", "\nThe two", "a 中\n中 b", "a \n"):
         assert e.encode(text) == e.whole(text)
     assert {"two.", "\nThe"} <= set(e.by_piece) and "two.\nThe" not in e.by_piece
+
+
+def test_lm_texts_are_spelled_once_and_scored_by_that():
+    """Blocks' words, their spellings, marked texts and scores, against plain loops; each distinct word is spelled once for all of it."""
+    from strandline.llm.attention import Model, make_classes, score_streams
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    real, asked = lm_score._subwords(path), []
+
+    class Counting:
+        get_piece_size, unk_id = real.get_piece_size, real.unk_id
+
+        def encode(self, words, **more):
+            asked.extend(words)
+            return real.encode(words, **more)
+
+    texts = [b"The River  and the\tzebra", None, b"", b" \n ", "Zebra ½ naïve\x0bx▁y river\x85".encode(), b"the and", b"quagga the quagga xylo", b"the and"]
+    held, block = [False, False, True, False, False, False, True, False], [0, 0, 0, 0, 1, 1, 1, 1]
+    words_of = lambda t: (t or b"").lower().split() + [b"\n"]
+    batch = pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(texts, pa.binary()), pa.array(held)], names=["block", "text", "held_out"])
+    counts = Counter(w for t, h in zip(texts, held) if not h for w in words_of(t))
+    lm_score._LOADED[path] = Counting()
+    try:
+        for size in (1, 3, 8):
+            got = pa.Table.from_batches(lm_score._block_words(iter([batch.slice(k, size) for k in range(0, 8, size)]))).to_pylist()
+            for b in (0, 1):
+                distinct = sorted({w for t, of in zip(texts, block) if of == b for w in words_of(t)})
+                n = Counter(w for t, h, of in zip(texts, held, block) if of == b and not h for w in words_of(t))
+                assert [(r["k"], r["word"].encode(), r["n"]) for r in got if r["block"] == b] == [(k, w, n[w]) for k, w in enumerate(distinct)]
+        rows = sorted(got, key=lambda r: r["word"])
+        sent = pa.RecordBatch.from_arrays([pa.array([r["word"] for r in rows]), pa.array([r["block"] for r in rows]), pa.array([r["k"] for r in rows], pa.int32()), pa.array([counts[r["word"].encode()] for r in rows]), pa.array([True] * len(rows))], names=["word", "block", "k", "c", "first"])
+        sent = pa.Table.from_batches(lm_score._spelled_words(iter([sent]), path))
+        left = pa.table({"doc_id": pa.array(range(8)), "text": batch.column(1), "held_out": batch.column(2), "block": batch.column(0)})
+        encoded = pa.concat_tables(lm_score._encoded(left.filter(pc.equal(left["block"], b)), sent.filter(pc.equal(sent["block"], b)).select(["k", "c", "ids"]), path) for b in (0, 1))
+    finally:
+        lm_score._LOADED[path] = real
+    assert sorted(asked) == sorted({w.decode() for t in texts for w in words_of(t)})
+    spell = lambda w: [real.get_piece_size()] if w == b"\n" else real.encode(w.decode()) or [real.unk_id()]
+    stream = np.concatenate([[real.get_piece_size()], *(spell(w) for t in texts for w in words_of(t))])
+    assert lm_score._joined(encoded["ids"].to_pylist(), real.get_piece_size()).tolist() == stream.tolist()
+    c = AttentionConfig(steps=5, batch=4, initial=6, inner=5, window=4)
+    model = Model(c, make_classes(np.tile(stream, 9), np.array([real.id_to_piece(i).startswith("▁") for i in range(real.get_piece_size())] + [True]), real.get_piece_size(), c))
+    model.train(np.tile(stream, 9))
+    r = np.random.default_rng(2)
+    table, of_class = np.log(r.random((12, len(model.classes.of)))), r.random(11)
+    scorer = type("Shared", (), {"value": lm_score.Scorer(model, table, sum(counts.values()), len(counts), 0.03, of_class)})()
+    order = ["doc_id", "held_out", "n_tokens", "n_known", "block", "ids", "new", "log_more", "log_known"]
+    got = pa.Table.from_batches(lm_score._scored(iter(encoded.select(order).combine_chunks().to_batches()), scorer)).to_pylist()
+    assert got[5]["score"] == got[7]["score"]
+    for t, out in zip(texts, got):
+        words = words_of(t)
+        spelled = [spell(w) for w in words]
+        within, kind = score_streams(model, np.concatenate(spelled), np.array([0]))
+        score, at = 0.0, 0
+        for w, ids in zip(words, spelled):
+            if counts[w]:
+                score += within[at] + math.log(counts[w]) - of_class[model.classes.of[ids[0]]] + math.log(0.97)
+            else:
+                before = [11, *model.classes.of[ids[:-1]]]
+                score += math.log(0.03) + sum(within[at + k] + table[before[k], i] + (kind[at + k] if k else 0) for k, i in enumerate(ids)) + kind[at + len(ids)]
+            at += len(ids)
+        base = sum(math.log10((counts[w] + 1) / (sum(counts.values()) + len(counts) + 1)) for w in words)
+        assert (out["n_tokens"], out["n_known"]) == (len(words), sum(counts[w] > 0 for w in words))
+        assert out["score"] == pytest.approx(score / math.log(10), abs=1e-4) and out["base_score"] == pytest.approx(base, abs=1e-9)
