@@ -19,3 +19,28 @@ def test_optimal_matches_takes_many_frames_at_once_and_skips_what_has_no_reward(
     out = A.optimal_matches(spark.createDataFrame(rows, "frame int, g string, p string, iou double"), "frame", "g", "p", "iou")
     assert "FlatMapGroupsInPandas" not in plan(out)
     assert sorted(map(tuple, out.collect())) == [(f, *x) for f in range(50) for x in (("g0", "p1", 0.8), ("g1", "p0", 0.8), ("g2", "p2", 0.7))]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_matched_is_the_best_of_all_choices(seed):
+    rnd = random.Random(seed)
+    n, m = rnd.randint(1, 4), rnd.randint(1, 4)
+    value = {p: rnd.random() for p in itertools.product(range(n), range(m)) if rnd.random() < 0.6}
+    least = 0.3
+
+    def best(rows):
+        if not rows:
+            return 0.0
+        i, *rest = rows
+        free = best(rest)
+        return max([free, *(v - least + best_without(rest, {j}) for (k, j), v in value.items() if k == i)])
+
+    def best_without(rows, used):
+        if not rows:
+            return 0.0
+        i, *rest = rows
+        return max([best_without(rest, used), *(v - least + best_without(rest, used | {j}) for (k, j), v in value.items() if k == i and j not in used)])
+
+    got = A.matched(value, least)
+    assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+    assert sum(value[p] - least for p in got) == pytest.approx(best(list(range(n))))
