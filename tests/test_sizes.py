@@ -44,3 +44,10 @@ def test_matched_is_the_best_of_all_choices(seed):
     got = A.matched(value, least)
     assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
     assert sum(value[p] - least for p in got) == pytest.approx(best(list(range(n))))
+
+
+def test_abstaining_takes_many_frames_at_once_and_ties_go_to_the_smaller(spark):
+    rows = [(f, f"g{i}", f"p{j}", s) for f in range(30) for i, j, s in ((0, 0, 0.6), (1, 0, 0.6), (2, 1, 0.9), (2, 2, 0.4), (3, 3, 0.3), (4, 4, None))]
+    out = A.assign_or_abstain(spark.createDataFrame(rows, "frame int, g string, p string, s double"), "frame", "g", "p", "s", 0.47, 0.05)
+    assert "FlatMapGroupsInPandas" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(f, *x) for f in range(30) for x in (("g0", "p0", 0.6, True), ("g2", "p1", 0.9, False))]
