@@ -51,3 +51,21 @@ def test_abstaining_takes_many_frames_at_once_and_ties_go_to_the_smaller(spark):
     out = A.assign_or_abstain(spark.createDataFrame(rows, "frame int, g string, p string, s double"), "frame", "g", "p", "s", 0.47, 0.05)
     assert "FlatMapGroupsInPandas" not in plan(out)
     assert sorted(map(tuple, out.collect())) == [(f, *x) for f in range(30) for x in (("g0", "p0", 0.6, True), ("g2", "p1", 0.9, False))]
+
+
+def test_suppression_takes_many_frames_at_once_and_unknown_boxes_stay(spark):
+    nan = float("nan")
+    few = [(f, *x) for f in range(30) for x in (("a", 0.0, 0.0, 10.0, 10.0, 0.9), ("b", 1.0, 0.0, 10.0, 10.0, 0.9), ("c", 20.0, 0.0, 10.0, 10.0, 0.2), ("d", nan, 0.0, 10.0, 10.0, 0.8), ("e", 0.0, None, 10.0, 10.0, nan))]
+    rnd = random.Random(1)
+    many = [(100, f"m{i}", rnd.random() * 40, rnd.random() * 40, 10.0, 10.0, rnd.random()) for i in range(200)]
+    boxes = lambda rows: spark.createDataFrame(rows, "frame int, id string, x double, y double, w double, h double, score double")
+    out = A.suppress(boxes(few + many), "frame", 0.5)
+    assert "FlatMapGroupsInPandas" not in plan(out)
+    got = sorted((r["frame"], r["id"]) for r in out.collect())
+    assert got[:120] == [(f, i) for f in range(30) for i in "acde"]
+    kept = []
+    for _, i, x, y, w, h, _ in sorted(many, key=lambda r: -r[6]):
+        inter = lambda k: max(0.0, min(x, k[1]) + 10 - max(x, k[1])) * max(0.0, min(y, k[2]) + 10 - max(y, k[2]))
+        if not any(inter(k) / (200 - inter(k)) > 0.5 for k in kept):
+            kept.append((i, x, y))
+    assert got[120:] == sorted((100, k[0]) for k in kept)
