@@ -69,3 +69,10 @@ def test_suppression_takes_many_frames_at_once_and_unknown_boxes_stay(spark):
         if not any(inter(k) / (200 - inter(k)) > 0.5 for k in kept):
             kept.append((i, x, y))
     assert got[120:] == sorted((100, k[0]) for k in kept)
+
+
+def test_successors_take_many_frames_at_once_and_ties_go_to_the_smaller(spark):
+    rows = [(f, f"g{i}", f"p{j}", s) for f in range(30) for i, j, s in ((0, 0, 0.6), (1, 0, 0.6), (2, 1, 0.3), (2, 2, None))]
+    out = A.successors(spark.createDataFrame(rows, "frame int, g string, p string, s double"), "frame", "g", "p", "s", 0.47)
+    assert "FlatMapGroupsInPandas" not in plan(out)
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[:3]) == [(f, *x) for f in range(30) for x in (("g0", "p0", 0.6, True), ("g1", "p0", 0.6, False), ("g2", "p1", 0.3, False), ("g2", "p2", None, False))]
