@@ -41,7 +41,8 @@ def precision_recall(rows: DataFrame) -> DataFrame:
     run = parts.withColumns({"k": F.count("*").over(w), "tp": F.sum("truth").over(w)}).join(sums, "part")
     run = run.select("id", "truth", "part", "positives", (F.col("n0") + F.col("k")).alias("rank"), (F.col("p0") + F.col("tp")).alias("tp"))
     run = run.withColumns({"precision": F.col("tp") / F.col("rank"), "recall": F.try_divide("tp", "positives")})
-    after = Window.partitionBy("part").orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
+    # Backwards, so that the maximum runs on: Spark counts a frame that only ends with the part anew for every row.
+    after = Window.partitionBy("part").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
     best = run.groupBy("part").agg(F.max("precision").alias("best"))
     later = best.select("part", F.max("best").over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
     run = run.join(later, "part").withColumn("envelope", F.greatest(F.max("precision").over(after), F.coalesce("later", F.lit(0.0))))

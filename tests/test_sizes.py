@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators import assign as A
+from strandline.operators import quality as Q
 
 
 def plan(df) -> str:
@@ -76,3 +79,15 @@ def test_successors_take_many_frames_at_once_and_ties_go_to_the_smaller(spark):
     out = A.successors(spark.createDataFrame(rows, "frame int, g string, p string, s double"), "frame", "g", "p", "s", 0.47)
     assert "FlatMapGroupsInPandas" not in plan(out)
     assert sorted(map(tuple, out.collect()), key=lambda r: r[:3]) == [(f, *x) for f in range(30) for x in (("g0", "p0", 0.6, True), ("g1", "p0", 0.6, False), ("g2", "p1", 0.3, False), ("g2", "p2", None, False))]
+
+
+def test_precision_recall_has_no_frame_that_is_counted_anew_for_every_row(spark):
+    rows = [(i, i % 3 == 0, float(i * 7919 % 1000)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, truth boolean, score double").withColumn("truth", F.col("truth").cast("int"))
+    out = Q.precision_recall(df)
+    assert not re.search(r"currentrow\$\(\), unboundedfollowing", plan(out))
+    got = out.orderBy("rank").collect()
+    best = 0.0
+    for r in reversed(got):
+        best = max(best, r["tp"] / r["rank"])
+        assert r["envelope"] == best
