@@ -91,3 +91,11 @@ def test_precision_recall_has_no_frame_that_is_counted_anew_for_every_row(spark)
     for r in reversed(got):
         best = max(best, r["tp"] / r["rank"])
         assert r["envelope"] == best
+
+
+def test_detection_average_precision_counts_no_frame_anew_for_every_row(spark):
+    boxes = spark.createDataFrame([(f, f"{s}{i}", s, 1.0 / (1 + f + i)) for f in range(40) for s in ("gt", "pred") for i in range(2)], "frame int, id string, side string, score double")
+    pairs = spark.createDataFrame([(f, "gt0", "pred0", 1.0 / (1 + f), 0.9) for f in range(40)], "frame int, g_id string, p_id string, score double, iou double")
+    out = Q.detection_average_precision(boxes, pairs)
+    assert not re.search(r"currentrow\$\(\), unboundedfollowing", plan(out))
+    assert tuple(out.first())[1:] == (80, 80, 40)
