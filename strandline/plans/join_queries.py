@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import assign as A
+from ..operators import blocks as B
 from ..operators import graph as G
 from ..operators import joins as J
 from ..sources import proxies as P
@@ -195,7 +196,7 @@ def ambiguity_demotion(spark, sf):
 @query(f"""WITH RECURSIVE e AS (SELECT pred AS u, succ AS v FROM {_PAIRS} WHERE sim > 0.33), both_ AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
   reach AS (SELECT u AS node, u AS r FROM both_ UNION SELECT reach.node, both_.v FROM reach JOIN both_ ON reach.r = both_.u) SELECT node, min(r) AS component FROM reach GROUP BY node""")
 def components_minlabel(spark, sf):
-    return G.components(_vector_pairs(spark, sf).where(F.col("sim") > 0.33), "pred", "succ")
+    return G.components(B.similar_pairs(P.vectors(spark, sf), "person", 0.33), "pred", "succ")
 
 
 @query()

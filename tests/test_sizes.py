@@ -10,6 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import assign as A
+from strandline.operators import blocks as B
+from strandline.operators import graph as G
+from strandline.functions.vector import dot
 from strandline.operators import quality as Q
 
 
@@ -99,3 +102,46 @@ def test_detection_average_precision_counts_no_frame_anew_for_every_row(spark):
     out = Q.detection_average_precision(boxes, pairs)
     assert not re.search(r"currentrow\$\(\), unboundedfollowing", plan(out))
     assert tuple(out.first())[1:] == (80, 80, 40)
+
+
+def vectors(spark, n=90, keys=3, odd=True):
+    rnd = random.Random(5)
+    rows = [(i, i % keys if i % 10 else None, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(n)]
+    rows = [(i, k, v if i % 17 else rows[0][2]) for i, k, v in rows]  # copies
+    rows += [(n, 0, None), (n + 1, 0, [1.0, 2.0]), (n + 2, 1, [float("nan")] * 4), (n + 3, 2, [1.0, None, 1.0, 1.0])] if odd else []
+    return spark.createDataFrame(rows, "id long, person int, v array<double>")
+
+
+def all_pairs(v):
+    a, b = v.select("person", F.col("id").alias("pred"), F.col("v").alias("va")), v.select("person", F.col("id").alias("succ"), F.col("v").alias("vb"))
+    return a.join(b, "person").where("pred < succ").select("person", "pred", "succ", dot("va", "vb").alias("sim"))
+
+
+def rows_of(df):
+    return sorted(map(repr, df.collect()))
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_similar_pairs_equal_the_join(spark, block):
+    v = vectors(spark)
+    got = B.similar_pairs(v, "person", 0.5, block)
+    assert rows_of(got) == rows_of(all_pairs(v).where("sim > 0.5"))
+    assert rows_of(got)
+
+
+def test_components_compare_vectors_by_blocks(spark):
+    from strandline.plans import join_queries
+
+    asked = []
+    found = B.similar_pairs
+
+    def noted(*args):
+        asked.append(args[1:])
+        return found(*args)
+
+    B.similar_pairs = noted
+    try:
+        assert join_queries.components_minlabel(spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        B.similar_pairs = found
+    assert asked == [("person", 0.33)]
