@@ -145,3 +145,12 @@ def test_components_compare_vectors_by_blocks(spark):
     finally:
         B.similar_pairs = found
     assert asked == [("person", 0.33)]
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_strongest_pairs_decide_the_mutual_best(spark, block):
+    v = vectors(spark)
+    best = lambda pairs: rows_of(A.mutual_best(pairs.withColumn("sim", F.round("sim", 6)), "person", "pred", "succ", "sim", 0.02))
+    strong = B.strongest_pairs(v, "person", block=block)
+    assert best(strong) == best(all_pairs(v))
+    assert strong.count() < all_pairs(v).count()
