@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import assign as A
+from ..operators import blocks as B
 from ..operators import joins as J
 from ..operators import quality as Q
 from ..operators import series as S
 from ..sources import proxies as P
-from .join_queries import _IOU, _PAIRS, _candidates, _vector_pairs
+from .join_queries import _IOU, _PAIRS, _candidates
 from .registry import query
 from .series_queries import SPEED
 
@@ -95,9 +96,7 @@ def same_diff_distance_whole(spark, sf):
 @query(f"""WITH p AS (SELECT person, pred, succ, greatest(0.0, 1 - sim) AS d FROM {_PAIRS}), b AS (SELECT person, pred AS id, d FROM p UNION ALL SELECT person, succ, d FROM p),
   n AS (SELECT person, id, min(d) AS d FROM b GROUP BY ALL) SELECT person, round(median(d), 6) AS robust, round(min(d), 6) AS least, count(*) AS n FROM n GROUP BY person""")
 def robust_bidirectional_distance(spark, sf):
-    p = _vector_pairs(spark, sf).select("person", "pred", "succ", F.greatest(F.lit(0.0), 1 - F.col("sim")).alias("d"))
-    both = p.select("person", F.col("pred").alias("id"), "d").unionByName(p.select("person", F.col("succ").alias("id"), "d"))
-    near = both.groupBy("person", "id").agg(F.min("d").alias("d"))
+    near = B.nearest(P.vectors(spark, sf), "person")
     return near.groupBy("person").agg(F.round(F.median("d"), 6).alias("robust"), F.round(F.min("d"), 6).alias("least"), F.count("*").alias("n"))
 
 

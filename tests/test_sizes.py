@@ -154,3 +154,12 @@ def test_strongest_pairs_decide_the_mutual_best(spark, block):
     strong = B.strongest_pairs(v, "person", block=block)
     assert best(strong) == best(all_pairs(v))
     assert strong.count() < all_pairs(v).count()
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_nearest_equals_the_least_of_all_pairs(spark, block):
+    v = vectors(spark)
+    p = all_pairs(v).withColumn("d", F.greatest(F.lit(0.0), 1 - F.col("sim")))
+    both = p.select("person", F.col("pred").alias("id"), "d").unionByName(p.select("person", F.col("succ").alias("id"), "d"))
+    shown = lambda df: rows_of(df.select("person", "id", F.round("d", 9).alias("d")))
+    assert shown(B.nearest(v, "person", block)) == shown(both.groupBy("person", "id").agg(F.min("d").alias("d")))
