@@ -189,8 +189,7 @@ _STATED = f"(SELECT pred, succ, round(sim, 6) AS score, CASE WHEN sim > 0.3 THEN
     nth_value(score, 2) OVER (PARTITION BY succ ORDER BY score DESC, pred, succ ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ss FROM e)
   SELECT pred, succ, score, CASE WHEN state = 'accepted' AND ((sp IS NOT NULL AND bp - sp < 0.08 AND bp - score < 0.08) OR (ss IS NOT NULL AND bs - ss < 0.08 AND bs - score < 0.08)) THEN 'review' ELSE state END AS state FROM r""")
 def ambiguity_demotion(spark, sf):
-    e = _vector_pairs(spark, sf).where(F.col("sim") > 0.2).select("pred", "succ", F.round("sim", 6).alias("score"), F.when(F.col("sim") > 0.3, "accepted").otherwise("review").alias("state"))
-    return G.demote_ambiguous(e)
+    return B.demoted_pairs(P.vectors(spark, sf), "person", 0.2, 0.3)
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT pred AS u, succ AS v FROM {_PAIRS} WHERE sim > 0.33), both_ AS (SELECT u, v FROM e UNION SELECT v, u FROM e),

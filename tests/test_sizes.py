@@ -163,3 +163,13 @@ def test_nearest_equals_the_least_of_all_pairs(spark, block):
     both = p.select("person", F.col("pred").alias("id"), "d").unionByName(p.select("person", F.col("succ").alias("id"), "d"))
     shown = lambda df: rows_of(df.select("person", "id", F.round("d", 9).alias("d")))
     assert shown(B.nearest(v, "person", block)) == shown(both.groupBy("person", "id").agg(F.min("d").alias("d")))
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_demoted_pairs_equal_demotion_of_all_edges(spark, block):
+    v = vectors(spark, n=60)
+    v = v.where("person is not null and not isnan(v[0])")
+    e = all_pairs(v).where("sim > 0.2").select("pred", "succ", F.round("sim", 6).alias("score"), F.when(F.col("sim") > 0.9, "accepted").otherwise("review").alias("state"))
+    got = rows_of(B.demoted_pairs(v, "person", 0.2, 0.9, block=block))
+    assert got == rows_of(G.demote_ambiguous(e))
+    assert {r.split("state=")[1] for r in got} == {"'accepted')", "'review')"}
