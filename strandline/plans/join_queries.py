@@ -178,7 +178,7 @@ def _vector_pairs(spark, sf):
 
 @query(f"SELECT person, pred, succ, round(sim, 6) AS sim FROM {_PAIRS} WHERE sim > 0.25")
 def cosine_pairs(spark, sf):
-    return _vector_pairs(spark, sf).where(F.col("sim") > 0.25).withColumn("sim", F.round("sim", 6))
+    return B.similar_pairs(P.vectors(spark, sf), "person", 0.25).withColumn("sim", F.round("sim", 6))
 
 
 _STATED = f"(SELECT pred, succ, round(sim, 6) AS score, CASE WHEN sim > 0.3 THEN 'accepted' ELSE 'review' END AS state FROM {_PAIRS} WHERE sim > 0.2)"

@@ -173,3 +173,10 @@ def test_demoted_pairs_equal_demotion_of_all_edges(spark, block):
     got = rows_of(B.demoted_pairs(v, "person", 0.2, 0.9, block=block))
     assert got == rows_of(G.demote_ambiguous(e))
     assert {r.split("state=")[1] for r in got} == {"'accepted')", "'review')"}
+
+
+def test_cosine_pairs_are_compared_by_blocks(spark):
+    from strandline.plans import join_queries
+
+    assert "lambdafunction((lambda x" not in plan(join_queries.cosine_pairs(spark, "/root/testdata/sf0.001")).split("== Physical Plan ==")[1].split("MapInArrow")[0]
+    assert "MapInArrow" in plan(join_queries.cosine_pairs(spark, "/root/testdata/sf0.001"))
