@@ -167,15 +167,6 @@ def reconcile_fourway(spark, sf):
 _PAIRS = f"(SELECT a.person, a.id AS pred, b.id AS succ, list_dot_product(a.v, b.v) AS sim FROM {P.VECTORS} a JOIN {P.VECTORS} b ON a.person = b.person AND a.id < b.id)"
 
 
-def _vector_pairs(spark, sf):
-    from ..functions.vector import dot
-
-    v = P.vectors(spark, sf)
-    a = v.select("person", F.col("id").alias("pred"), F.col("v").alias("va"))
-    b = v.select("person", F.col("id").alias("succ"), F.col("v").alias("vb"))
-    return a.join(b, "person").where(F.col("pred") < F.col("succ")).select("person", "pred", "succ", dot("va", "vb").alias("sim"))
-
-
 @query(f"SELECT person, pred, succ, round(sim, 6) AS sim FROM {_PAIRS} WHERE sim > 0.25")
 def cosine_pairs(spark, sf):
     return B.similar_pairs(P.vectors(spark, sf), "person", 0.25).withColumn("sim", F.round("sim", 6))
@@ -201,7 +192,7 @@ def components_minlabel(spark, sf):
 @query()
 def components_veto(spark, sf):
     v = P.vectors(spark, sf)
-    e = _vector_pairs(spark, sf).where(F.col("sim") > 0.25).withColumnRenamed("sim", "score")
+    e = B.similar_pairs(v, "person", 0.25).withColumnRenamed("sim", "score")
     n = v.select("person", F.col("id").alias("node"), F.when(F.col("id") % 3 == 0, F.col("id") % 7).alias("shirt"))
     return G.components_with_veto(e, n, "person", ["shirt"])
 

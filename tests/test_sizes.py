@@ -180,3 +180,22 @@ def test_cosine_pairs_are_compared_by_blocks(spark):
 
     assert "lambdafunction((lambda x" not in plan(join_queries.cosine_pairs(spark, "/root/testdata/sf0.001")).split("== Physical Plan ==")[1].split("MapInArrow")[0]
     assert "MapInArrow" in plan(join_queries.cosine_pairs(spark, "/root/testdata/sf0.001"))
+
+
+def test_veto_components_stream_their_edges(spark):
+    rnd = random.Random(3)
+    names = [f"n{i:02d}" for i in range(40)]
+    nodes = [(s, n, rnd.choice([None, "a", "b"]), rnd.choice([None, None, 1, 2])) for s in ("x", "y") for n in names]
+    edges = [(s, *rnd.sample(names, 2), rnd.choice([0.5, 0.6, rnd.random()])) for s in ("x", "y") for _ in range(150)]
+    out = G.components_with_veto(spark.createDataFrame(edges, "scene string, pred string, succ string, score double"), spark.createDataFrame([*nodes, ("z", "n00", "a", None)], "scene string, node string, team string, shirt int"), "scene", ["team", "shirt"])
+    assert "CoGroup" not in plan(out)
+    want = {("z", "n00", "n00")}
+    for s in ("x", "y"):
+        group = {n: ({n}, {t} - {None}, {h} - {None}) for k, n, t, h in nodes if k == s}
+        for _, p, q, _ in sorted((e for e in edges if e[0] == s), key=lambda e: (-e[3], e[1], e[2])):
+            a, b = group[p], group[q]
+            if a is not b and len(a[1] | b[1]) < 2 and len(a[2] | b[2]) < 2:
+                both = (a[0] | b[0], a[1] | b[1], a[2] | b[2])
+                group |= {n: both for n in both[0]}
+        want |= {(s, n, min(group[n][0])) for n in group}
+    assert set(map(tuple, out.collect())) == want
