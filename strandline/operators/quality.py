@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .assign import hungarian
 from .checkpoint import cut
@@ -147,35 +151,65 @@ def report(values: DataFrame, rules: list[tuple[str, str, bool, float, float]],
     return sums.select(worst_verdict(F.col("v")).alias("verdict"), F.to_json("gates").alias("gates"))
 
 
-def pair_distances(vectors: DataFrame, block: int = 1000) -> DataFrame:
+def pair_distances(vectors: DataFrame, block: int = 32_768) -> DataFrame:
     """(same, d, n): how many pairs of all unit vectors (id, person, v) have which cosine distance,
     at six decimals; ``same``: both are of one person.
 
-    Vectors are dealt into blocks of about ``block``; each pair of blocks is compared in one call and
-    gives its counts.
+    Vectors are dealt into blocks of about ``block``, or fewer so that all tasks have work; each pair of blocks is compared by
+    tiles, and a task counts all its pairs of blocks in one table of distances. A vector is shuffled once per block.
     """
-    blocks = max(1, -(-vectors.count() // block))
-    b, k = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-    dealt = vectors.select("id", "person", "v", b.alias("b"), k.alias("k")).withColumn("low", F.least("b", "k")).withColumn("high", F.greatest("b", "k"))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows[rows["b"] == rows["low"].iloc[0]]
-        right = rows[rows["b"] == rows["high"].iloc[0]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"same": pd.array([], "boolean"), "d": np.zeros(0), "n": np.zeros(0, np.int64)})
-        i, j = left["id"].to_numpy()[:, None], right["id"].to_numpy()[None]
-        use = (i < j) if left["b"].iloc[0] == right["b"].iloc[0] else (i != j)
-        d = np.clip(1 - np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T, 0.0, 2.0)
-        codes = pd.factorize(pd.concat([left["person"], right["person"]]))[0]
-        x, y = codes[: len(left), None], codes[None, len(left) :]
-        same = np.where((x < 0) | (y < 0), 2, (x == y).astype(np.int64))
-        cell, n = np.unique(same[use] * 2_000_001 + np.rint(d[use] * 1e6).astype(np.int64), return_counts=True)
-        kind = cell // 2_000_001
-        flag = pd.array(kind == 1, "boolean")
-        flag[kind == 2] = pd.NA
-        return pd.DataFrame({"same": flag, "d": cell % 2_000_001 / 1e6, "n": n})
-
-    found = dealt.groupBy("low", "high").applyInPandas(compare, "same boolean, d double, n bigint")
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    count = vectors.count()
+    blocks = max(1, -(-count // block), min(int((2 * tasks) ** 0.5), -(-count // 500)))
+    b, k = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    codes = F.when(F.col("person").isNotNull(), F.xxhash64("person"))
+    dealt = vectors.select("id", codes.alias("person"), "v", b.alias("b"), k.alias("k")).withColumns({"low": F.least("b", "k"), "high": F.greatest("b", "k")}).drop("k")
+    steps, tile = 2_000_001, 64
+    out = to_arrow_schema(StructType.fromDDL("same boolean, d double, n bigint"))
+
+    def add(cell: pa.Table, found: np.ndarray) -> None:
+        own = cell["b"].to_numpy()
+        low, high = cell["low"][0].as_py(), cell["high"][0].as_py()
+        ids, v = cell["id"].to_numpy(), np.stack(cell["v"].to_numpy())
+        person, known = cell["person"].fill_null(0).to_numpy(), cell["person"].is_valid().to_numpy()
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        columns, told = v[right].T.copy(), bool(known.all())
+        person = np.unique(person, return_inverse=True)[1].astype(np.int32)
+        for at in range(0, len(left), tile):
+            rows = left[at : at + tile]
+            d = v[rows] @ columns  # from here on in place: the table of pairs is the largest thing held
+            np.clip(np.subtract(1.0, d, out=d), 0.0, 2.0, out=d)
+            place = np.rint(np.multiply(d, 1e6, out=d), out=d).astype(np.int32)
+            kind = (person[rows][:, None] == person[right][None]).astype(np.int32)
+            if not told:
+                kind[~(known[rows][:, None] & known[right][None])] = 2
+            place += np.multiply(kind, np.int32(steps), out=kind)
+            i, j = ids[rows][:, None], ids[right][None]
+            use = (i < j) if low == high else (i != j)
+            part = np.bincount(place.ravel() if use.all() else place[use])
+            found[: len(part)] += part
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        found = np.zeros(3 * steps, np.int64)
+        for batch in batches:
+            low, high = batch["low"].to_numpy(), batch["high"].to_numpy()
+            ends = [0, *(np.flatnonzero((low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1), len(low)]
+            for i, j in zip(ends, ends[1:]):
+                if held and j > i and (held[0]["low"][0].as_py(), held[0]["high"][0].as_py()) != (low[i], high[i]):
+                    add(pa.Table.from_batches(held), found)
+                    held = []
+                if j > i:
+                    held.append(batch.slice(i, j - i))
+        if held:
+            add(pa.Table.from_batches(held), found)
+        cells = np.flatnonzero(found)
+        for at in range(0, len(cells), 100_000):
+            c = cells[at : at + 100_000]
+            kind = c // steps
+            yield pa.RecordBatch.from_arrays([pa.array(kind == 1, pa.bool_(), mask=kind == 2), pa.array(c % steps / 1e6), pa.array(found[c])], schema=out)
+
+    found = dealt.repartition(tasks, "low", "high").sortWithinPartitions("low", "high").mapInArrow(task, "same boolean, d double, n bigint")
     return found.groupBy("same", "d").agg(F.sum("n").alias("n"))
 
 

@@ -211,3 +211,17 @@ def test_number_candidates_join_the_first_of_each_team_only(spark):
         scored = [(-conf * (0.9 if team is None or t is None else 1.0 if t == team else 0.5), name.lower(), p) for p, name, n, t in roster if n == number]
         want |= {(s, p, -v, k + 1) for k, (v, _, p) in enumerate(sorted(scored)[:4])}
     assert set(map(tuple, out.collect())) == want
+
+
+@pytest.mark.parametrize("block", [16, 32_768])
+def test_pair_distances_are_counted_by_task(spark, block):
+    v = vectors(spark, odd=False)
+    out = Q.pair_distances(v, block)
+    assert "FlatMapGroupsInPandas" not in plan(out)
+    rows = [(r["id"], r["person"], r["v"]) for r in v.collect()]
+    want = {}
+    for (i, p, x), (j, q, y) in itertools.combinations(rows, 2):
+        at = (None if p is None or q is None else p == q, round(min(2.0, max(0.0, 1 - sum(a * b for a, b in zip(x, y)))), 6))
+        want[at] = want.get(at, 0) + 1
+    got = {(r["same"], round(r["d"], 6)): r["n"] for r in out.collect()}
+    assert got == want
