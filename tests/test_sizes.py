@@ -14,6 +14,7 @@ from strandline.operators import assign as A
 from strandline.operators import blocks as B
 from strandline.operators import graph as G
 from strandline.operators import identity as I
+from strandline.operators import joins as J
 from strandline.operators import quality as Q
 
 
@@ -225,3 +226,11 @@ def test_pair_distances_are_counted_by_task(spark, block):
         want[at] = want.get(at, 0) + 1
     got = {(r["same"], round(r["d"], 6)): r["n"] for r in out.collect()}
     assert got == want
+
+
+def test_few_keys_with_many_pairs_are_dealt_to_many_tasks(spark):
+    a = spark.createDataFrame([(i, i % 3 or None) for i in range(20)], "a int, ka int")
+    b = spark.createDataFrame([(i, i % 3 or None) for i in range(500)], "b int, kb int").coalesce(1)
+    out = J.spread_join(a, b, {"ka": "kb"}, "b")
+    assert rows_of(out) == rows_of(a.join(b, F.col("ka") == F.col("kb")))
+    assert len({r[0] for r in out.select(F.spark_partition_id()).distinct().collect()}) > 8
