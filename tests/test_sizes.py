@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 import random
 import re
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from strandline.operators import graph as G
 from strandline.operators import identity as I
 from strandline.operators import joins as J
 from strandline.operators import quality as Q
+from strandline.operators import tracking as K
 
 
 def plan(df) -> str:
@@ -234,3 +237,19 @@ def test_few_keys_with_many_pairs_are_dealt_to_many_tasks(spark):
     out = J.spread_join(a, b, {"ka": "kb"}, "b")
     assert rows_of(out) == rows_of(a.join(b, F.col("ka") == F.col("kb")))
     assert len({r[0] for r in out.select(F.spark_partition_id()).distinct().collect()}) > 8
+
+
+def test_plain_pairs_of_the_tracker_are_costed_as_one_matrix(monkeypatch):
+    rnd = random.Random(2)
+    rule = K.TrackerConfig()
+    none = np.zeros(0)
+    see = lambda i, **more: SimpleNamespace(**{"x": rnd.random() * 300, "y": rnd.random() * 90, "height": 30 + 20 * rnd.random(), "v": np.array([rnd.random(), 0.5]) if i % 4 else none, "pitch_x": np.nan, "pitch_z": np.nan, "uncertainty": 0.0, "reid_unit": none, "claims": K.Claims(), "mark": None, **more})
+    start = lambda i, d: K._Track(i, 0.1 * (i % 8), d.x, d.y, d.height, d.v, d.pitch_x, d.pitch_z, 0.0, d.claims, d.mark, vx=rnd.random() * 50)
+    tracks, dets = [start(i, see(i)) for i in range(30)], [see(i) for i in range(25)]
+    claimed = see(1, claims=K.Claims(team="a"))
+    want = [[K._cost(k, d, 0.7, rule) for d in [*dets, claimed]] for k in tracks]
+    asked = []
+    monkeypatch.setattr(K, "_cost", lambda *a: asked.append(a))
+    got = K._costs(tracks, [*dets, claimed], 0.7, rule)
+    assert not asked and np.isfinite(got).any() and not np.isfinite(got).all()
+    np.testing.assert_allclose(got, want, rtol=1e-12)
